@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash
+from . import fertility, packing, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +21,23 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fertility.measure(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    more = ["chars_per_token", "byte_share", "entropy", "script"]
+    return found.select(
+        "doc_id",
+        *(f"quality.{c}" for c in counts),
+        fertility.base_failed().alias("base_failed"),
+        fertility.kept(lang_col="lang").alias("kept"),
+        *(f"quality.{c}" for c in more),
+    )
+
+
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op8_simhash": op8_simhash,
+    "op10_fertility_rules": op10_fertility_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}

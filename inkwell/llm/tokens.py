@@ -171,39 +171,23 @@ class ByteLevelIds:
         return out
 
 
-class PieceIds:
-    """Ids of single words by a sentencepiece vocabulary with byte fallback."""
+@cache
+def known_characters(path: str) -> np.ndarray:
+    """Per code point: whether a sentencepiece vocabulary with byte fallback has it.
 
-    def __init__(self, path: str):
-        import sentencepiece
+    Its merges start from single characters and a character that is no piece
+    never takes part in one, so exactly the others become byte tokens.
+    """
+    import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.table = WordTable(lambda words: self.model.encode(words, num_threads=1))
-        self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
-
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words of a block, and where each text begins and ends in them."""
-        starts, ends = runs(NOT_SPACE[data], offsets)
-        if not len(starts):
-            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        own, where, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        s, e = starts[where].tolist(), ends[where].tolist()
-        at, size = self.table.find(own, lambda i: raw[s[i] : e[i]].decode())
-        at, size = at[back], size[back]
-        odd = np.flatnonzero(size < 0)  # its ids are known all the same
-        if len(odd):
-            size = size.copy()
-            size[odd] = [len(x) for x in self.model.encode([raw[starts[i] : ends[i]].decode() for i in odd.tolist()], num_threads=1)]
-        found, stop = gather(self.table.ids, at, size)
-        return found, np.append(0, stop)[np.append(np.searchsorted(starts, offsets[:-1]), len(starts))]
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    known = np.zeros(0x110000, dtype=bool)
+    known[[ord(p) for p in map(model.id_to_piece, range(model.get_piece_size())) if len(p) == 1]] = True
+    known[0x20] = True
+    return known
 
 
 @cache
 def byte_level(path: str, ranks: str | None = None) -> ByteLevelIds:
     return ByteLevelIds(path, ranks)
 
-
-@cache
-def pieces(path: str) -> PieceIds:
-    return PieceIds(path)

@@ -7,7 +7,7 @@ import pytest
 
 from inkwell.llm import packing
 from inkwell.llm.textkit import blocks
-from inkwell.llm.tokens import byte_level, pieces, vocabulary
+from inkwell.llm.tokens import byte_level, vocabulary
 
 SCHEMA = "doc_id long, text string, piece string, start int"
 ODD = [None, "", " ", "\n", "a", "a b", " a", "a ", "a  b", "a\nb", "a\n\nb", "a\n b", "it's 's don't", "x y  z", "　a b", "a\tb", "é1²½ ⅷ", "<|endoftext|> a<|endoftext|>", "日本 語。", "a\r\nb", "\x1c a", "don',it's", "é,ê×.÷!", "a”,b"]
@@ -38,17 +38,6 @@ def test_ids_equal_the_tokenizers(tokenizer, ranks):
         assert got == [tokenizer(t) for t in own]
 
 
-def test_piece_ids_equal_word_by_word():
-    own = [t for t in texts() if t and not any(c in t for c in " 　\x1c")]
-    model = pieces(vocabulary("piece_bpe_32k.model"))
-    batch = pa.RecordBatch.from_arrays([pa.array(own)], names=["text"])
-    for _, data, offsets in blocks([batch], "text"):
-        ids, cut = model.encode(data, offsets)
-        for i, t in enumerate(own):
-            want = [x for w in t.encode().split() for x in model.model.encode(w.decode())]
-            assert ids[cut[i] : cut[i + 1]].tolist() == want
-
-
 def test_documents_come_back_whole(spark, tokenizer):
     rows = [(i, t) for i, t in enumerate(texts(60))] + [(900, "word " * 5000), (901, "x" * 4000), (3, "again"), (None, "no id")]
     rows += [(902, " ".join(["the"] * 1023)), (903, " ".join(["the"] * 1024))]
