@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, packing, simhash
+from . import fertility, language_id, license_scan, packing, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,32 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = language_id.fit(docs.where(F.coalesce(~held_out, F.lit(True))))
+    found = language_id.predict(docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    places, matches = F.col("licences.places"), F.col("licences.matches")
+    starts, base = F.transform(places, lambda x: x["word"]), F.transform(places, lambda x: x["label"])
+    labels = F.concat(base, F.transform(matches, lambda x: x["label"]))
+    return found.select(
+        "doc_id",
+        "licences.n_words",
+        F.size(places).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(labels)), ",").alias("labels"),
+        # 1 where a notice's mandatory wording stands, a half for the bare name of a licence
+        F.when(F.size(matches) > 0, 1.0).when(F.size(places) > 0, 0.5).otherwise(0.0).alias("score"),
+    )
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -36,6 +62,8 @@ def op10_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op6_language_id": op6_language_id,
+    "op7_license_scan": op7_license_scan,
     "op8_simhash": op8_simhash,
     "op10_fertility_rules": op10_fertility_rules,
 }
