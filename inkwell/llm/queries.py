@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, language_id, license_scan, mixing, packing, simhash
+from . import fertility, language_id, license_scan, line_dedup, mixing, packing, simhash, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,18 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    texts = pages.select("page_id", line_dedup.url_host(F.col("url")).alias("host"), line_dedup.html_text(F.col("html")).alias("text"))
+    return line_dedup.drop_boilerplate(texts, "text", "host")
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = url_filter.evaluate(url_filter.page_captures(pages), url_filter.page_entries(pages))
+    return found.select("page_id", F.array_join("hit_lists", ",").alias("hit_lists"), F.array_join("hit_patterns", ",").alias("hit_patterns"), "blocked")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
@@ -67,6 +79,8 @@ def op10_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_url_filter": op4_url_filter,
     "op6_language_id": op6_language_id,
     "op7_license_scan": op7_license_scan,
     "op8_simhash": op8_simhash,
@@ -75,4 +89,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.MIX_SQL,
+    "op3_line_dedup": line_dedup.pages_sql(),
+    "op4_url_filter": url_filter.PAGES_SQL,
 }
