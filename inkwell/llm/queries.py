@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, language_id, license_scan, line_dedup, mixing, packing, simhash, url_filter
+from . import fertility, language_id, license_scan, line_dedup, mixing, packing, simhash, topk, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").where(topk.is_finite(F.col("embedding")))
+    vectors = vectors.select("vec_id", topk.whole_numbers(F.col("embedding")).alias("embedding"))
+    return topk.top_k(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op10_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fertility.measure(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -84,6 +90,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_license_scan": op7_license_scan,
     "op8_simhash": op8_simhash,
+    "op9_top_k": op9_top_k,
     "op10_fertility_rules": op10_fertility_rules,
 }
 
@@ -91,4 +98,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.MIX_SQL,
     "op3_line_dedup": line_dedup.pages_sql(),
     "op4_url_filter": url_filter.PAGES_SQL,
+    "op9_top_k": topk.SQL,
 }
