@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, language_id, license_scan, line_dedup, mixing, packing, simhash, topk, url_filter
+from . import fertility, language_id, license_scan, line_dedup, mixing, packing, simhash, topk, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,14 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", F.array_join("hit_lists", ",").alias("hit_lists"), F.array_join("hit_patterns", ",").alias("hit_patterns"), "blocked")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    found = toxicity.score(docs.select("doc_id", held_out.alias("held_out"), "text"), net)
+    return found.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
@@ -87,6 +95,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_line_dedup": op3_line_dedup,
     "op4_url_filter": op4_url_filter,
+    "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
     "op7_license_scan": op7_license_scan,
     "op8_simhash": op8_simhash,
