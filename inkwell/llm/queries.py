@@ -90,6 +90,12 @@ def op10_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -101,6 +107,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_top_k": op9_top_k,
     "op10_fertility_rules": op10_fertility_rules,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {

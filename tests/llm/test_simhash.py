@@ -93,7 +93,7 @@ def test_crowded_block_is_sliced(spark):
 
 
 def test_one_stays_of_each_component(spark):
-    df = spark.createDataFrame([(2, "a b c", "", 1), (1, "a b c", "", 1), (5, "q r s t", "", 1), (None, "a b c", "", 1)], SCHEMA)
+    df = spark.createDataFrame([(2, "a b c", "", 1), (1, "a b c", "", 1), (5, "q r s t", "", 1), (None, "a b c", "", 1), (1, "a b c", "", 1)], SCHEMA)
     kept = simhash.keep_first(df)
     assert kept.columns == df.columns
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 5]
