@@ -24,7 +24,7 @@ def byte_table(members: list[int]) -> np.ndarray:
 NOT_SPACE = ~byte_table(_SPACES)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with about ``limit`` bytes of text: rows, bytes, and n + 1 offsets.
 
     A single longer text is a slice of its own. Null texts count as empty.

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 from collections.abc import Callable
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 
@@ -28,14 +29,14 @@ def vocabulary(name: str) -> str:
 class WordTable:
     """Ids by 64-bit word hash, in sorted arrays; at most ``limit`` words are remembered."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 2_000_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 1_000_000):
         self.encode, self.limit = encode, limit
         self._empty()
 
     def _empty(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)  # -1: the word holds white space of another kind
+        self.at = np.zeros(0, np.int32)
+        self.size = np.zeros(0, np.int32)  # -1: the word holds white space of another kind
         self.ids = np.zeros(0, np.uint32)
 
     def find(self, hashes: np.ndarray, word: Callable[[int], str]) -> tuple[np.ndarray, np.ndarray]:
@@ -56,10 +57,10 @@ class WordTable:
             order = np.argsort(hashes[missing])
             where = np.searchsorted(self.keys, hashes[missing][order])
             self.keys = np.insert(self.keys, where, hashes[missing][order])
-            self.at = np.insert(self.at, where, at[order])
-            self.size = np.insert(self.size, where, np.where(odd, -1, size)[order])
+            self.at = np.insert(self.at, where, at[order].astype(np.int32))
+            self.size = np.insert(self.size, where, np.where(odd, -1, size)[order].astype(np.int32))
             place = np.searchsorted(self.keys, hashes)
-        return self.at[place], self.size[place]
+        return self.at[place].astype(np.int64), self.size[place].astype(np.int64)
 
 
 def gather(ids: np.ndarray, at: np.ndarray, size: np.ndarray, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -113,13 +114,25 @@ class ByteLevelIds:
 
     def __init__(self, path: str, ranks: str | None = None):
         """``ranks``: the same vocabulary as a rank file, by which single words are encoded faster."""
+        self.path = path
+        words = _by_ranks(ranks) if ranks else self.whole
+        self.table = WordTable(words)
+        self.feed = words(["\n"])[0][0]
+
+    @cached_property
+    def tokenizer(self):
+        """Loaded when the first text has to be encoded whole."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.table = WordTable(_by_ranks(ranks) if ranks else self.whole)
-        self.feed = self.whole(["\n"])[0][0]
+        own = Tokenizer.from_file(self.path)
+        own.encode_special_tokens = True
+        return own
+
+    @cached_property
+    def vocabulary_size(self) -> int:
+        with open(self.path, encoding="utf-8") as f:
+            return len(json.load(f)["model"]["vocab"])
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
