@@ -4,7 +4,7 @@ from collections import defaultdict
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parent))
-from oracle import same
+from llm_oracle import same
 
 from inkwell.llm import line_dedup as ld
 from inkwell.llm import queries

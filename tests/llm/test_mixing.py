@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
-from oracle import same
+from llm_oracle import same
 
 from inkwell.llm import mixing, queries
 

@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
-from oracle import same
+from llm_oracle import same
 
 from inkwell.llm import queries, topk
 

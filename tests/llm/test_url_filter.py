@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parent))
-from oracle import same
+from llm_oracle import same
 
 from inkwell.llm import queries, url_filter
 
