@@ -83,12 +83,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, from prefix sums of a polynomial."""
-    forth, back = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * forth[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * back[starts])
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each span, from prefix sums of a polynomial; spans are in order and don't overlap.
+
+    About ``limit`` values are worked on at a time.
+    """
+    out = np.empty(len(starts), dtype=np.uint64)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + limit, side="right")))
+        low, high = int(starts[at]), int(ends[to - 1])
+        forth, back = powers(high - low + 1)
+        sums = np.zeros(high - low + 1, dtype=np.uint64)
+        np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * forth[: high - low], out=sums[1:])
+        out[at:to] = mix((sums[ends[at:to] - low] - sums[starts[at:to] - low]) * back[starts[at:to] - low])
+        at = to
+    return out
 
 
 def sums_between(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
