@@ -17,12 +17,13 @@ class Profile:
     normalised: bool  # to -90..90
     level_below: float  # degrees from the horizontal
     fallback: bool  # the longest segment of any direction where none is level
+    turn: int  # a page is turned by the line's angle times this
 
 
 PROFILES = {
-    "server": Profile(y_up=True, normalised=True, level_below=20, fallback=True),
-    "util": Profile(y_up=False, normalised=True, level_below=15, fallback=False),
-    "local": Profile(y_up=False, normalised=False, level_below=10, fallback=False),
+    "server": Profile(y_up=True, normalised=True, level_below=20, fallback=True, turn=-1),
+    "util": Profile(y_up=False, normalised=True, level_below=15, fallback=False, turn=1),
+    "local": Profile(y_up=False, normalised=False, level_below=10, fallback=False, turn=-1),
 }
 
 
@@ -46,9 +47,12 @@ def is_level(degrees: Column, profile: Profile) -> Column:
 
 
 def rotation(degrees: Column, profile: Profile) -> Column:
-    """What a page is turned by. The profiles turn opposite ways, as they count angles."""
+    """What a page is turned by, so that it comes out level with the profile's own rotation.
+
+    "server" and "util" turn counter-clockwise, "local" clockwise.
+    """
     if profile.normalised:
-        return -degrees
+        return degrees * profile.turn
     return F.when(degrees > 170, 180 - degrees).when(degrees < -170, -180 - degrees).otherwise(-degrees)
 
 

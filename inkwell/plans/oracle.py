@@ -42,7 +42,7 @@ line AS (SELECT *, {level} AS is_level FROM turned)"""
 _NORMAL = "CASE WHEN raw < -90 THEN raw + 180 WHEN raw > 90 THEN raw - 180 ELSE raw END"
 _PROFILES = {
     "server": ({"dy": "(y1 - y2)", "angle": _NORMAL, "level": "abs(angle) < 20"}, "-angle", True),
-    "util": ({"dy": "(y2 - y1)", "angle": _NORMAL, "level": "abs(angle) < 15"}, "-angle", False),
+    "util": ({"dy": "(y2 - y1)", "angle": _NORMAL, "level": "abs(angle) < 15"}, "angle", False),
     "local": ({"dy": "(y2 - y1)", "angle": "raw", "level": "(abs(angle) < 10 OR abs(angle) > 170)"}, "CASE WHEN angle > 170 THEN 180 - angle WHEN angle < -170 THEN -180 - angle ELSE -angle END", False),
 }
 
