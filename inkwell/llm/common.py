@@ -32,6 +32,13 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without(df: DataFrame, names: list[str], needed: list[str]) -> DataFrame:
+    """``df`` without the columns that a result brings anew; those that are needed have to have other names."""
+    if clash := set(names) & set(needed):
+        raise ValueError(f"the result has columns of these names itself: {', '.join(sorted(clash))}")
+    return df.drop(*names)
+
+
 def width(spark: SparkSession) -> int:
     """Tasks of a shuffle."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import without
 from .textkit import blocks, mix, sums_between
 
 #: Largest model that is broadcast: languages times buckets, four bytes each.
@@ -127,7 +128,9 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
 
     Texts that are null or have no letter are ``und`` with score 0, as is every
     text where nothing was learned. Ties go to the first language by code point.
+    Columns of these names are replaced.
     """
+    docs = without(docs, ["lang_pred", "score"], [text_col])
     if model is None:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import without
 from .textkit import blocks, byte_table, runs
 
 #: Words: letters a-z, digits, and all characters outside ASCII.
@@ -176,8 +177,9 @@ def scan(docs: DataFrame, text_col: str = "text", phrases: dict[str, str] = PHRA
 
     Places and matches count words from 0, ``end`` is one beyond the last word.
     Null texts count as empty. A match is the longest one from where it begins;
-    matches of different templates may overlap.
+    matches of different templates may overlap. A column of this name is replaced.
     """
+    docs = without(docs, ["licences"], [text_col])
     sought, wanted = [([w.encode() for w in p.split()], label) for p, label in phrases.items()], tuple(map(tuple, templates))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

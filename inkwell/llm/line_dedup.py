@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, without
 
 #: White space at the ends of a line doesn't count.
 TRIMMED = " \t\x0b\x0c\r"
@@ -44,8 +44,10 @@ def drop_boilerplate(docs: DataFrame, text_col: str = "text", host: Column | str
 
     Lines are cut at line feeds; blank lines stay and aren't counted. A text of
     which no line stays becomes empty, a null text stays null. Rows without a
-    host make up a host of their own. Repeated rows all stay.
+    host make up a host of their own. Repeated rows all stay. Columns of the two
+    new names are replaced.
     """
+    docs = without(docs, ["lines_seen", "lines_dropped"], [text_col])
     names = docs.columns
     site = F.col(host) if isinstance(host, str) else host
     own = docs.select("*", site.cast("string").alias("_site")).toDF(*(f"c{i}" for i in range(len(names))), "host")

@@ -260,9 +260,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = materialise(near_duplicates(docs, id_col, text_col, **options), "components")
     out = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(out, F.col(id_col) == F.col("_gone"), "left_anti")
+    kept = docs.join(out, docs[id_col] == out["_gone"], "left_anti")
     again = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
     if again.isEmpty():
         return kept
-    twice = F.col(id_col) == F.col("_again")
+    twice = kept[id_col] == again["_again"]
     return kept.join(again, twice, "left_anti").unionByName(kept.join(again, twice, "left_semi").dropDuplicates([id_col]))

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import without
 from .textkit import blocks, mix, runs, span_hashes
 
 _IN_WORD = np.array([chr(c).isalnum() for c in range(0x110000)])
@@ -373,7 +374,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``toxicity``, a number from 0 to 1; null, empty and wordless texts have 0."""
+    """``docs`` with ``toxicity``, a number from 0 to 1; null, empty and wordless texts have 0. A column of this name is replaced."""
+    docs = without(docs, ["toxicity"], [text_col])
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

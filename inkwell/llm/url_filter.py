@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, without
 from .line_dedup import url_host
 
 _SEGMENT = "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)"
@@ -45,7 +45,9 @@ def evaluate(captures: DataFrame, entries: DataFrame, url_col: str = "url", time
     ``blocked`` is true if there is any. A capture without host or fetch time
     has none. Repeated captures all stay. The join is on the pattern, so that
     Spark can split the captures of a frequent host; only hits are grouped.
+    Columns of the three new names are replaced.
     """
+    captures = without(captures, ["hit_lists", "hit_patterns", "blocked"], [url_col, time_col])
     names = captures.columns
     own = captures.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("row", F.monotonically_increasing_id())
     url, fetched = (F.col(f"c{names.index(c)}") for c in (url_col, time_col))

@@ -61,7 +61,7 @@ def test_posteriors_against_brute_force(spark):
 def test_no_labels(spark):
     df = spark.createDataFrame([(1, "some text", None, 1)], SCHEMA)
     assert li.fit(df) is None
-    rows = li.predict(df.drop("score"), None).collect()
+    rows = li.predict(df, None).collect()
     assert [(r.lang_pred, r.score) for r in rows] == [("und", 0.0)]
     assert li.predict(spark.createDataFrame([], "doc_id long, text string"), None).collect() == []
 

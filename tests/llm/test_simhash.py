@@ -6,7 +6,7 @@ import xxhash
 from inkwell.llm import simhash
 from inkwell.llm.components import component_labels
 
-SCHEMA = "doc_id long, text string, fp string, least long"
+SCHEMA = "doc_id long, text string, fp string, least long, _gone long"
 
 
 def brute(rows):
@@ -56,20 +56,20 @@ def corpus(n=150, seed=1):
 
 def test_against_brute_force(spark):
     rows = corpus() + [(1000, None), (1001, ""), (1002, " \n"), (1003, "Hi"), (1004, "hi"), (1005, "a b"), (1005, "a b"), (1006, "É b c d")]
-    df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
+    df = spark.createDataFrame([(*r, "x", 1, 5) for r in rows], SCHEMA)
     assert result(simhash.near_duplicates(df)) == brute(rows)
 
 
 def test_empty_table_and_null_ids(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
-    rows = simhash.near_duplicates(spark.createDataFrame([(None, "a b c", "", 1), (4, "a b c", "", 1), (None, "q", "", 1)], SCHEMA)).collect()
+    rows = simhash.near_duplicates(spark.createDataFrame([(None, "a b c", "", 1, 5), (4, "a b c", "", 1, 5), (None, "q", "", 1, 5)], SCHEMA)).collect()
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in rows) == [(-1, -1), (-1, 4), (4, 4)]
 
 
 def test_long_text(spark):
     text = " ".join(f"{i % 977}q{i}" for i in range(60_000))
     rows = [(1, text), (2, text + " end"), (3, "other")]
-    assert result(simhash.near_duplicates(spark.createDataFrame([(*r, "", 1) for r in rows], SCHEMA))) == brute(rows)
+    assert result(simhash.near_duplicates(spark.createDataFrame([(*r, "", 1, 5) for r in rows], SCHEMA))) == brute(rows)
 
 
 def test_crowded_block_is_sliced(spark):
@@ -93,7 +93,7 @@ def test_crowded_block_is_sliced(spark):
 
 
 def test_one_stays_of_each_component(spark):
-    df = spark.createDataFrame([(2, "a b c", "", 1), (1, "a b c", "", 1), (5, "q r s t", "", 1), (None, "a b c", "", 1), (1, "a b c", "", 1)], SCHEMA)
+    df = spark.createDataFrame([(2, "a b c", "", 1, 5), (1, "a b c", "", 1, 5), (5, "q r s t", "", 1, 5), (None, "a b c", "", 1, 5), (1, "a b c", "", 1, 5)], SCHEMA)
     kept = simhash.keep_first(df)
     assert kept.columns == df.columns
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 5]

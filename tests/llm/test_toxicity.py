@@ -79,7 +79,7 @@ def corpus(n, seed):
 
 def test_held_out_accuracy(spark):
     rows = corpus(900, 1)
-    docs = spark.createDataFrame([(i, t, "clash", "x") for i, t, _ in rows], "doc_id long, text string, label string, toxicity string").drop("toxicity")
+    docs = spark.createDataFrame([(i, t, "clash", "x") for i, t, _ in rows], "doc_id long, text string, label string, toxicity string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows[:600]] + [(None, 1), (5000, None)], "doc_id long, toxic int")
     net = tx.fit(docs, labels, s=SMALL)
     got = {r.doc_id: r.toxicity for r in tx.score(docs, net).collect()}

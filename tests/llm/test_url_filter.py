@@ -31,9 +31,8 @@ def test_against_brute_force(spark):
         captures.append((i % 150, url, DAY0 + timedelta(hours=rnd.randrange(24 * 35))))
     captures += [(900, None, DAY0), (901, "no url", DAY0), (902, "http://b.org/p", None), (None, "http://b.org/p", DAY0 + timedelta(days=20)), (903, "http://b.org/" + "p" * 20_000, DAY0)]
     df = spark.createDataFrame([(*c, "clash", 1, "b") for c in captures], CAPTURES)
-    df = df.drop("blocked")
     found = url_filter.evaluate(df, spark.createDataFrame(entries, ENTRIES))
-    assert found.columns == [*df.columns, "hit_lists", "hit_patterns", "blocked"]
+    assert found.columns == ["id", "url", "fetched", "pattern", "row", "hit_lists", "hit_patterns", "blocked"]
     want = []
     for d, url, at in captures:
         hits = set()
@@ -53,10 +52,10 @@ def test_against_brute_force(spark):
 
 
 def test_empty(spark):
-    none = spark.createDataFrame([], CAPTURES).drop("blocked")
+    none = spark.createDataFrame([], CAPTURES)
     lists = spark.createDataFrame([], ENTRIES)
     assert url_filter.evaluate(none, lists).collect() == []
-    one = spark.createDataFrame([(1, "http://a.b/c", DAY0, "", 1)], none.schema)
+    one = spark.createDataFrame([(1, "http://a.b/c", DAY0, "", 1, "")], none.schema)
     assert [r.blocked for r in url_filter.evaluate(one, lists).collect()] == [False]
 
 
