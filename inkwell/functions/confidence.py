@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 #: Fixed values of the scores.
 FLOOR, NEUTRAL, BASE, BLANK = 0.01, 0.5, 0.7, 0.1
 #: White space as Python's ``strip`` has it.
@@ -51,7 +53,10 @@ def heuristic(text: Column, area: Column | None = None) -> Column:
     letters, digits and spaces, and small images lower it. Blank and null texts
     have BLANK. It is at most BASE.
     """
-    own = strip(text)
+    return let(strip(text), lambda own: _looks(own, area))
+
+
+def _looks(own: Column, area: Column | None) -> Column:
     n = F.length(own)
     length = F.when(n < 10, 0.7).when(n > 5000, 0.9).otherwise(1.0)
     repeated = F.when(own.rlike(r"([^\n])\1{4,}"), 0.6).otherwise(1.0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
 from .confidence import SPACE, strip
 
 #: Words of a pair become characters from here on; so many different words fit.
@@ -33,9 +34,12 @@ def _as_characters(own: Column, known: Column) -> Column:
 
 def wer(reference: Column, hypothesis: Column) -> Column:
     """Edit distance in words, by the reference's number of words, with the same rule for an empty one."""
-    a, b = words(reference), words(hypothesis)
-    known = F.array_union(a, b)
-    return _rate(F.levenshtein(_as_characters(a, known), _as_characters(b, known)), F.size(a), F.size(b) == 0)
+
+    def rate(s: Column) -> Column:
+        return _rate(F.levenshtein(_as_characters(s["a"], s["known"]), _as_characters(s["b"], s["known"])), F.size(s["a"]), F.size(s["b"]) == 0)
+
+    pair = F.struct(words(reference).alias("a"), words(hypothesis).alias("b"))
+    return let(pair, lambda p: let(F.struct(p["a"].alias("a"), p["b"].alias("b"), F.array_union(p["a"], p["b"]).alias("known")), rate))
 
 
 def positional(reference: Column, hypothesis: Column) -> Column:
@@ -43,7 +47,11 @@ def positional(reference: Column, hypothesis: Column) -> Column:
 
     Two empty texts are equal.
     """
-    a, b = F.lower(strip(reference)), F.lower(strip(hypothesis))
+    pair = F.struct(F.lower(strip(reference)).alias("a"), F.lower(strip(hypothesis)).alias("b"))
+    return let(pair, lambda p: _positional(p["a"], p["b"]))
+
+
+def _positional(a: Column, b: Column) -> Column:
     n = F.greatest(F.length(a), F.length(b))
     equal = F.size(F.filter(F.arrays_zip(F.split(a, "").alias("a"), F.split(b, "").alias("b")), lambda p: p["a"] == p["b"]))
     return F.when(a == b, 100.0).otherwise(F.when((a == "") | (b == ""), 0).otherwise(equal) / n * 100)

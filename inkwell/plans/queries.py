@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than cores, dealt out for work that is heavy per row; a larger one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _six(value: Column) -> Column:
     """Transcendental results may differ in their last digits."""
     return F.round(value, 6)
@@ -32,7 +38,7 @@ def pick(values: list, index: Column) -> Column:
 # Recognised texts: the documents, with an image size that follows from the id.
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     area = (100 + F.col("doc_id") % 400) * (100 + F.col("doc_id") % 300)
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", conf.heuristic(F.col("text"), area).alias("confidence"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", "lang", conf.heuristic(F.col("text"), area).alias("confidence"))
 
 
 def confidence_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +69,7 @@ def confidence_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Pages: conversation turns; some have no score, some failed.
 def recognised_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = F.col("turn") % 7 == 5
-    return table(spark, sf_dir, "conversations").select(
+    return spread(table(spark, sf_dir, "conversations")).select(
         "conv_id",
         F.col("turn").alias("page_number"),
         F.when(~failed, F.when(F.col("turn") % 6 == 4, "").otherwise(F.col("text"))).alias("text"),
@@ -122,7 +128,7 @@ def _misread(text: Column) -> Column:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("reference"), _misread(F.col("text")).alias("hypothesis"))
+    return spread(table(spark, sf_dir, "conversations")).select("conv_id", "turn", F.col("text").alias("reference"), _misread(F.col("text")).alias("hypothesis"))
 
 
 def cer(spark: SparkSession, sf_dir: str) -> DataFrame:
