@@ -29,10 +29,11 @@ def boilerplate_lines(pages: DataFrame, ratio: float, min_pages: int) -> DataFra
     average page divided by ``ratio``, so the arrays are small.
     """
     # Hashes only, once per distinct text of a host; no line's text is shuffled.
-    hashed = pages.select("host", F.xxhash64("text").alias("page"), F.transform(F.array_distinct(F.split("text", "\n")), lambda x: F.when(trimmed(x) != "", F.xxhash64(trimmed(x)))).alias("lines"))
+    own = F.filter(F.transform(F.split("text", "\n"), trimmed), lambda x: x != "")
+    hashed = pages.select("host", F.xxhash64("text").alias("page"), F.array_distinct(F.transform(own, lambda x: F.xxhash64(x))).alias("lines"))
     distinct = materialise(hashed.groupBy("host", "page").agg(F.first("lines").alias("lines")), "pages")
     totals = distinct.groupBy("host").agg(F.count("*").alias("total"))
-    lines = distinct.select("host", F.explode(F.array_compact(F.array_distinct("lines"))).alias("line"))
+    lines = distinct.select("host", F.explode("lines").alias("line"))
     common = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     totals = totals.select(F.col("host").alias("of"), "total")
     common = common.join(totals, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > F.col("total") * ratio)
@@ -73,13 +74,11 @@ def drop_boilerplate(docs: DataFrame, text_col: str = "text", host: Column | str
 
 def html_text(html: Column) -> Column:
     """A page's text: scripts, styles and comments go, block tags become line ends, other tags nothing."""
-    for pattern in NO_TEXT:
-        html = F.regexp_replace(html, pattern, " ")
-    html = F.regexp_replace(html, BLOCK_TAG, "\n")
+    html = F.regexp_replace(F.regexp_replace(html, NO_TEXT, " "), BLOCK_TAG, "\n")
     return F.regexp_replace(html, "<[^>]*>", "")
 
 
-NO_TEXT = ["(?is)<script[^>]*>.*?</script>", "(?is)<style[^>]*>.*?</style>", "(?s)<!--.*?-->"]
+NO_TEXT = "(?is)<(?:script[^>]*>.*?</script>|style[^>]*>.*?</style>|!--.*?-->)"
 BLOCK_TAG = "(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)(?:[ \\t\\n/][^>]*)?>"
 HOST = "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
@@ -92,9 +91,7 @@ def url_host(url: Column) -> Column:
 
 def pages_sql(ratio: float = 0.1, min_pages: int = 10) -> str:
     """DuckDB SQL for ``drop_boilerplate`` over the texts of the table pages."""
-    text = "html"
-    for pattern in NO_TEXT:
-        text = f"regexp_replace({text}, '{pattern}', ' ', 'g')"
+    text = f"regexp_replace(html, '{NO_TEXT}', ' ', 'g')"
     text = f"regexp_replace(regexp_replace({text}, '{BLOCK_TAG}', chr(10), 'g'), '<[^>]*>', '', 'g')"
     trim = "trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13))"
     return f"""
