@@ -118,7 +118,7 @@ SELECT doc_id, (['deepseek-ocr', 'deepseek-ocr2', 'glm-ocr', 'paddleocr-vl-1.5']
        round(CASE WHEN doc_id % 10 = 9 THEN NULL WHEN k = 3 THEN looks WHEN token IS NOT NULL THEN 0.7::DOUBLE * token + 0.3::DOUBLE * looks WHEN k < 2 THEN looks END, 6) AS confidence FROM both_""",
     "document_rollup": f"""{_PAGES}
 SELECT conv_id, count(*) AS total_pages, count(*) FILTER (text <> '') AS processed_pages, count(error) AS failed_pages, round(min(value), 6) AS confidence,
-       string_agg(printf('%.4f', value), ',' ORDER BY n) AS confidence_per_page FROM valued GROUP BY conv_id""",
+       string_agg(round(value * 10000)::BIGINT::VARCHAR, ',' ORDER BY n) AS confidence_per_page FROM valued GROUP BY conv_id""",
     "document_text_concat": f"""{_PAGES}
 SELECT conv_id, coalesce(string_agg('[Страница ' || n || ']' || chr(10) || text, chr(10) || chr(10) || '--- СТРАНИЦА РАЗДЕЛИТЕЛЬ ---' || chr(10) || chr(10) ORDER BY n) FILTER (text <> ''), '') AS combined_text
 FROM valued GROUP BY conv_id""",

@@ -80,7 +80,7 @@ def recognised_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pages.rollup(recognised_pages(spark, sf_dir), ["conv_id"])
-    per_page = F.array_join(F.transform("confidence_per_page", lambda x: F.format_string("%.4f", x)), ",")
+    per_page = F.array_join(F.transform("confidence_per_page", lambda x: F.round(x * 10000).cast("long").cast("string")), ",")
     return found.select("conv_id", "total_pages", "processed_pages", "failed_pages", _six(F.col("confidence")).alias("confidence"), per_page.alias("confidence_per_page"))
 
 
