@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _ITEMS = "items array<struct<line_number: int, description: string, unit: string>>"
@@ -30,9 +29,14 @@ def typed(store: DataFrame, doc_type: str) -> DataFrame:
 
 
 def upsert(store: DataFrame, changes: DataFrame, order: str) -> DataFrame:
-    """The store after the changes: the last change of each type and name takes the place of what was there."""
-    last = changes.withColumn("_r", F.row_number().over(W.partitionBy("doc_type", "file_name").orderBy(F.col(order).desc()))).where("_r = 1").drop("_r", order)
-    return store.join(last.select("doc_type", "file_name"), ["doc_type", "file_name"], "left_anti").unionByName(last)
+    """The store after the changes: the last change of each type and name takes the place of what was there.
+
+    The last one is an aggregate, so that many changes of one record are reduced before the shuffle.
+    """
+    keys = ["doc_type", "file_name"]
+    rest = [c for c in changes.columns if c not in (*keys, order)]
+    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_last")).select(*keys, *(F.col(f"_last.{c}").alias(c) for c in rest))
+    return store.join(last.select(*keys), keys, "left_anti").unionByName(last)
 
 
 def write(store: DataFrame, path: str) -> None:
