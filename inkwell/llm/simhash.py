@@ -258,7 +258,12 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of several rows with that id, one stays. Rows with a null id stay: no
     component can name them.
     """
-    found = materialise(near_duplicates(docs, id_col, text_col, **options), "components")
+    return keep_least(docs, near_duplicates(docs, id_col, text_col, **options), id_col)
+
+
+def keep_least(docs: DataFrame, components: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose id is that of their component in ``(doc_id, component_id)``, one of each id."""
+    found = materialise(components, "components")
     out = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
     kept = docs.join(out, docs[id_col] == out["_gone"], "left_anti")
     again = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
