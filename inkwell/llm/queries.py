@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fertility, language_id, license_scan, line_dedup, mixing, packing, simhash, topk, toxicity, url_filter
+from .common import materialise
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,14 +86,14 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fertility.measure(texts(spark, sf_dir, "doc_id", "lang", "text"))
+    found = materialise(fertility.measure(texts(spark, sf_dir, "doc_id", "lang", "text")).drop("text"), "quality")
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     more = ["chars_per_token", "byte_share", "entropy", "script"]
     return found.select(
         "doc_id",
         *(f"quality.{c}" for c in counts),
         fertility.base_failed().alias("base_failed"),
-        fertility.kept(lang_col="lang").alias("kept"),
+        fertility.kept(lang_col="lang", quartiles=fertility.fences(found, "lang")).alias("kept"),
         *(f"quality.{c}" for c in more),
     )
 
