@@ -51,11 +51,11 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return bins, offsets
 
 
-def pieces_of(docs: DataFrame, id_col: str, text_col: str, capacity: int, end_id: int, tokenizer: str, ranks: str | None) -> DataFrame:
+def pieces_of(docs: DataFrame, id_col: str, text_col: str, capacity: int, end_id: int, tokenizer: str, ranks: str | None, added: bool = False) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)``: each text's ids and ``end_id``, cut from the end into full pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = byte_level(vocabulary(tokenizer), ranks and vocabulary(ranks))
+        model = byte_level(vocabulary(tokenizer), ranks and vocabulary(ranks), added)
         for rows, data, offsets in blocks(batches, "text"):
             out: list[tuple[int, int, int, int, int]] = []
             for i, own in enumerate(model.encode(data, offsets)):
@@ -82,6 +82,7 @@ def pack(
     tokenizer: str = "byte_bpe_50k.json",
     ranks: str | None = "byte_bpe_50k.tiktoken",
     group_pieces: int = 8192,
+    added: bool = False,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -90,9 +91,10 @@ def pack(
     first are full. Repeated rows are packed as often as they occur. Groups have
     about ``group_pieces`` pieces whatever the input's size, so that a task's
     memory is bounded. ``ranks`` names the tokenizer's vocabulary as a rank
-    file, or is None. An empty table gives no rows.
+    file, or is None. With ``added``, as in the queries, an added token that
+    stands in a text has its own id. An empty table gives no rows.
     """
-    pieces = pieces_of(docs, id_col, text_col, capacity, end_id, tokenizer, ranks)
+    pieces = pieces_of(docs, id_col, text_col, capacity, end_id, tokenizer, ranks, added)
     pieces = materialise(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     groups = max(1, round(pieces.count() / group_pieces))
 

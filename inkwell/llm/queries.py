@@ -25,7 +25,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(texts(spark, sf_dir, "doc_id", "text"))
+    return packing.pack(texts(spark, sf_dir, "doc_id", "text"), added=True)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

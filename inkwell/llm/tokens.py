@@ -112,9 +112,13 @@ class ByteLevelIds:
     another; each such word is encoded once. Every other text is encoded whole.
     """
 
-    def __init__(self, path: str, ranks: str | None = None):
-        """``ranks``: the same vocabulary as a rank file, by which single words are encoded faster."""
-        self.path = path
+    def __init__(self, path: str, ranks: str | None = None, added: bool = False):
+        """``ranks``: the same vocabulary as a rank file, by which single words are encoded faster.
+
+        ``added``: an added token such as <|endoftext|> that stands in a text has its own id, as the tokenizer has it
+        by default; texts with one are encoded whole. Else it is ordinary text.
+        """
+        self.path, self.added = path, added
         words = _by_ranks(ranks) if ranks else self.whole
         self.table = WordTable(words)
         self.feed = words(["\n"])[0][0]
@@ -126,7 +130,7 @@ class ByteLevelIds:
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_file(self.path)
-        own.encode_special_tokens = True
+        own.encode_special_tokens = not self.added
         return own
 
     @cached_property
@@ -134,6 +138,11 @@ class ByteLevelIds:
         with open(self.path, encoding="utf-8") as f:
             return len(json.load(f)["model"]["vocab"])
 
+    @cached_property
+    def added_tokens(self) -> list[bytes]:
+        with open(self.path, encoding="utf-8") as f:
+            return [t["content"].encode() for t in json.load(f)["added_tokens"]] if self.added else []
+
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -176,6 +185,13 @@ class ByteLevelIds:
             found[(stop - np.maximum(size, 0) - 1)[fed]] = self.feed
             cut = np.append(0, stop)[np.append(first, len(starts))]
         out = [found[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        if self.added_tokens:
+            raw = data.tobytes()
+            for token in self.added_tokens:
+                at = raw.find(token)
+                while at >= 0:  # one that reaches over a text's end costs that text the fast path only
+                    plain[np.searchsorted(offsets, at, side="right") - 1] = False
+                    at = raw.find(token, at + 1)
         rest = np.flatnonzero(~plain).tolist()
         if rest:
             raw = data.tobytes()
@@ -201,6 +217,6 @@ def known_characters(path: str) -> np.ndarray:
 
 
 @cache
-def byte_level(path: str, ranks: str | None = None) -> ByteLevelIds:
-    return ByteLevelIds(path, ranks)
+def byte_level(path: str, ranks: str | None = None, added: bool = False) -> ByteLevelIds:
+    return ByteLevelIds(path, ranks, added)
 

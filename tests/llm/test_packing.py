@@ -90,3 +90,25 @@ def test_few_sequences():
     lengths = np.sort(np.random.default_rng(0).integers(1, 1025, 8000))[::-1]
     bins, _ = packing.sum_of_squares(lengths, 1024)
     assert bins.max() + 1 <= 1.01 * lengths.sum() / 1024
+
+
+def test_queries_take_the_tokenizers_call(spark, tmp_path):
+    """Texts with an added token have the ids of the tokenizer with nothing but add_special_tokens=False."""
+    import sys
+    from pathlib import Path
+
+    from tokenizers import Tokenizer
+
+    from inkwell.llm import queries
+
+    sys.path.insert(0, str(Path(__file__).parents[2]))
+    import corpus_pipeline
+
+    own = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    rows = [(i, t) for i, t in enumerate([*texts(60), "a <|endoftext|> b", "a <|endof", "text|> b", "x<|endoftext|>", "<|endoftext|><|endoftext|>y  z"])]
+    assert own.encode("a <|endoftext|> b", add_special_tokens=False).ids.count(50256) == 1
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted((d, zlib.crc32(np.array([*own.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes())) for d, t in rows)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for found in (queries.op2_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.pack_sequences(spark, docs, "")):
+        assert sorted((r.doc_id, r.ids_crc32) for r in found.collect()) == want
