@@ -12,13 +12,13 @@ edge per fingerprint, not every pair.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, width
@@ -26,6 +26,8 @@ from .components import component_labels
 from .textkit import blocks
 
 BITS = 64
+#: A table of crowded groups, or of ids that go, is broadcast up to this number of rows.
+BROADCAST_GROUPS, BROADCAST_IDS = 100_000, 2_000_000
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -113,13 +115,33 @@ class _Forest:
         return (self.run_end[a_lo] >= a_hi) & (self.run_end[b_lo] >= b_hi) & (self.label[a_lo] == self.label[b_lo])
 
 
-def trie_links(tries: np.ndarray, side: np.ndarray, keys: np.ndarray, top: int, budget: int, frontier: int = 1 << 20) -> np.ndarray:
+def _leaf_pairs(a_lo: np.ndarray, a_hi: np.ndarray, b_lo: np.ndarray, b_hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of a leaf of one node and a leaf of the other; within one node each pair once."""
+    wide = b_hi - b_lo
+    n = (a_hi - a_lo) * wide
+    of = np.repeat(np.arange(len(n)), n)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    x, y = a_lo[of] + k // wide[of], b_lo[of] + k % wide[of]
+    once = (a_lo[of] != b_lo[of]) | (x < y)
+    return x[once], y[once]
+
+
+def trie_links(
+    tries: np.ndarray,
+    side: np.ndarray,
+    keys: np.ndarray,
+    top: int,
+    budget: int,
+    frontier: int = 1 << 20,
+    holds: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
+) -> np.ndarray:
     """Component label per row for many tries at once.
 
     ``keys`` are sorted within each trie, and rows of one trie (and side) stand
     together; ``side`` is 0 for a trie that is joined with itself, else 1 and 2
     for the two tries of a pair, in this order. Keys of one trie agree on their
-    ``top`` leading bits.
+    ``top`` leading bits. ``holds`` says which of some pairs of rows within the
+    budget link; without it all do, and the keys of a trie are distinct.
     """
     n = len(keys)
     forest = _Forest(n)
@@ -146,6 +168,8 @@ def trie_links(tries: np.ndarray, side: np.ndarray, keys: np.ndarray, top: int,
         if single.any():
             x, y = a_lo[single], b_lo[single]
             near = np.bitwise_count(keys[x] ^ keys[y]) <= budget
+            if holds is not None:
+                near[near] = holds(x[near], y[near])
             if near.any():
                 forest.link(x[near], y[near])
         keep &= ~single
@@ -153,7 +177,9 @@ def trie_links(tries: np.ndarray, side: np.ndarray, keys: np.ndarray, top: int,
             continue
         a_lo, a_hi, b_lo, b_hi, apart = a_lo[keep], a_hi[keep], b_lo[keep], b_hi[keep], apart[keep]
         if depth == BITS:  # equal to the last bit but for what is counted: both are within the budget
-            forest.link(a_lo, b_lo)
+            x, y = _leaf_pairs(a_lo, a_hi, b_lo, b_hi)
+            near = np.ones(len(x), dtype=bool) if holds is None else holds(x, y)
+            forest.link(x[near], y[near])
             continue
         if ones[depth] is None:
             ones[depth] = np.concatenate([[0], np.cumsum((keys >> np.uint64(BITS - 1 - depth)) & np.uint64(1))]).astype(np.int64)
@@ -178,6 +204,29 @@ def trie_links(tries: np.ndarray, side: np.ndarray, keys: np.ndarray, top: int,
     return forest.label
 
 
+def sliced(rows: DataFrame, by: list[str], share: int, key: str, weight: Column | None = None) -> DataFrame:
+    """``rows`` with i, j and side: a group of more than ``share`` rows (or weight) is dealt out as pairs of slices.
+
+    Every row of slice ``own`` goes to the pairs (own, j) and (i, own); in a pair
+    of two slices, side tells them apart (1 and 2), else it is 0.
+    """
+    # As many rows as there are crowded groups.
+    crowded = rows.groupBy(*by).agg(F.sum(F.lit(1) if weight is None else weight).alias("weight")).where(F.col("weight") > share)
+    crowded = crowded.select(*by, F.ceil(F.col("weight") / share).cast("int").alias("slices"))
+    n = crowded.count()
+    if not n:
+        return rows.withColumns({"i": F.lit(0), "j": F.lit(0), "side": F.lit(0)})
+    slices = F.coalesce("slices", F.lit(1))
+    return (
+        rows.join(F.broadcast(crowded) if n <= BROADCAST_GROUPS else crowded, by, "left")
+        .withColumn("own", F.pmod(F.xxhash64(key), slices).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), slices - 1)))
+        .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+        .withColumn("side", F.when(F.col("i") == F.col("j"), 0).when(F.col("own") == F.col("i"), 1).otherwise(2))
+        .drop("slices", "own", "other")
+    )
+
+
 def near_links(distinct: DataFrame, budget: int = 3, most: int = 4096) -> DataFrame:
     """Edges ``(u, v)`` among distinct fingerprints ``fp``: enough of them to connect all that link.
 
@@ -196,18 +245,7 @@ def near_links(distinct: DataFrame, budget: int = 3, most: int = 4096) -> DataFr
 
     dealt = distinct.select(F.explode(F.array(*(F.struct(F.lit(k).alias("block"), rotated(k).alias("key")) for k in range(n_blocks)))).alias("x")).select("x.block", "x.key")
     dealt = dealt.withColumn("value", F.shiftrightunsigned("key", BITS - size))
-    # Counts of block values: as many rows as there are crowded values.
-    crowded = dealt.groupBy("block", "value").count().where(F.col("count") > share)
-    crowded = crowded.select("block", "value", F.ceil(F.col("count") / share).cast("int").alias("slices"))
-    slices = F.coalesce("slices", F.lit(1))
-    own = F.pmod(F.xxhash64("key"), slices).cast("int")
-    dealt = (
-        dealt.join(crowded, ["block", "value"], "left")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), slices - 1)))
-        .select("block", "value", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
-        .withColumn("side", F.when(F.col("i") == F.col("j"), 0).when(F.col("own") == F.col("i"), 1).otherwise(2))
-    )
+    dealt = sliced(dealt, ["block", "value"], share, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = [x for x in batches if x.num_rows]
@@ -265,7 +303,7 @@ def keep_least(docs: DataFrame, components: DataFrame, id_col: str = "doc_id") -
     """Rows of ``docs`` whose id is that of their component in ``(doc_id, component_id)``, one of each id."""
     found = materialise(components, "components")
     out = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(out, docs[id_col] == out["_gone"], "left_anti")
+    kept = docs.join(F.broadcast(out) if out.count() <= BROADCAST_IDS else out, docs[id_col] == out["_gone"], "left_anti")
     again = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
     if again.isEmpty():
         return kept
