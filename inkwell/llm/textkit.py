@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 _SPACES = [0x20, *range(0x09, 0x0E)]
@@ -101,6 +102,44 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: i
     return out
 
 
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A first occurrence of each distinct span (of one ``kind``), and the place among these of every span.
+
+    Spans are grouped by a hash and every one is compared with its group's first; groups that hold
+    different spans are taken apart. Spans are in order and don't overlap.
+    """
+    n = len(starts)
+    hashes = span_hashes(data, starts, ends)
+    if kind is not None:
+        hashes ^= mix(kind.astype(np.uint64) + np.uint64(1))
+    back, own = pd.factorize(hashes)
+    first = np.empty(len(own), np.int64)
+    first[back[::-1]] = np.arange(n - 1, -1, -1)
+    size, to = ends - starts, first[back]
+    wrong = size[to] != size
+    if kind is not None:
+        wrong |= kind[to] != kind
+    for at in range(0, n, 1 << 18):
+        some = at + np.flatnonzero(~wrong[at : at + (1 << 18)] & (to[at : at + (1 << 18)] != np.arange(at, min(n, at + (1 << 18)))))
+        if len(some):
+            stop = np.cumsum(size[some])
+            place = np.repeat(starts[some] - (stop - size[some]), size[some]) + np.arange(int(stop[-1]))
+            apart = data[place] != data[place + np.repeat(starts[to[some]] - starts[some], size[some])]
+            if apart.any():
+                wrong[some[np.searchsorted(stop, np.flatnonzero(apart), side="right")]] = True
+    if wrong.any():
+        found: dict[tuple[int, bytes], int] = {}
+        firsts = first.tolist()
+        for i in np.flatnonzero(wrong).tolist():
+            key = (0 if kind is None else int(kind[i]), data[starts[i] : ends[i]].tobytes())
+            if key not in found:
+                found[key] = len(firsts)
+                firsts.append(i)
+            back[i] = found[key]
+        first = np.array(firsts, np.int64)
+    return first, back
+
+
 def sums_between(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of ``values`` between neighbouring offsets (0 for an empty stretch)."""
     total = np.zeros(len(values) + 1, dtype=np.int64)

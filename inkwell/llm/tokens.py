@@ -11,7 +11,7 @@ from functools import cache, cached_property
 
 import numpy as np
 
-from .textkit import NOT_SPACE, byte_table, runs, span_hashes
+from .textkit import NOT_SPACE, byte_table, distinct_spans, runs
 
 #: White space, by any definition that a vocabulary's pattern may use, other than the ASCII characters between words.
 _ODD = re.compile(r"[\s\x1c-\x1f\x85\u200b\ufeff]")
@@ -27,40 +27,37 @@ def vocabulary(name: str) -> str:
 
 
 class WordTable:
-    """Ids by 64-bit word hash, in sorted arrays; at most ``limit`` words are remembered."""
+    """What ``encode`` gives for each word, by the word itself; about ``limit`` words are remembered."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 250_000):
         self.encode, self.limit = encode, limit
         self._empty()
 
     def _empty(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int32)
-        self.size = np.zeros(0, np.int32)  # -1: the word holds white space of another kind
+        self.slot: dict[bytes, int] = {}
+        self.at = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)  # -1: the word holds white space of another kind
         self.ids = np.zeros(0, np.uint32)
 
-    def find(self, hashes: np.ndarray, word: Callable[[int], str]) -> tuple[np.ndarray, np.ndarray]:
-        """Places in ``ids`` and lengths for distinct hashes; ``word(i)`` is the i-th word's text."""
-        if len(self.keys) > self.limit:
+    def find(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``ids`` and lengths for distinct words."""
+        if len(self.slot) > self.limit:
             self._empty()
-        place = np.searchsorted(self.keys, hashes)
-        known = place < len(self.keys)
-        known[known] = self.keys[place[known]] == hashes[known]
-        missing = np.flatnonzero(~known)
-        if len(missing):
-            words = [word(i) for i in missing.tolist()]
-            odd = np.array([bool(_ODD.search(w, w[:1] == " ")) for w in words])
-            ids = self.encode(words)
+        get = self.slot.get
+        slots = [get(w, -1) for w in words]
+        new = [i for i, s in enumerate(slots) if s < 0]
+        if new:
+            texts = [words[i].decode() for i in new]
+            odd = np.array([bool(_ODD.search(w, w[:1] == " ")) for w in texts])
+            ids = self.encode(texts)
             size = np.fromiter(map(len, ids), np.int64, len(ids))
-            at = len(self.ids) + np.cumsum(size) - size
+            for i in new:
+                slots[i] = self.slot[words[i]] = len(self.slot)
+            self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, np.where(odd, -1, size)])
             self.ids = np.concatenate([self.ids, np.fromiter((x for own in ids for x in own), np.uint32, int(size.sum()))])
-            order = np.argsort(hashes[missing])
-            where = np.searchsorted(self.keys, hashes[missing][order])
-            self.keys = np.insert(self.keys, where, hashes[missing][order])
-            self.at = np.insert(self.at, where, at[order].astype(np.int32))
-            self.size = np.insert(self.size, where, np.where(odd, -1, size)[order].astype(np.int32))
-            place = np.searchsorted(self.keys, hashes)
-        return self.at[place].astype(np.int64), self.size[place].astype(np.int64)
+        place = np.array(slots, np.int64)
+        return self.at[place], self.size[place]
 
 
 def gather(ids: np.ndarray, at: np.ndarray, size: np.ndarray, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -173,11 +170,9 @@ class ByteLevelIds:
             plain[doc[wrong]] = False
             fed = inner & (ahead == 0x0A)
             bare = head | fed | ~lead
-            hashes = span_hashes(data, starts, ends) ^ np.where(bare, np.uint64(0x5851F42D4C957F2D), np.uint64(0))
-            own, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+            where, back = distinct_spans(data, starts, ends, bare)
             raw = data.tobytes()
-            s, e, b = starts[where].tolist(), ends[where].tolist(), bare[where].tolist()
-            at, size = self.table.find(own, lambda i: ("" if b[i] else " ") + raw[s[i] : e[i]].decode())
+            at, size = self.table.find([(b"" if b else b" ") + raw[s:e] for s, e, b in zip(starts[where].tolist(), ends[where].tolist(), bare[where].tolist())])
             at, size = at[back], size[back]
             plain[doc[size < 0]] = False
             before = fed.astype(np.int64)
@@ -200,23 +195,30 @@ class ByteLevelIds:
         return out
 
 
-@cache
-def known_characters(path: str) -> np.ndarray:
-    """Per code point: whether a sentencepiece vocabulary with byte fallback has it.
+class PieceCounts:
+    """Tokens of single words by a sentencepiece vocabulary with byte fallback, and how many of them are bytes."""
 
-    Its merges start from single characters and a character that is no piece
-    never takes part in one, so exactly the others become byte tokens.
-    """
-    import sentencepiece
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
+        self.table = WordTable(self._counts)
+
+    def _counts(self, words: list[str]) -> list[list[int]]:
+        return [[len(ids), int(self.is_byte[ids].sum())] for ids in self.model.encode(words, num_threads=1)]
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    known = np.zeros(0x110000, dtype=bool)
-    known[[ord(p) for p in map(model.id_to_piece, range(model.get_piece_size())) if len(p) == 1]] = True
-    known[0x20] = True
-    return known
+    def counts(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens and byte tokens of distinct words."""
+        at, _ = self.table.find(words)
+        return self.table.ids[at].astype(np.int64), self.table.ids[at + 1].astype(np.int64)
+
+
+@cache
+def piece_counts(path: str) -> PieceCounts:
+    return PieceCounts(path)
 
 
 @cache
 def byte_level(path: str, ranks: str | None = None, added: bool = False) -> ByteLevelIds:
     return ByteLevelIds(path, ranks, added)
-

@@ -38,6 +38,17 @@ def test_ids_equal_the_tokenizers(tokenizer, ranks):
         assert got == [tokenizer(t) for t in own]
 
 
+@pytest.mark.parametrize("n", [1024, 8192])
+def test_words_of_one_hash_are_told_apart(tokenizer, n):
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    a, b = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    own = [a, b, f"{a} {b} {a}", f"{b}\n{a}", f"x {b}"]
+    model = byte_level(vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
+    for limit in (1 << 20, 1):
+        got = [x.tolist() for _, data, offsets in blocks([pa.RecordBatch.from_arrays([pa.array(own)], names=["text"])], "text", limit=limit) for x in model.encode(data, offsets)]
+        assert got == [tokenizer(t) for t in own]
+
+
 def test_documents_come_back_whole(spark, tokenizer):
     rows = [(i, t) for i, t in enumerate(texts(60))] + [(900, "word " * 5000), (901, "x" * 4000), (3, "again"), (None, "no id")]
     rows += [(902, " ".join(["the"] * 1023)), (903, " ".join(["the"] * 1024))]
