@@ -84,33 +84,68 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: st
     return own.select("*", source.cast("string").alias("source"), word_count(text).alias("size"), random_key(seed, i, text).alias("key"), i.alias("tie"))
 
 
-def taken(rows: DataFrame, slim: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3) -> DataFrame:
-    """``rows`` (as of ``keyed``) with source_size, target and ``taken``; ``slim`` are their source, size and key."""
-    spark = rows.sparkSession
+_ORDER = ["key", "tie", "size"]  # of a source's rows
+
+
+def planned(slim: DataFrame, weights: Sequence[int], most: int) -> tuple[DataFrame, bool]:
+    """A row per source with its target, bucket width, whole ``epochs`` and the ``rest`` of the further one; whether it is small."""
     sources = slim.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
     targets = target_table(sources, weights, most)
     n, m = targets.agg(F.sum("n"), F.count("*")).first()
     # Buckets hold about as many rows each whatever the source, some for every task.
-    per_bucket = max(64, -(-(n or 0) // (2 * width(spark))))
-    targets = materialise(targets.withColumn("step", F.floor(F.lit(_RANGE) / F.ceil(F.col("n") / per_bucket)).cast("long") + 1), "targets")
-    if m <= BROADCAST_SOURCES:
-        targets = F.broadcast(targets)
+    per_bucket = max(64, -(-(n or 0) // (2 * width(slim.sparkSession))))
+    epochs = F.when(F.col("source_size") > 0, F.expr("cast(round(target) as bigint) div source_size")).otherwise(0).cast("long")
+    targets = targets.withColumns({"step": F.floor(F.lit(_RANGE) / F.ceil(F.col("n") / per_bucket)).cast("long") + 1, "epochs": epochs})
+    rest = F.round("target").cast("long") - F.col("epochs") * F.col("source_size")
+    targets = materialise(targets.withColumn("rest", rest).withColumnRenamed("source", "of").drop("n"), "targets")
+    return targets, m <= BROADCAST_SOURCES
+
 
-    def placed(df: DataFrame) -> DataFrame:
-        plan = targets.withColumnRenamed("source", "of")
-        return df.join(plan, F.col("source").eqNullSafe(F.col("of"))).withColumn("bucket", F.expr("key div step")).drop("of", "n", "step")
+def _placed(df: DataFrame, targets: DataFrame) -> DataFrame:
+    return df.join(targets, F.col("source").eqNullSafe(F.col("of"))).withColumn("bucket", F.expr("key div step")).drop("of", "step")
 
-    sums = placed(slim).groupBy("src", "bucket").agg(F.sum("size").alias("own"))
+
+def _bucket_sums(slim: DataFrame, targets: DataFrame) -> DataFrame:
+    """``(src, bucket, own, earlier)``: the sizes in a bucket, and in those before it."""
+    sums = _placed(slim, targets).groupBy("src", "bucket").agg(F.sum("size").alias("own"))
     earlier = F.sum("own").over(W.partitionBy("src").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
-    sums = sums.select("src", "bucket", F.coalesce(earlier, F.lit(0)).alias("earlier"))
-    within = F.sum("size").over(W.partitionBy("src", "bucket").orderBy("key", "tie", "size").rowsBetween(W.unboundedPreceding, -1))
-    before = F.col("earlier") + F.coalesce(within, F.lit(0))
-    budget = F.round("target").cast("long")
-    epochs = F.when(F.col("source_size") > 0, F.expr("cast(round(target) as bigint) div source_size")).otherwise(0)
-    rest = budget - epochs * F.col("source_size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - before))
-    found = placed(rows).join(sums, ["src", "bucket"]).withColumn("taken", (epochs * F.col("size") + part).cast("long"))
-    return found.drop("src", "bucket", "earlier", "key", "tie")
+    return sums.select("src", "bucket", "own", F.coalesce(earlier, F.lit(0)).alias("earlier"))
+
+
+def _before() -> Column:
+    """Sizes ahead of a row in its source."""
+    within = F.sum("size").over(W.partitionBy("src", "bucket").orderBy(*_ORDER).rowsBetween(W.unboundedPreceding, -1))
+    return F.col("earlier") + F.coalesce(within, F.lit(0))
+
+
+def taken(rows: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3) -> DataFrame:
+    """``rows`` (as of ``keyed``) with source_size, target and ``taken``."""
+    targets, small = planned(rows, weights, most)
+    targets = F.broadcast(targets) if small else targets
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - _before()))
+    found = _placed(rows, targets).join(_bucket_sums(rows, targets).drop("own"), ["src", "bucket"])
+    found = found.withColumn("taken", (F.col("epochs") * F.col("size") + part).cast("long"))
+    return found.drop("src", "bucket", "earlier", "key", "tie", "epochs", "rest")
+
+
+def cuts(slim: DataFrame, weights: Sequence[int], most: int) -> tuple[DataFrame, bool, bool]:
+    """Per source ``of`` its epochs, and the row at the cut of the further one: rows ahead of it come once more.
+
+    ``same`` rows are equal to the row at the cut, of which ``whole`` come once
+    more. Also tells whether the table is small, and whether rows are equal at any cut. Only the
+    buckets with a cut are sorted.
+    """
+    targets, small = planned(slim, weights, most)
+    hint = F.broadcast if small else lambda x: x
+    at = _bucket_sums(slim, hint(targets)).join(hint(targets.select("src", "rest")), "src")
+    at = at.where((F.col("rest") >= F.col("earlier")) & (F.col("rest") < F.col("earlier") + F.col("own"))).select("src", "bucket", "earlier")
+    rows = _placed(slim, hint(targets)).join(hint(at), ["src", "bucket"]).withColumn("before", _before())
+    alike = rows.groupBy("src", *_ORDER).agg(F.count("*").alias("same"), F.min("before").alias("start"), F.first("rest").alias("goal"))
+    alike = alike.where((F.col("goal") >= F.col("start")) & (F.col("goal") < F.col("start") + F.col("same") * F.col("size")))
+    whole = F.floor((F.col("goal") - F.col("start")) / F.col("size") + 0.5).cast("long")
+    alike = alike.select("src", *(F.col(c).alias(f"cut_{c}") for c in _ORDER), "same", whole.alias("whole"))
+    found = materialise(targets.select("src", "of", "epochs").join(hint(alike), "src", "left").drop("src"), "cuts")
+    return found, small, not found.where("same > 1").isEmpty()
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", weights: Sequence[int] = (5, 2, 1), most: int = 3) -> DataFrame:
@@ -124,20 +159,31 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
     rows = materialise(keyed(slim, "doc_id", "text", "source", seed).drop("c1", "c2"), "sizes")
-    return taken(rows, rows, weights, most).select(F.col("c0").alias("doc_id"), "source", "size", "source_size", "target", "taken")
+    return taken(rows, weights, most).select(F.col("c0").alias("doc_id"), "source", "size", "source_size", "target", "taken")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", weights: Sequence[int] = (5, 2, 1), most: int = 3) -> DataFrame:
     """The mixed rows themselves, with the columns of ``docs``: each document as often as it is taken.
 
     Documents stay whole: the one at a source's cut comes once more if at least
-    half of it is inside. Documents without words come once.
+    half of it is inside. Documents without words, also null and empty ones,
+    come once. A row is decided by its place before or behind its source's cut,
+    so no text is shuffled; of equal rows at a cut as many come as fit. An empty
+    table gives no rows; other columns stay, whatever their names.
     """
     rows = keyed(docs, id_col, text_col, source_col, seed)
-    slim = materialise(rows.select("source", "size", "key"), "sizes")
-    found = taken(rows, slim, weights, most)
-    copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5)).cast("int")
-    found = found.withColumn("copies", copies).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    table, small, several = cuts(materialise(rows.select("source", *_ORDER), "sizes"), weights, most)
+    own = rows.join(F.broadcast(table) if small else table, F.col("source").eqNullSafe(F.col("of")))
+    place, cut = F.struct(*_ORDER), F.struct(*(F.col(f"cut_{c}").alias(c) for c in _ORDER))
+    at_cut, ahead = F.coalesce(place.eqNullSafe(cut) & F.col("cut_key").isNotNull(), F.lit(False)), F.coalesce((place < cut) & F.col("cut_key").isNotNull(), F.lit(False))
+    more = F.when(ahead, 1).when(at_cut, F.col("whole")).otherwise(0)
+    own = own.withColumns({"at_cut": at_cut, "more": more})
+    if several:  # equal rows at a cut: as many of them as the cut leaves
+        nth = F.row_number().over(W.partitionBy("source").orderBy("key"))
+        tied = own.where("at_cut").withColumn("more", F.when(nth <= F.col("whole"), 1).otherwise(0))
+        own = own.where("not at_cut").unionByName(tied)
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.col("epochs") + F.col("more")).cast("int")
+    found = own.withColumn("copies", copies).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return found.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 

@@ -93,3 +93,10 @@ def test_sql(spark, tmp_path):
     frame(spark, [r for r in rows_of() if r[0] is not None]).write.parquet(f"{tmp_path}/documents.parquet")
     for sf in (str(tmp_path), "/root/testdata/sf0.01"):
         same(queries.op1_mixing(spark, sf), queries.ORACLE_SQL["op1_mixing"], sf)
+
+
+def test_equal_rows_at_a_cut(spark):
+    rows = [(1, "w " * 7, "a")] * 40 + [(i, "w " * 5, "b") for i in range(100)]
+    got = Counter(r.source for r in mixing.mixed(frame(spark, rows)).collect())
+    target = fill({"a": 280, "b": 500})
+    assert abs(got["a"] * 7 - target["a"]) <= 3.5 and abs(got["b"] * 5 - target["b"]) <= 2.5
