@@ -95,6 +95,11 @@ def is_image_like(mime="mime", ext="ext", profile: str = "ui") -> Column:
     return is_image(mime, ext, profile) | is_pdf(mime, ext, profile)
 
 
+def source_kind(mime="mime", ext="ext") -> Column:
+    """How a file's pages become images: ``pdf`` or ``image``; null for files that have none."""
+    return F.when(is_pdf(mime, ext), "pdf").when(is_image(mime, ext), "image")
+
+
 def last_dot_part(name="name") -> Column:
     """What stands after the last dot, lower-case; a name without a dot is its own extension."""
     return F.lower(F.element_at(F.split(text(name), "[.]"), -1))

@@ -33,10 +33,17 @@ def _as_characters(own: Column, known: Column) -> Column:
 
 
 def wer(reference: Column, hypothesis: Column) -> Column:
-    """Edit distance in words, by the reference's number of words, with the same rule for an empty one."""
+    """Edit distance in words, by the reference's number of words, with the same rule for an empty one.
+
+    A pair of more than WORDS different words raises an error.
+    """
 
     def rate(s: Column) -> Column:
-        return _rate(F.levenshtein(_as_characters(s["a"], s["known"]), _as_characters(s["b"], s["known"])), F.size(s["a"]), F.size(s["b"]) == 0)
+        fits = F.when(F.size(s["known"]) > WORDS, F.raise_error(F.lit(f"a pair has more than {WORDS} different words"))).otherwise(_distance(s))
+        return _rate(fits, F.size(s["a"]), F.size(s["b"]) == 0)
+
+    def _distance(s: Column) -> Column:
+        return F.levenshtein(_as_characters(s["a"], s["known"]), _as_characters(s["b"], s["known"]))
 
     pair = F.struct(words(reference).alias("a"), words(hypothesis).alias("b"))
     return let(pair, lambda p: let(F.struct(p["a"].alias("a"), p["b"].alias("b"), F.array_union(p["a"], p["b"]).alias("known")), rate))

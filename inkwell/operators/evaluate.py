@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,28 +40,6 @@ def flat_text(column: Column, kind: T.DataType) -> Column:
     return F.array_join(values(column, kind), " ")
 
 
-@F.pandas_udf(T.StringType())
-def json_flat_text(records: pd.Series) -> pd.Series:
-    """The same for JSON text of unknown form, whose order of fields Spark would not keep; null where it isn't JSON."""
-
-    def flat(text: str | None) -> str | None:
-        try:
-            left, out = [json.loads(text)], []
-        except (TypeError, ValueError):
-            return None
-        while left:
-            one = left.pop()
-            if isinstance(one, dict):
-                left.extend(one.values())
-            elif isinstance(one, list):
-                left.extend(one)
-            elif one is not None and str(one).strip():
-                out.append(str(one).strip())
-        return " ".join(out)
-
-    return records.map(flat)
-
-
 def error_rates(pairs: DataFrame, reference: str, hypothesis: str) -> DataFrame:
     """``pairs`` with cer and wer of two text columns; null texts count as empty."""
     a, b = (F.coalesce(F.col(c), F.lit("")) for c in (reference, hypothesis))
@@ -76,3 +51,9 @@ def compare(truth: DataFrame, recognised: DataFrame, keys: list[str], record: st
     kinds = [df.schema[record].dataType for df in (truth, recognised)]
     a, b = (df.select(*keys, flat_text(F.col(record), kind).alias(name)) for df, kind, name in zip((truth, recognised), kinds, ("reference", "hypothesis")))
     return error_rates(a.join(b, keys, "left"), "reference", "hypothesis").select(*keys, "cer", "wer")
+
+
+def tally(results: DataFrame, passed: Column, keys: list[str] = ()) -> DataFrame:
+    """``(keys, passed, total, share)`` of checks; a null verdict is no pass, and without checks the share is null."""
+    share = F.count_if(passed) / F.nullif(F.count("*"), F.lit(0))
+    return results.groupBy(*keys).agg(F.count_if(passed).alias("passed"), F.count("*").alias("total"), share.alias("share"))

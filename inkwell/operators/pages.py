@@ -65,9 +65,17 @@ def text_pages(items: DataFrame, keys: list[str], order: str, text: str, per_pag
     """
     worded = F.coalesce(F.col(text).rlike(r"[^\s\p{Z}]"), F.lit(False))
     listed = items.groupBy(*keys).agg(_in_order(F.col(text), order, worded).alias("all"))
-    total = F.ceil(F.size("all") / per_page).cast("int")
-    paged = listed.where(F.size("all") > 0).select(*keys, "all", total.alias("total_pages"), F.explode(F.sequence(F.lit(1), total)).alias("page"))
-    first = (F.col("page") - 1) * per_page + 1
-    return paged.select(
-        *keys, "page", "total_pages", first.alias("first"), F.least(F.col("page") * per_page, F.size("all")).alias("last"), F.slice("all", first, F.lit(per_page)).alias("paragraphs")
+    n, total = F.size("all"), F.ceil(F.size("all") / per_page).cast("int")
+    # Pages are cut before they become rows, so no row carries the whole document along.
+    page = F.transform(
+        F.sequence(F.lit(1), total),
+        lambda i: F.struct(
+            i.alias("page"), total.alias("total_pages"), ((i - 1) * per_page + 1).alias("first"), F.least(i * per_page, n).alias("last"), F.slice("all", (i - 1) * per_page + 1, F.lit(per_page)).alias("paragraphs")
+        ),
     )
+    return listed.where(n > 0).select(*keys, F.explode(page).alias("_page")).select(*keys, "_page.*")
+
+
+def converted(images: DataFrame, keys: list[str], image: str = "image") -> DataFrame:
+    """``(keys, image_count)``: how many images a file was converted into; null ones are failures."""
+    return images.groupBy(*keys).agg(F.count(image).alias("image_count"))

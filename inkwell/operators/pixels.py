@@ -122,7 +122,7 @@ def edges(a: np.ndarray, low: float = 50, high: float = 150) -> np.ndarray:
         strong = grown
 
 
-def find_segments(edge: np.ndarray, votes: int, min_length: int, max_gap: int, most: int = 200) -> list[tuple[int, int, int, int]]:
+def find_segments(edge: np.ndarray, votes: int, min_length: int, max_gap: int) -> list[tuple[int, int, int, int]]:
     """Straight segments of edge pixels, by votes for angle and distance in whole degrees and pixels.
 
     The line of most votes is taken first and walked along its longer axis;
@@ -134,9 +134,7 @@ def find_segments(edge: np.ndarray, votes: int, min_length: int, max_gap: int, m
     theta = np.arange(180) * np.pi / 180
     cos, sin = np.cos(theta), np.sin(theta)
     reach = int(np.hypot(*edge.shape)) + 1
-    for _ in range(most):
-        if len(x) < votes:
-            break
+    while len(x) >= max(votes, 2):
         rho = np.rint(x[:, None] * cos + y[:, None] * sin).astype(np.int64) + reach
         table = np.bincount((rho + np.arange(180) * (2 * reach + 1)).ravel(), minlength=180 * (2 * reach + 1))
         best = int(table.argmax())

@@ -61,16 +61,6 @@ def recognize(pages: DataFrame, name: str, load: Callable[[], Recognizer], image
     return pages.mapInPandas(run, schema)
 
 
-class EchoRecognizer:
-    """A stand-in for tests: its text is the image's origin. It recognises nothing."""
-
-    def infer(self, image: dict, prompt: str) -> tuple[str, list[int] | None, list[list[float]] | None]:
-        if image is None or image["height"] is None or image["height"] <= 0:
-            raise ValueError("undecodable image")
-        text = str(image["origin"])
-        return text, [0] * len(text), [[2.0, 0.0]] * len(text)
-
-
 def inventory(spark: SparkSession, names: list[str], in_memory: list[str], accelerated: bool = False) -> DataFrame:
     """``(model, is_loaded, accelerated)`` for each known model."""
     rows = spark.createDataFrame([(n,) for n in names], "model string")

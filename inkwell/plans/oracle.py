@@ -63,12 +63,34 @@ FROM ranked WHERE r = 1"""
 _MISREAD = "regexp_replace(translate({0}, 'aeo', '430'), 'th|é', 't', 'g')"
 # DuckDB's levenshtein counts bytes: the characters of a pair become ASCII ones first.
 _CER = """
-SELECT *, CASE WHEN reference = '' THEN CASE WHEN hypothesis = '' THEN 0 ELSE 1 END ELSE
+SELECT *, CASE WHEN reference = '' THEN CASE WHEN hypothesis = '' THEN 0 ELSE 1 END WHEN hypothesis = '' THEN 1 ELSE
   levenshtein(array_to_string(list_transform(string_split(reference, ''), lambda x: chr(list_position(k, x)::INTEGER)), ''),
               array_to_string(list_transform(string_split(hypothesis, ''), lambda x: chr(list_position(k, x)::INTEGER)), ''))::DOUBLE / length(reference) END AS rate
 FROM (SELECT *, list_distinct(string_split(reference || hypothesis, '')) AS k FROM ({rows}))"""
+
+
+# Word error rates by the table of prefixes, row by row: DuckDB's own distance has too few symbols for words.
+def _wer(rows: str) -> str:
+    return f"""
+SELECT *, CASE WHEN len(a) = 0 THEN CASE WHEN len(b) = 0 THEN 0 ELSE 1 END ELSE
+  list_reduce(list_transform(range(1, len(a) + 1), lambda i: [i]), lambda up, i:
+    list_reduce(list_transform(range(1, len(b) + 1), lambda j: [j]), lambda own, j: list_append(own, least(own[-1] + 1, up[j[1] + 1] + 1, up[j[1]] + CASE WHEN a[i[1]] = b[j[1]] THEN 0 ELSE 1 END)), [i[1]]),
+    range(0, len(b) + 1))[-1]::DOUBLE / len(a) END AS word_rate
+FROM (SELECT *, list_filter(string_split_regex(reference, '{_WHITE}+'), lambda w: w <> '') AS a, list_filter(string_split_regex(hypothesis, '{_WHITE}+'), lambda w: w <> '') AS b FROM ({rows}))"""
+
+
 _PAIRS = f"SELECT conv_id, turn, text AS reference, {_MISREAD.format('text')} AS hypothesis FROM conversations"
 
+_POSITIONAL = f"""
+SELECT conv_id, turn, CASE WHEN a = b THEN 100::DOUBLE WHEN a = '' OR b = '' THEN 0::DOUBLE ELSE len(list_filter(range(1, least(len(x), len(y)) + 1), lambda i: x[i] = y[i]))::DOUBLE / greatest(len(x), len(y)) * 100 END AS percent
+FROM (SELECT *, string_split(a, '') AS x, string_split(b, '') AS y FROM (
+  SELECT conv_id, turn, lower(regexp_replace(reference, '^{_WHITE}+|{_WHITE}+$', '', 'g')) AS a, lower(regexp_replace(hypothesis, '^{_WHITE}+|{_WHITE}+$', '', 'g')) AS b FROM ({_PAIRS})))"""
+
+
+def _record(text: str) -> str:
+    return f"(turn * 0.25)::DOUBLE::VARCHAR || ' ' || coalesce(nullif(regexp_replace({text}, '^{_WHITE}+|{_WHITE}+$', '', 'g'), '') || ' ', '') || role || ' ' || turn || ' C-' || conv_id"
+
+
 _ENDS = "['.JPG', '.pdf', '.tif', '.tiff', '.webp', '.gif', '.docx', '.txt', '.Json', '', '.tar.gz', '.png', '.']"
 _MIMES = "[NULL, 'image/png', 'application/pdf', 'application/octet-stream', 'image/webp']"
 _UPLOADS = f"""
@@ -127,14 +149,24 @@ SELECT conv_id, coalesce(string_agg(n::VARCHAR, ',' ORDER BY n) FILTER (text <>
     "line_geometry": f"{_SEGMENTS.format(**_PROFILES['server'][0])} SELECT image_id, line_index, round(length, 6) AS length, round(angle, 6) AS angle, is_level FROM line",
     **{f"line_select_{p}": _select(p) for p in _PROFILES},
     "cer": f"SELECT conv_id, turn, round(rate, 6) AS cer FROM ({_CER.format(rows=_PAIRS)})",
-    "text_similarity": f"""
-SELECT conv_id, turn, round(percent, 6) AS percent, percent >= 70 AS passes FROM (
-  SELECT conv_id, turn, CASE WHEN a = b THEN 100::DOUBLE WHEN a = '' OR b = '' THEN 0::DOUBLE ELSE len(list_filter(range(1, least(len(x), len(y)) + 1), lambda i: x[i] = y[i]))::DOUBLE / greatest(len(x), len(y)) * 100 END AS percent
-  FROM (SELECT *, string_split(a, '') AS x, string_split(b, '') AS y FROM (
-    SELECT conv_id, turn, lower(regexp_replace(reference, '^{_WHITE}+|{_WHITE}+$', '', 'g')) AS a, lower(regexp_replace(hypothesis, '^{_WHITE}+|{_WHITE}+$', '', 'g')) AS b FROM ({_PAIRS}))))""",
+    "wer": f"SELECT conv_id, turn, round(word_rate, 6) AS wer FROM ({_wer(_PAIRS)})",
+    "metric_records": f"""
+WITH texts AS (SELECT *, {_MISREAD.format('text')} AS misread FROM conversations),
+flat AS (
+  SELECT conv_id, turn, {_record('text')} AS reference, CASE WHEN conv_id % 9 = 4 THEN '' ELSE {_record('misread')} END AS hypothesis FROM texts)
+SELECT conv_id, turn, round(rate, 6) AS cer, round(word_rate, 6) AS wer FROM ({_CER.format(rows=_wer("SELECT * FROM flat"))})""",
+    "round_trip_tally": f"""
+SELECT conv_id, count(*) FILTER (percent >= 80) AS passed, count(*) AS total, round(count(*) FILTER (percent >= 80) / count(*), 6) AS share FROM ({_POSITIONAL}) GROUP BY conv_id""",
+    "image_counts": f"{_PAGES} SELECT conv_id, count(*) FILTER (error IS NULL) AS image_count FROM page GROUP BY conv_id",
+    "page_timing": """
+SELECT conv_id, string_agg(round(round(((turn * 37 + conv_id * 11) % 400) / 64::DOUBLE, 2) * 100)::BIGINT::VARCHAR, ',' ORDER BY turn) AS hundredths FROM conversations GROUP BY conv_id""",
+    "page_selectors": """
+SELECT conv_id, turn, least(greatest(1, turn * 3 - 2), n) AS clamped, CASE WHEN turn * 3 - 2 BETWEEN 1 AND n THEN turn * 3 - 2 ELSE 1 END AS saved, CASE WHEN turn * 3 - 2 >= 0 AND turn * 3 - 2 < n THEN turn * 3 - 2 ELSE 0 END AS from_zero
+FROM (SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)""",
+    "text_similarity": f"SELECT conv_id, turn, round(percent, 6) AS percent, percent >= 70 AS passes FROM ({_POSITIONAL})",
     "nested_records": f"""
 WITH flat AS (
-  SELECT conv_id, (count(*) * 0.25)::DOUBLE::VARCHAR || ' ' || string_agg(coalesce(nullif(regexp_replace(CASE WHEN turn % 3 <> 2 THEN substr(text, 1, 40) END, '^{_WHITE}+|{_WHITE}+$', '', 'g'), '') || ' ', '') || role || ' ' || turn, ' ' ORDER BY turn DESC) || ' C-' || conv_id AS reference
+  SELECT conv_id, (count(*) * 0.25)::DOUBLE::VARCHAR || ' ' || string_agg(coalesce(nullif(regexp_replace(CASE WHEN turn % 3 <> 2 THEN text END, '^{_WHITE}+|{_WHITE}+$', '', 'g'), '') || ' ', '') || role || ' ' || turn, ' ' ORDER BY turn DESC) || ' C-' || conv_id AS reference
   FROM conversations GROUP BY conv_id)
 SELECT conv_id, reference, round(rate, 6) AS cer FROM ({_CER.format(rows="SELECT *, " + _MISREAD.format("reference") + " AS hypothesis FROM flat")})""",
     "file_classify_ui": f"""{_UPLOADS}
@@ -208,4 +240,54 @@ WITH store AS (SELECT ({_KINDS})[doc_id % 4 + 1] AS doc_type, 'f' || doc_id AS f
 changes AS (SELECT ({_KINDS})[doc_id % 4 + 1] AS doc_type, 'f' || (doc_id - doc_id % 8 + doc_id % 4) AS file_name, '{{"quality":' || quality || ',"toxic":' || toxic || '}}' AS record, doc_id AS n FROM labels),
 last AS (SELECT doc_type, file_name, record FROM (SELECT *, row_number() OVER (PARTITION BY doc_type, file_name ORDER BY n DESC) AS r FROM changes) WHERE r = 1)
 SELECT * FROM store s WHERE NOT EXISTS (SELECT 1 FROM last l WHERE l.doc_type = s.doc_type AND l.file_name = s.file_name) UNION ALL SELECT * FROM last""",
+    "file_source_kind": f"{_UPLOADS} SELECT doc_id, CASE WHEN is_pdf THEN 'pdf' WHEN is_image THEN 'image' END AS kind FROM kinds",
+    "file_preview": f"""{_UPLOADS},
+shown AS (SELECT *, mime = 'application/pdf' OR ext = '.pdf' AS pdf, starts_with(mime, 'image/') OR ext IN ('.jpg', '.jpeg', '.png', '.bmp', '.gif') AS image, ext = '.docx' AS docx FROM kinds)
+SELECT doc_id, CASE WHEN pdf THEN 150 END AS dpi, CASE WHEN NOT pdf AND image THEN 'Изображение' END AS caption, CASE WHEN NOT pdf AND NOT image AND docx THEN 30 END AS paragraphs_per_page,
+       CASE WHEN pdf OR (NOT image AND docx) THEN true END AS show_page_selector,
+       CASE WHEN is_image THEN '🖼️' WHEN is_pdf THEN '📄' WHEN is_docx THEN '📝' WHEN ext IN ('.txt', '.csv', '.json') THEN '📋' ELSE '📁' END AS icon FROM shown""",
+    "file_formats": f"""{_UPLOADS},
+lists(profile, formats, image_like) AS (VALUES
+  ('ui', ['.bmp', '.docx', '.gif', '.jpeg', '.jpg', '.pdf', '.png'], ['.bmp', '.gif', '.jpeg', '.jpg', '.pdf', '.png']),
+  ('ocr', ['.bmp', '.jpeg', '.jpg', '.pdf', '.png', '.tiff', '.webp'], ['.bmp', '.jpeg', '.jpg', '.pdf', '.png', '.tiff', '.webp']),
+  ('convert', ['.bmp', '.gif', '.jpeg', '.jpg', '.pdf', '.png', '.webp'], ['.bmp', '.gif', '.jpeg', '.jpg', '.pdf', '.png', '.webp'])),
+each AS (SELECT profile, (generate_subscripts(formats, 1) - 1)::INTEGER AS place, unnest(formats) AS format, image_like AS likes FROM lists),
+used AS (SELECT ext AS format, count(*) AS uploads FROM kinds GROUP BY ext)
+SELECT profile, place, format, list_contains(likes, format) AS image_like, coalesce(uploads, 0) AS uploads FROM each LEFT JOIN used USING (format)""",
+    "raw_previews": """
+SELECT doc_id, CASE WHEN shown THEN md5(text) END AS digest, CASE WHEN shown THEN length(text) END::INTEGER AS characters FROM (SELECT *, doc_id % 7 <> 0 AND strlen(text) < 10000 AS shown FROM documents)""",
+    "output_names": f"""{_UPLOADS}
+SELECT doc_id, printf('aligned_%s_%.1fdeg.png', substr(name, 1, length(name) - length(ext)), (size % 901 - 450) / 10) AS aligned_name FROM kinds""",
+    "load_failures": """
+WITH e AS (
+  SELECT event_id, ts, (['404 Client Error: Not Found', 'No module AIStudio_SDK', 'PaddleNLP is missing', 'needs accelerate>=0.26', 'CUDA out of memory'])[event_id % 5 + 1] || ' / ' || event_type AS m,
+         (['deepseek-ocr2', 'glm-ocr', 'deepseek-ocr'])[event_id % 3 + 1] AS model FROM events),
+r AS (
+  SELECT event_id, 'req_' || epoch_us(ts) // 1000 AS request_id, CASE WHEN contains(m, '404 Client Error') AND model = 'deepseek-ocr2' THEN 'model_not_published' WHEN lower(m) LIKE '%aistudio_sdk%' THEN 'dependency_aistudio'
+           WHEN lower(m) LIKE '%paddlenlp%' THEN 'dependency_paddlenlp' WHEN lower(m) LIKE '%accelerate%' THEN 'dependency_accelerate' ELSE m END AS reason FROM e)
+SELECT *, substr(reason, 1, 15) AS short FROM r""",
+    "error_texts": "SELECT doc_id, md5(text || chr(65533)) AS digest, substr(text, 1, 100) AS short FROM documents",
+    "result_exports": """
+WITH t AS (
+  SELECT doc_id, lang, n_chars, coalesce(CASE WHEN doc_id % 3 = 0 THEN 'all ' || source WHEN doc_id % 5 <> 0 THEN lang END, '') AS text FROM documents)
+SELECT doc_id, text, to_base64(encode(text)) AS encoded, CASE WHEN doc_id % 4 <> 0 THEN text END AS decoded, '{"doc_id":' || doc_id || ',"lang":"' || lang || '","n_chars":' || n_chars || ',"error":null}' AS json FROM t""",
+    "registry_defaults": f"""
+WITH {_MODELS},
+typed AS (SELECT *, CASE WHEN category LIKE 'text%' THEN 'text' ELSE category END AS model_type FROM models),
+d AS (SELECT doc_id, (['text', 'vision', 'multimodal', 'ocr', 'embedding', 'specialized'])[doc_id % 6 + 1] AS model_type, (['ocr', 'text_general', 'text_code', 'vision', 'specialized'])[doc_id % 5 + 1] AS category FROM documents)
+SELECT doc_id, d.model_type, coalesce(f.name, 'llama3:latest') AS default_name, d.category, coalesce(offered, 0) AS offered
+FROM d LEFT JOIN (SELECT model_type, min_by(name, ordinal) AS name FROM typed GROUP BY 1) f USING (model_type) LEFT JOIN (SELECT category, count(*) AS offered FROM models GROUP BY 1) o USING (category)""",
+    "registry_server": f"""{_ASKED},
+hits AS (SELECT m.name, doc_id, length(text) > 2000 AND doc_id % 3 = 0 AS served FROM asked JOIN models m ON model IN (m.alias, m.name))
+SELECT m.name, coalesce(bool_or(served), false) AS available_on_server, CASE WHEN m.name IN ('llava:latest', 'qwen:latest') THEN 'loaded' ELSE 'not_loaded' END AS label, count(h.doc_id) AS requests
+FROM models m LEFT JOIN hits h USING (name) GROUP BY m.name""",
+    "registry_refused": f"{_ASKED} SELECT doc_id, model, 400 AS status_code FROM asked WHERE NOT EXISTS (SELECT 1 FROM models m WHERE model IN (m.alias, m.name))",
+    "model_inventory": f"""{_ASKED}
+SELECT m.name AS model, ordinal % 3 = 0 AS is_loaded, false AS accelerated, count(doc_id) AS requests FROM models m LEFT JOIN asked ON model IN (m.alias, m.name) GROUP BY m.name, ordinal""",
+    "binarize_unclamped": """
+WITH px AS (SELECT vec_id, list_transform(embedding, lambda x: least(greatest(floor(x::DOUBLE * 256 + 128), 0), 255)::INTEGER) AS g, vec_id % 300 - 20 AS t FROM embeddings)
+SELECT vec_id, array_to_string(list_transform(g, lambda p: CASE WHEN p > t THEN '1' ELSE '0' END), '') AS bits FROM px""",
+    "ground_truth_records": """
+SELECT 'f' || doc_id AS file_name, CASE WHEN ok THEN doc_id::VARCHAR END AS invoice_number, CASE WHEN ok THEN lang END AS invoice_date, CASE WHEN ok THEN doc_id % 4 END::INTEGER AS items, CASE WHEN ok AND doc_id % 4 > 0 THEN source END AS first
+FROM (SELECT *, doc_id % 5 <> 0 AS ok FROM documents WHERE doc_id % 2 = 0)""",
 }

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import confidence as conf
 from ..functions import errors, files, params, similarity
-from ..operators import chat, evaluate, lines, pages, pixels, registry, session
-from ..sources import ground_truth
+from ..operators import chat, evaluate, lines, pages, pixels, recognize, registry, session
+from ..sources import export, ground_truth
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -147,7 +147,7 @@ def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nested_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of a conversation and its misread copy, compared as nested values."""
     own = table(spark, sf_dir, "conversations")
-    item = F.struct(F.col("turn").alias("line_number"), F.col("role").alias("unit"), F.when(F.col("turn") % 3 != 2, F.substring("text", 1, 40)).alias("description"))
+    item = F.struct(F.col("turn").alias("line_number"), F.col("role").alias("unit"), F.when(F.col("turn") % 3 != 2, F.col("text")).alias("description"))
     truth = own.groupBy("conv_id").agg(F.struct(F.concat(F.lit("C-"), F.col("conv_id").cast("string")).alias("number"), F.array_sort(F.collect_list(item)).alias("items"), F.struct((F.count("*") * 0.25).alias("total")).alias("totals")).alias("record"))
     kind = truth.schema["record"].dataType
     flat = truth.select("conv_id", evaluate.flat_text(F.col("record"), kind).alias("reference"))
@@ -332,11 +332,176 @@ def ground_truth_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ground_truth.upsert(store, changes, "at")
 
 
+# Records: a turn is a record, of which the recognised copy has misread texts; some copies are missing.
+def metric_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error rates of whole nested records."""
+    own = spread(table(spark, sf_dir, "conversations"))
+
+    def record(text: Column) -> Column:
+        item = F.struct(F.col("turn").alias("line_number"), F.col("role").alias("unit"), text.alias("description"))
+        number = F.concat(F.lit("C-"), F.col("conv_id").cast("string"))
+        return F.struct(number.alias("number"), F.array(item).alias("items"), F.struct((F.col("turn") * 0.25).alias("total")).alias("totals")).alias("record")
+
+    truth = own.select("conv_id", "turn", record(F.col("text")))
+    seen = own.where("conv_id % 9 <> 4").select("conv_id", "turn", record(_misread(F.col("text"))))
+    found = evaluate.compare(truth, seen, ["conv_id", "turn"])
+    return found.select("conv_id", "turn", _six(F.col("cer")).alias("cer"), _six(F.col("wer")).alias("wer"))
+
+
+def round_trip_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many turns of a conversation come through a round trip."""
+    a, b = F.col("reference"), F.col("hypothesis")
+    found = evaluate.tally(_pairs(spark, sf_dir), similarity.round_trip_passes(a, b, 80.0), ["conv_id"])
+    return found.select("conv_id", "passed", "total", _six(F.col("share")).alias("share"))
+
+
+def image_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images that each file was converted into: pages that didn't fail."""
+    return pages.converted(recognised_pages(spark, sf_dir).withColumn("image", F.when(F.col("error").isNull(), F.col("page_number"))), ["conv_id"])
+
+
+def page_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds per page in page order; they follow from the page's number and file."""
+    timed = recognised_pages(spark, sf_dir).withColumn("seconds", ((F.col("page_number") * 37 + F.col("conv_id") * 11) % 400) / 64)
+    found = pages.rollup(timed, ["conv_id"], seconds="seconds")
+    return found.select("conv_id", F.array_join(F.transform("seconds_per_page", lambda x: F.round(x * 100).cast("long").cast("string")), ",").alias("hundredths"))
+
+
+def page_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where selectors of a conversation's pages start for wanted and remembered pages, also ones that aren't there."""
+    own = table(spark, sf_dir, "conversations")
+    n = own.groupBy("conv_id").agg(F.count("*").alias("pages"))
+    wanted = F.col("turn") * 3 - 2
+    found = own.join(n, "conv_id")
+    return found.select("conv_id", "turn", params.page_clamp(wanted, F.lit(1), F.col("pages")).alias("clamped"), params.saved_page(wanted, F.col("pages")).alias("saved"), params.zero_page(wanted, F.col("pages")).alias("from_zero"))
+
+
+def file_source_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = uploads(spark, sf_dir).withColumn("ext", files.suffix("name"))
+    return own.select("doc_id", files.source_kind().alias("kind"))
+
+
+def file_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = uploads(spark, sf_dir).withColumn("ext", files.suffix("name"))
+    shown = files.preview()
+    return own.select("doc_id", *(shown[c].alias(c) for c in ("dpi", "caption", "paragraphs_per_page", "show_page_selector")), files.icon().alias("icon"))
+
+
+def file_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sorted formats of each service, and how many uploads have each of them."""
+    used = uploads(spark, sf_dir).withColumn("format", files.suffix("name")).groupBy("format").agg(F.count("*").alias("uploads"))
+    lists = [spark.range(1).select(F.lit(p).alias("profile"), F.posexplode(files.formats(p)).alias("place", "format"), files.image_like_formats(p).alias("like")) for p in files.PROFILES]
+    known = lists[0]
+    for more in lists[1:]:
+        known = known.unionByName(more)
+    found = known.join(used, "format", "left")
+    return found.select("profile", "place", "format", F.array_contains("like", F.col("format")).alias("image_like"), F.coalesce("uploads", F.lit(0)).alias("uploads"))
+
+
+def raw_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts of files as text; every seventh file isn't valid UTF-8."""
+    text = F.col("text").cast("binary")
+    content = F.when(F.col("doc_id") % 7 == 0, F.concat(text, F.unhex(F.lit("FF")))).otherwise(text)
+    shown = files.readable_start(content)
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(shown).alias("digest"), F.length(shown).alias("characters"))
+
+
+def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of aligned images."""
+    return uploads(spark, sf_dir).select("doc_id", files.aligned_name("name", (F.col("size") % 901 - 450) / 10).alias("aligned_name"))
+
+
+# Errors: events stand for failed loads.
+_FAILURES = ["404 Client Error: Not Found", "No module AIStudio_SDK", "PaddleNLP is missing", "needs accelerate>=0.26", "CUDA out of memory"]
+
+
+def load_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    text, model = F.concat(pick(_FAILURES, i % 5), F.lit(" / "), F.col("event_type")), pick(["deepseek-ocr2", "glm-ocr", "deepseek-ocr"], i % 3)
+    reason = errors.load_failure(text, model)
+    return table(spark, sf_dir, "events").select("event_id", files.request_id(F.col("ts").cast("timestamp")).alias("request_id"), reason.alias("reason"), errors.shortened(reason, 15).alias("short"))
+
+
+def error_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of errors that hold a byte which isn't UTF-8."""
+    broken = F.concat(F.col("text").cast("binary"), F.unhex(F.lit("FF"))).cast("string")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(errors.encodable(broken).cast("binary")).alias("digest"), errors.shortened(F.col("text"), 100).alias("short"))
+
+
+def result_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results as they are downloaded: text, JSON with nulls, base64 and back."""
+    own = table(spark, sf_dir, "documents")
+    kind = pick(["pdf", "image", "docx"], F.col("doc_id") % 3)
+    text = export.download_text(kind, F.concat(F.lit("all "), F.col("source")), F.when(F.col("doc_id") % 5 != 0, F.col("lang")))
+    rows = own.select("doc_id", "lang", "n_chars", F.lit(None).cast("string").alias("error"))
+    json = own.select("doc_id", text.alias("text"), export.as_base64(text.cast("binary")).alias("encoded"))
+    back = json.withColumn("decoded", export.from_base64(F.when(F.col("doc_id") % 4 == 0, F.lit("not base64!")).otherwise(F.col("encoded"))).cast("string"))
+    lines_ = export.result_json(rows).select(F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"), F.col("value").alias("json"))
+    return back.join(lines_, "doc_id")
+
+
+def registry_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model that a document gets by type when it names none, and how many models its category offers."""
+    models = registry.registry(spark)
+    types = registry.TYPES
+    defaults, offers = None, None
+    for t in types:
+        one = registry.default_model(models, t).select(F.lit(t).alias("model_type"), F.col("name").alias("default_name"))
+        defaults = one if defaults is None else defaults.unionByName(one)
+    for c in registry.CATEGORIES:
+        one = registry.available(models, category=c).agg(F.count("*").alias("offered")).select(F.lit(c).alias("category"), "offered")
+        offers = one if offers is None else offers.unionByName(one)
+    own = table(spark, sf_dir, "documents").select("doc_id", pick(types, F.col("doc_id") % len(types)).alias("model_type"), pick(registry.CATEGORIES, F.col("doc_id") % len(registry.CATEGORIES)).alias("category"))
+    return own.join(F.broadcast(defaults), "model_type").join(F.broadcast(offers), "category").select("doc_id", "model_type", "default_name", "category", "offered")
+
+
+def registry_server(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models with what the server offers: those that documents of over 2,000 characters ask for by name."""
+    models = registry.registry(spark)
+    asked = registry.resolve(requests(spark, sf_dir).withColumn("long", F.length("text") > 2000), models).where("model_name is not null")
+    server = asked.where("long and doc_id % 3 = 0").select(F.col("model_name").alias("name"))
+    counts = asked.groupBy("model_name").agg(F.count("*").alias("requests"))
+    found = registry.on_server(models, server).join(counts, F.col("name") == F.col("model_name"), "left")
+    label = registry.load_label(F.col("name"), F.array(F.lit("llava:latest"), F.lit("qwen:latest")))
+    return found.select("name", "available_on_server", label.alias("label"), F.coalesce("requests", F.lit(0)).alias("requests"))
+
+
+def registry_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.refused(requests(spark, sf_dir), registry.registry(spark)).select("doc_id", "model", "status_code")
+
+
+def model_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known models, which of them are in memory, and how many documents ask for each."""
+    names = [m["name"] for m in registry.MODELS]
+    asked = registry.resolve(requests(spark, sf_dir), registry.registry(spark)).groupBy("model_name").agg(F.count("*").alias("requests"))
+    found = recognize.inventory(spark, names, names[::3]).join(asked, F.col("model") == F.col("model_name"), "left")
+    return found.select("model", "is_loaded", "accelerated", F.coalesce("requests", F.lit(0)).alias("requests"))
+
+
+def binarize_unclamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thresholds from -20 to 279 as they are."""
+    gray = F.transform("embedding", lambda x: F.least(F.greatest(F.floor(x.cast("double") * 256 + 128), F.lit(0)), F.lit(255)).cast("int"))
+    found = table(spark, sf_dir, "embeddings").select("vec_id", pixels.binarize_unclamped(gray, (F.col("vec_id") % 300 - 20).cast("int")).alias("b"))
+    return found.select("vec_id", F.array_join(F.transform("b", lambda x: F.when(x == 255, "1").otherwise("0")), "").alias("bits"))
+
+
+def ground_truth_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoices of a store with their fields; some records are no JSON."""
+    i = F.col("doc_id")
+    item = F.struct(F.lit(1).alias("line_number"), F.col("source").alias("description"), F.lit("pcs").alias("unit"))
+    record = F.to_json(F.struct(i.cast("string").alias("invoice_number"), F.col("lang").alias("invoice_date"), F.array_repeat(item, (i % 4).cast("int")).alias("items")))
+    store = table(spark, sf_dir, "documents").select(pick(["invoice", "packing_list"], i % 2).alias("doc_type"), F.concat(F.lit("f"), i.cast("string")).alias("file_name"), F.when(i % 5 == 0, "broken").otherwise(record).alias("record"))
+    got = F.col("record")
+    return ground_truth.typed(store, "invoice").select("file_name", got["invoice_number"].alias("invoice_number"), got["invoice_date"].alias("invoice_date"), F.size(got["items"]).alias("items"), F.get(got["items"], F.lit(0))["description"].alias("first"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         confidence_heuristic, confidence_band_summary, token_confidence, confidence_combined, document_rollup, document_text_concat, pages_with_text, line_geometry,
         cer, wer, text_similarity, nested_records, file_classify_ui, file_classify_ocr, file_classify_convert, file_size_gate, file_names, param_clamp, binarize, docx_paging,
         registry_resolve, registry_by_category, chat_request, chat_response, error_categories, session_epochs, session_results, session_summary, ground_truth_upsert,
+        metric_records, round_trip_tally, image_counts, page_timing, page_selectors, file_source_kind, file_preview, file_formats, raw_previews, output_names, load_failures, error_texts,
+        result_exports, registry_defaults, registry_server, registry_refused, model_inventory, binarize_unclamped, ground_truth_records,
     )
 } | {f"line_select_{p}": _line_select(p) for p in lines.PROFILES}

@@ -32,10 +32,11 @@ def upsert(store: DataFrame, changes: DataFrame, order: str) -> DataFrame:
     """The store after the changes: the last change of each type and name takes the place of what was there.
 
     The last one is an aggregate, so that many changes of one record are reduced before the shuffle.
+    Of changes with one place in the order the one with the greatest values counts.
     """
     keys = ["doc_type", "file_name"]
     rest = [c for c in changes.columns if c not in (*keys, order)]
-    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_last")).select(*keys, *(F.col(f"_last.{c}").alias(c) for c in rest))
+    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, *rest)).alias("_last")).select(*keys, *(F.col(f"_last.{c}").alias(c) for c in rest))
     return store.join(last.select(*keys), keys, "left_anti").unionByName(last)
 
 
