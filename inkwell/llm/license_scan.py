@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import without
+from .license_templates import TEMPLATES
 from .textkit import blocks, byte_table, runs
 
 #: Words: letters a-z, digits, and all characters outside ASCII.
@@ -29,20 +30,6 @@ IN_WORD = byte_table([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)
 #: Fixed phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Labels and notices that they stand for.
-TEMPLATES = [
-    ("gpl-notice", "this {{work | program | software | file | library | project}} is [[free software]] licensed under the [[terms of the]] gnu [[lesser | affero]] general public license [[as published by the free software foundation]] [[{{either version | version | v}} {{1}} [[of the license]] [[or [[at your option]] any later version]]]]"),
-    ("gpl-notice", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation {{either version | version}} {{1}} of the license [[or at your option any later version]]"),
-    ("apache-notice", "licensed under the apache license [[version 2 0]] [[the license]]"),
-    ("mit-notice", "{{released | licensed | distributed}} under the [[terms of the]] mit license"),
-    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software"),
-    ("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution [[[[3]] neither the name of {{12}} nor the names of {{4}} contributors may be used to endorse or promote products derived from this software without specific prior written permission]]"),
-    ("isc-text", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("cc-by-notice", "{{this {{1}} is licensed | licensed}} under [[a | the]] [[creative commons]] cc by [[nc]] [[nd | sa]] [[{{1}} {{1}}]]"),
-    ("cc-by-notice", "licensed under [[a | the]] creative commons attribution [[noncommercial]] [[noderivatives | sharealike]] [[{{1}} {{1}} [[international | unported | generic]]]] license"),
-    ("all-rights-reserved", "[[copyright [[c]] [[{{1}}]] [[by]] {{6}}]] all rights reserved"),
-]
-
 
 @dataclass(frozen=True)
 class Automaton:
@@ -73,11 +60,11 @@ class Automaton:
         return end
 
 
-_TOKEN = re.compile(r"\[\[|\]\]|\{\{|\}\}|\||[^\s\[\]{}|]+")
+_TOKEN = re.compile(r"\[\[|\]\]|\{\{|\}\}|\||[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def compile_template(label: str, template: str) -> Automaton:
-    """The automaton of one template; malformed markup raises ValueError."""
+    """The automaton of one template; punctuation in it doesn't count, malformed markup raises ValueError."""
     tokens = _TOKEN.findall(template)
     empty: list[set[int]] = []  # moves without a word
     on: list[dict[bytes, set[int]]] = []
@@ -176,8 +163,10 @@ def scan(docs: DataFrame, text_col: str = "text", phrases: dict[str, str] = PHRA
     """``docs`` with a struct ``licences``: n_words, ``places`` of phrases and ``matches`` of templates in each whole text.
 
     Places and matches count words from 0, ``end`` is one beyond the last word.
-    Null texts count as empty. A match is the longest one from where it begins;
-    matches of different templates may overlap. A column of this name is replaced.
+    Null texts count as empty: no word, place or match. A match is the longest
+    one from where it begins, in texts of any length; matches of different
+    templates may overlap. Repeated rows all stay, with equal results. An empty
+    table gives no rows. A column of this name is replaced.
     """
     docs = without(docs, ["licences"], [text_col])
     sought, wanted = [([w.encode() for w in p.split()], label) for p, label in phrases.items()], tuple(map(tuple, templates))

@@ -5,6 +5,7 @@ import pytest
 
 from inkwell.llm import license_scan as ls
 from inkwell.llm import queries
+from inkwell.llm.license_templates import NOTICES
 
 SCHEMA = "doc_id long, text string, licences string, n_words int"
 
@@ -73,6 +74,57 @@ def test_notices(spark):
     assert [(m.first, m.end) for m in got[0].matches] == [(0, 12)]
 
 
+MARK = re.compile(r"\[\[|\]\]|\{\{|\}\}|\|")
+
+
+def filled(template, keep, name, rnd):
+    """A text of a template: replaceable regions filled with names, optional ones kept or not."""
+    tokens = re.findall(r"\[\[|\]\]|\{\{|\}\}|\||[^\s\[\]{}|]+|[\[\]]", template)
+
+    def part(i, end):
+        options, own = [], []
+        while tokens[i] != end if i < len(tokens) else False:
+            if tokens[i] in ("[[", "{{"):
+                got, j = part(i + 1, "]]" if tokens[i] == "[[" else "}}")
+                if tokens[i] == "{{" and len(got) == 1 and got[0].isdigit():
+                    got = name[: int(got[0])]
+                own += got if tokens[i] == "{{" or keep else []
+                i = j
+            elif tokens[i] == "|":
+                options.append(own)
+                own, i = [], i + 1
+            else:
+                own.append(tokens[i])
+                i += 1
+        options.append(own)
+        return rnd.choice(options), i + 1
+
+    return " ".join(part(0, None)[0])
+
+
+def test_whole_texts(spark):
+    """Texts with any names and years are accepted; one changed word or a missing end is not."""
+    rnd = random.Random(3)
+    full = [(label, t) for label, t in ls.TEMPLATES if (label, t) not in NOTICES]
+    assert len(full) >= 18
+    good, bad = [], []
+    for label, template in full:
+        for keep in (True, False):
+            text = filled(template, keep, ["Jane", "Q", "Doe", "and", "Sons"], rnd)
+            good.append((label, f"Copyright (c) {rnd.randint(1980, 2030)} Jane\n{text}\nEnd."))
+            words = text.split()
+            mandatory = [i for i, w in enumerate(words) if re.search("[A-Za-z]{4}", w) and w.isalpha() and w in MARK.sub(" ", re.sub(r"(?s)\[\[.*?\]\]|\{\{.*?\}\}", " ", template)).split()]
+            for i in rnd.sample(mandatory, 4):
+                bad.append((label, " ".join(words[:i] + ["otherword"] + words[i + 1 :])))
+            body = words if words[-1].lower() != "conditions" else words[:-5]  # the optional last line
+            bad.append((label, " ".join(body[: len(body) - 3])))
+    got = scanned(spark, [t for _, t in good + bad])
+    for i, (label, text) in enumerate(good):
+        assert label in {m.label for m in got[i].matches}, (label, text)
+    for i, (label, text) in enumerate(bad):
+        assert label not in {m.label for m in got[len(good) + i].matches}, (label, text)
+
+
 def test_query_columns(spark, tmp_path):
     rows = [(1, "x Apache License. Licensed under the Apache License"), (2, None), (3, "MIT license, Apache license")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
