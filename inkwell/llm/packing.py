@@ -56,7 +56,7 @@ def pieces_of(docs: DataFrame, id_col: str, text_col: str, capacity: int, end_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = byte_level(vocabulary(tokenizer), ranks and vocabulary(ranks), added)
-        for rows, data, offsets in blocks(batches, "text"):
+        for rows, data, offsets in blocks(batches, "text", limit=1 << 19):
             out: list[tuple[int, int, int, int, int]] = []
             for i, own in enumerate(model.encode(data, offsets)):
                 raw = np.append(own, np.uint32(end_id)).astype("<u4").tobytes()

@@ -102,8 +102,18 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: i
     return out
 
 
-def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """A first occurrence of each distinct span (of one ``kind``), and the place among these of every span.
+def same_bytes(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether each span of ``a`` holds the same as the one of ``b`` that is as long."""
+    stop = np.cumsum(size)
+    of = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(of)) - (stop - size)[of]
+    out = np.ones(len(size), dtype=bool)
+    out[of[a[a_starts[of] + place] != b[b_starts[of] + place]]] = False
+    return out
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A first occurrence of each distinct span (of one ``kind``), the place among these of every span, and the first ones' hashes.
 
     Spans are grouped by a hash and every one is compared with its group's first; groups that hold
     different spans are taken apart. Spans are in order and don't overlap.
@@ -119,14 +129,10 @@ def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind:
     wrong = size[to] != size
     if kind is not None:
         wrong |= kind[to] != kind
-    for at in range(0, n, 1 << 18):
-        some = at + np.flatnonzero(~wrong[at : at + (1 << 18)] & (to[at : at + (1 << 18)] != np.arange(at, min(n, at + (1 << 18)))))
-        if len(some):
-            stop = np.cumsum(size[some])
-            place = np.repeat(starts[some] - (stop - size[some]), size[some]) + np.arange(int(stop[-1]))
-            apart = data[place] != data[place + np.repeat(starts[to[some]] - starts[some], size[some])]
-            if apart.any():
-                wrong[some[np.searchsorted(stop, np.flatnonzero(apart), side="right")]] = True
+    other = np.flatnonzero(~wrong & (to != np.arange(n)))
+    for at in range(0, len(other), 1 << 16):
+        some = other[at : at + (1 << 16)]
+        wrong[some] = ~same_bytes(data, starts[some], data, starts[to[some]], size[some])
     if wrong.any():
         found: dict[tuple[int, bytes], int] = {}
         firsts = first.tolist()
@@ -137,7 +143,7 @@ def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind:
                 firsts.append(i)
             back[i] = found[key]
         first = np.array(firsts, np.int64)
-    return first, back
+    return first, back, hashes[first]
 
 
 def sums_between(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -8,10 +8,11 @@ import os
 import re
 from collections.abc import Callable
 from functools import cache, cached_property
+from itertools import chain
 
 import numpy as np
 
-from .textkit import NOT_SPACE, byte_table, distinct_spans, runs
+from .textkit import NOT_SPACE, byte_table, distinct_spans, runs, same_bytes
 
 #: White space, by any definition that a vocabulary's pattern may use, other than the ASCII characters between words.
 _ODD = re.compile(r"[\s\x1c-\x1f\x85\u200b\ufeff]")
@@ -27,37 +28,55 @@ def vocabulary(name: str) -> str:
 
 
 class WordTable:
-    """What ``encode`` gives for each word, by the word itself; about ``limit`` words are remembered."""
+    """Ids of words. A word is found by its hash and compared with the one remembered; ``limit`` bounds words, ``room`` bytes."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 250_000):
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 1_000_000, room: int = 48 << 20):
+        self.encode, self.limit, self.room = encode, limit, room
         self._empty()
 
     def _empty(self) -> None:
-        self.slot: dict[bytes, int] = {}
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)  # -1: the word holds white space of another kind
-        self.ids = np.zeros(0, np.uint32)
-
-    def find(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Places in ``ids`` and lengths for distinct words."""
-        if len(self.slot) > self.limit:
+        # By sorted hash: where the ids and the bytes of the word begin, how many they are, and whether it stands bare.
+        self.keys = np.zeros(0, np.uint64)
+        self.at, self.size = np.zeros(0, np.int32), np.zeros(0, np.int32)  # size -1: the word holds white space of another kind
+        self.begin, self.length = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.bare = np.zeros(0, bool)
+        self.ids, self.text = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+
+    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bare: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``ids`` and lengths for distinct words: spans of ``data``, after a space unless ``bare``."""
+        if len(self.keys) > self.limit or len(self.text) + 4 * len(self.ids) > self.room:
             self._empty()
-        get = self.slot.get
-        slots = [get(w, -1) for w in words]
-        new = [i for i, s in enumerate(slots) if s < 0]
-        if new:
-            texts = [words[i].decode() for i in new]
-            odd = np.array([bool(_ODD.search(w, w[:1] == " ")) for w in texts])
-            ids = self.encode(texts)
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            for i in new:
-                slots[i] = self.slot[words[i]] = len(self.slot)
-            self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, np.where(odd, -1, size)])
-            self.ids = np.concatenate([self.ids, np.fromiter((x for own in ids for x in own), np.uint32, int(size.sum()))])
-        place = np.array(slots, np.int64)
-        return self.at[place], self.size[place]
+        n, size = len(hashes), ends - starts
+        at, count = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        place = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        met = self.keys[place] == hashes if len(self.keys) else np.zeros(n, bool)
+        known = np.flatnonzero(met)
+        p = place[known]
+        ok = (self.length[p] == size[known]) & (self.bare[p] == bare[known])
+        ok[ok] = same_bytes(self.text, self.begin[p[ok]].astype(np.int64), data, starts[known[ok]], size[known[ok]])
+        at[known[ok]], count[known[ok]] = self.at[p[ok]], self.size[p[ok]]
+        new = np.ones(n, bool)
+        new[known[ok]] = False
+        new = np.flatnonzero(new)
+        if len(new):
+            raw = data.tobytes()
+            words = [("" if b else " ") + raw[s:e].decode() for s, e, b in zip(starts[new].tolist(), ends[new].tolist(), bare[new].tolist())]
+            odd = np.array([bool(_ODD.search(w, w[:1] == " ")) for w in words])
+            ids = self.encode(words)
+            own = np.fromiter(map(len, ids), np.int64, len(ids))
+            at[new], count[new] = len(self.ids) + np.cumsum(own) - own, np.where(odd, -1, own)
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.uint32, int(own.sum()))])
+            # Of words with one hash the first is remembered; the others are encoded each time.
+            keep = new[~met[new]]
+            keep = keep[np.unique(hashes[keep], return_index=True)[1]]
+            stop = np.cumsum(size[keep])
+            begin = len(self.text) + stop - size[keep]
+            self.text = np.concatenate([self.text, data[np.repeat(starts[keep] - (stop - size[keep]), size[keep]) + np.arange(int(stop[-1]) if len(stop) else 0)]])
+            where = np.searchsorted(self.keys, hashes[keep])
+            for name, value in {"keys": hashes[keep], "at": at[keep], "size": count[keep], "begin": begin, "length": size[keep], "bare": bare[keep]}.items():
+                old = getattr(self, name)
+                setattr(self, name, np.insert(old, where, value.astype(old.dtype)))
+        return at, count
 
 
 def gather(ids: np.ndarray, at: np.ndarray, size: np.ndarray, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -170,9 +189,8 @@ class ByteLevelIds:
             plain[doc[wrong]] = False
             fed = inner & (ahead == 0x0A)
             bare = head | fed | ~lead
-            where, back = distinct_spans(data, starts, ends, bare)
-            raw = data.tobytes()
-            at, size = self.table.find([(b"" if b else b" ") + raw[s:e] for s, e, b in zip(starts[where].tolist(), ends[where].tolist(), bare[where].tolist())])
+            where, back, hashes = distinct_spans(data, starts, ends, bare)
+            at, size = self.table.find(data, starts[where], ends[where], bare[where], hashes)
             at, size = at[back], size[back]
             plain[doc[size < 0]] = False
             before = fed.astype(np.int64)
@@ -202,16 +220,20 @@ class PieceCounts:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
-        self.table = WordTable(self._counts)
-
-    def _counts(self, words: list[str]) -> list[list[int]]:
-        return [[len(ids), int(self.is_byte[ids].sum())] for ids in self.model.encode(words, num_threads=1)]
+        pieces = range(self.model.get_piece_size())
+        self.is_byte = np.array([self.model.is_byte(i) for i in pieces])
+        # Merges start from single characters, so a word of known characters alone has no byte tokens.
+        self.known = np.zeros(0x110000, dtype=bool)
+        self.known[[ord(p) for p in map(self.model.id_to_piece, pieces) if len(p) == 1]] = True
+        self.known[0x20] = True
 
     def counts(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens and byte tokens of distinct words."""
-        at, _ = self.table.find(words)
-        return self.table.ids[at].astype(np.int64), self.table.ids[at + 1].astype(np.int64)
+        """Tokens and byte tokens of each word."""
+        ids = self.model.encode([w.decode() for w in words], num_threads=1)
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        stop = np.cumsum(size)
+        fallen = np.append(0, np.cumsum(self.is_byte[np.fromiter(chain.from_iterable(ids), np.int64, int(stop[-1]))]))
+        return size, fallen[stop] - fallen[stop - size]
 
 
 @cache
