@@ -5,13 +5,14 @@ each list is read sequentially from its best end; a component that has been
 read counts with its value, the others lie between the list's worst value and
 the last value read. This gives a lower and an upper bound of every score. A
 query stops when no candidate outside its best k can reach the k-th lower
-bound; those that still can are resolved by reading the rest of their lists.
-Bounds of a block of queries and a block of candidates are matrix products.
+bound, or the k-th score that its task has seen in other blocks; those that
+still can are resolved by reading the rest of their lists. Bounds of a block of
+queries and a block of candidates are matrix products.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +24,26 @@ from .common import materialise
 
 #: How deep the lists are read before bounds are compared, as parts of their length.
 DEPTHS = (0.5, 0.9)
+#: Up to so many queries, and so many bytes of them, go to all tasks; more meet the candidates in groups of two blocks.
+BROADCAST_QUERIES, BROADCAST_BYTES = 100_000, 64 << 20
 
 
 def whole_numbers(vector: Column, scale: int = 64) -> Column:
-    """floor(scale * x) of every component."""
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long"))
+    """floor(scale * x) of every component; one that no 64-bit number holds raises an error."""
+
+    def one(x: Column) -> Column:
+        y = F.floor(x.cast("double") * scale)
+        return F.when(F.abs(x.cast("double") * scale) < 2.0**63, y.cast("long")).otherwise(F.raise_error(F.lit("a component is beyond 64 bits")).cast("long"))
+
+    return F.transform(vector, one)
+
+
+def exact_kind(queries: np.ndarray, values: np.ndarray) -> type:
+    """The fastest type of number in which no score or bound of these whole numbers is rounded."""
+    most = float((np.abs(queries.astype(float)) @ np.abs(values.astype(float)).max(axis=0, initial=0)).max(initial=0)) * (1 + 1e-9)
+    if most >= 2.0**63:
+        raise OverflowError("scores are beyond 64 bits")
+    return np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
 
 
 def is_finite(vector: Column) -> Column:
@@ -61,21 +77,21 @@ class Lists:
             )
 
 
-def search_block(queries: np.ndarray, own: np.ndarray, lists: Lists, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search_block(
+    queries: np.ndarray, own: np.ndarray, lists: Lists, ids: np.ndarray, rows: np.ndarray, k: int, least: np.ndarray | None = None, opened: list | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query number, candidate number and score of each query's best k in one block; ties go to smaller ids.
 
     ``own`` are the queries' row numbers, which are no candidates of theirs.
+    ``least`` is a score per query below which nothing is wanted. ``opened``
+    gets the numbers of candidates still open and of all, per depth.
     """
-    n = len(ids)
+    n, kind = len(ids), lists.values.dtype
+    none = np.iinfo(kind).min if kind.kind == "i" else kind.type(-np.inf)
+    least = np.full(len(queries), none, kind) if least is None else least
     plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
     left = np.arange(len(queries))
     at_q, at_c = [], []
-
-    def settle(which: np.ndarray, open_: np.ndarray) -> None:
-        q, c = np.nonzero(open_)
-        at_q.append(which[q])
-        at_c.append(c)
-
     column = {row: i for i, row in enumerate(rows.tolist())}
     itself = np.array([column.get(row, -1) for row in own.tolist()])
     for last, (low_down, high_down, low_up, high_up) in ((i == len(lists.levels) - 1, x) for i, x in enumerate(lists.levels)):
@@ -84,76 +100,136 @@ def search_block(queries: np.ndarray, own: np.ndarray, lists: Lists, ids: np.nda
         a, b = plus[left], minus[left]
         lower = a @ low_down + b @ low_up
         here = np.flatnonzero(itself[left] >= 0)
-        lower[here, itself[left][here]] = -np.inf
+        lower[here, itself[left][here]] = none
         upper = a @ high_down + b @ high_up
-        upper[here, itself[left][here]] = -np.inf
-        bar = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(left), -np.inf)
-        open_ = (upper >= bar[:, None]) & (upper > -np.inf)
+        upper[here, itself[left][here]] = none
+        bar = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(left), none, kind)
+        open_ = (upper >= np.maximum(bar, least[left])[:, None]) & (upper > none)
+        if opened is not None:
+            opened.append((int(open_.sum()), open_.size))
         # A query is done when few enough are left to resolve; at the last depth all are.
         done = np.full(len(left), True) if last else open_.sum(axis=1) <= 4 * k
-        settle(left[done], open_[done])
+        q, c = np.nonzero(open_[done])
+        at_q.append(left[done][q])
+        at_c.append(c)
         left = left[~done]
     q, c = np.concatenate(at_q), np.concatenate(at_c)
-    score = np.empty(len(q))
+    wide = np.int64 if kind.kind == "i" else np.float64
+    score = np.empty(len(q), wide)
     for at in range(0, len(q), 1 << 18):
         to = at + (1 << 18)
-        score[at:to] = np.einsum("ij,ij->i", queries[q[at:to]].astype(np.float64), lists.values[c[at:to]].astype(np.float64))
-    order = np.lexsort((ids[c], -score, q))
+        score[at:to] = np.einsum("ij,ij->i", queries[q[at:to]].astype(wide), lists.values[c[at:to]].astype(wide))
+    return best_of(q, c, score, ids[c], k)
+
+
+def best_of(q: np.ndarray, c: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k highest scores of each query, ties to smaller ids."""
+    order = np.lexsort((ids, -score, q))  # no score is the least number of its type
     q, c, score = q[order], c[order], score[order]
-    place = np.arange(len(q)) - np.searchsorted(q, q)
-    keep = place < k
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
     return q[keep], c[keep], score[keep]
 
 
-def _packed(df: DataFrame, n_blocks: int, name: str) -> DataFrame:
-    """``(name, rows, ids, values, dim)``: the vectors of a block in one row."""
+_NUMBERS = {"tinyint": np.int8, "smallint": np.int16, "int": np.int32, "bigint": np.int64}
+_BLOCK = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.string()]
+
+
+def _packed(df: DataFrame, n_blocks: int, name: str, number: str) -> DataFrame:
+    """``(name, rows, ids, values, dim, kind)``: the vectors of a block in one row, of which all have ``number`` components."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         vectors = table.column("vector").combine_chunks()
         length = np.diff(vectors.offsets.to_numpy())
-        values = np.zeros((len(length), int(length.max(initial=0))), dtype=np.int64)
+        values = np.zeros((len(length), int(length.max(initial=0))), dtype=_NUMBERS[number])
         values[np.arange(values.shape[1])[None, :] < length[:, None]] = vectors.flatten().to_numpy()
-        fields = [key[0].as_py(), table.column("row").to_numpy().tobytes(), table.column("id").to_numpy().tobytes(), values.tobytes(), values.shape[1]]
-        return pa.table({c: pa.array([x], type=t) for c, x, t in zip([name, "rows", "ids", "values", "dim"], fields, [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32()])})
+        fields = [key[0].as_py(), table.column("row").to_numpy().tobytes(), table.column("id").to_numpy().tobytes(), values.tobytes(), values.shape[1], number]
+        return pa.table({c: pa.array([x], type=t) for c, x, t in zip([name, "rows", "ids", "values", "dim", "kind"], fields, _BLOCK)})
 
     dealt = df.withColumn(name, F.pmod(F.xxhash64("row"), F.lit(n_blocks)))
-    return dealt.groupBy(name).applyInArrow(run, f"{name} long, rows binary, ids binary, values binary, dim int")
+    return dealt.groupBy(name).applyInArrow(run, f"{name} long, rows binary, ids binary, values binary, dim int, kind string")
+
+
+def _unpacked(rows: bytes, ids: bytes, values: bytes, dim: int, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids = np.frombuffer(ids, np.int64)
+    return np.frombuffer(rows, np.int64), ids, np.frombuffer(values, _NUMBERS[kind]).reshape(len(ids), dim)
+
+
+def _meet(q: np.ndarray, q_rows: np.ndarray, c: np.ndarray, c_rows: np.ndarray, c_ids: np.ndarray, k: int, depths: Sequence[float], least: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``search_block`` on whole numbers; vectors of fewer components are filled up with zeros."""
+    dim = max(q.shape[1], c.shape[1], 1)
+    q, c = (np.pad(x, ((0, 0), (0, dim - x.shape[1]))) for x in (q, c))
+    kind = exact_kind(q, c)
+    if least is not None:  # whole numbers: one that the type rounds is beyond all scores here anyway
+        none = np.iinfo(np.int64).min
+        least = least if kind is np.int64 else np.where(least == none, -np.inf, least).astype(kind)
+    i, j, score = search_block(q.astype(kind), q_rows, Lists(c.astype(kind), depths), c_ids, c_rows, k, least)
+    return i, j, score.astype(np.int64)
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", depths: Sequence[float] = DEPTHS, query_block: int = 1024, candidate_block: int = 4096) -> DataFrame:
+def top_k(
+    vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", depths: Sequence[float] = DEPTHS, query_block: int = 1024, candidate_block: int = 4096
+) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k best other rows of each row where ``is_query`` holds.
 
-    Components have to be whole numbers. Vectors that are null, or hold null or
-    components that are not finite, take no part; nor do rows with a null id. A
-    shorter vector counts as filled up with zeros. Rows with equal ids are rows
-    of their own: only a query's own row is not its candidate. Every query
-    block meets every candidate block, in a group of their own.
+    Components have to be whole numbers; scores beyond 64 bits raise an error,
+    all others are exact. Vectors that are null, or hold null or components that
+    are not finite, take no part; nor do rows with a null id. A shorter vector
+    counts as filled up with zeros. Rows with equal ids are rows of their own:
+    only a query's own row is not its candidate. Other columns are left out. An
+    empty table, or one without queries, gives no rows. Queries of a checked
+    number go to the tasks that read the candidates; more of them meet the
+    candidates in groups of two blocks.
     """
     vector = F.col(vector_col)
-    own = vectors.where(F.col(id_col).isNotNull() & is_finite(vector)).select(F.col(id_col).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("long")).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("query"))
-    own = materialise(own.withColumn("row", F.monotonically_increasing_id()), "vectors")
-    n, m = own.agg(F.count("*"), F.count_if("query")).first()
+    own = vectors.where(F.col(id_col).isNotNull() & is_finite(vector)).select(
+        F.col(id_col).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("long")).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("query")
+    )
+    low, high, n, m, dim = own.agg(F.min(F.array_min("vector")), F.max(F.array_max("vector")), F.count("*"), F.count_if("query"), F.max(F.size("vector"))).first()
+    number = next(x for x, t in _NUMBERS.items() if np.iinfo(t).min <= (low or 0) and (high or 0) <= np.iinfo(t).max)
+    own = materialise(own.withColumn("vector", F.col("vector").cast(f"array<{number}>")).withColumn("row", F.monotonically_increasing_id()), "vectors")
     n_c, n_q = max(1, -(-n // candidate_block)), max(1, -(-m // query_block))
-    candidates = _packed(own, n_c, "c").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)).cast("array<long>")))
-    queries = _packed(own.where("query"), n_q, "q").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1)).cast("array<long>")))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [np.zeros(0, np.int64)] * 4
-        if left.num_rows and right.num_rows:
-            (q_rows, q_ids, q, q_dim), (c_rows, c_ids, c, c_dim) = ([t.column(x)[0].as_py() for x in ("rows", "ids", "values", "dim")] for t in (left, right))
-            q_rows, q_ids, c_rows, c_ids = (np.frombuffer(x, dtype=np.int64) for x in (q_rows, q_ids, c_rows, c_ids))
-            dim = max(q_dim, c_dim, 1)
-            q, c = (np.pad(np.frombuffer(x, dtype=np.int64).reshape(size, d), ((0, 0), (0, dim - d))) for x, size, d in ((q, len(q_ids), q_dim), (c, len(c_ids), c_dim)))
-            # Sums of this size are exact in single precision; larger ones need double.
-            norm = np.sqrt((q.astype(float) ** 2).sum(axis=1).max()) * np.sqrt((c.astype(float) ** 2).sum(axis=1).max()) * 8
-            kind = np.float32 if norm < 1 << 24 else np.float64
-            i, j, score = search_block(q.astype(kind), q_rows, Lists(c.astype(kind), depths), c_ids, c_rows, k)
-            out = [q_rows[i], q_ids[i], c_ids[j], score.astype(np.int64)]
-        return pa.table(dict(zip(["query_row", "query_id", "vec_id", "score"], map(pa.array, out))))
-
-    best = queries.groupBy("q", "c").cogroup(candidates.groupBy("q", "c")).applyInArrow(run, "query_row long, query_id long, vec_id long, score long")
+    candidates, queries = _packed(own, n_c, "c", number), _packed(own.where("query"), n_q, "q", number)
+    found = "query_row long, query_id long, vec_id long, score long"
+
+    def result(rows: np.ndarray, ids: np.ndarray, vec_ids: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (rows, ids, vec_ids, score)], names=["query_row", "query_id", "vec_id", "score"])
+
+    if m <= BROADCAST_QUERIES and m * (dim or 0) * np.dtype(_NUMBERS[number]).itemsize <= BROADCAST_BYTES:
+        sent = own.sparkSession.sparkContext.broadcast([tuple(r)[1:] for r in queries.collect()])
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked = [_unpacked(*x) for x in sent.value]
+            best = [(np.zeros(0, np.int64),) * 3 for _ in asked]  # query number, candidate's id, score
+            for batch in batches:
+                for block in zip(*(batch.column(x).to_pylist() for x in ("rows", "ids", "values", "dim", "kind"))):
+                    c_rows, c_ids, c = _unpacked(*block)
+                    for b, (q_rows, _, q) in enumerate(asked):
+                        at, ids, score = best[b]
+                        least = np.full(len(q_rows), np.iinfo(np.int64).min)
+                        full = np.flatnonzero(np.bincount(at, minlength=len(q_rows)) == k)
+                        least[full] = score[np.searchsorted(at, full, side="right") - 1]
+                        i, j, more = _meet(q, q_rows, c, c_rows, c_ids, k, depths, least)
+                        ids = np.concatenate([ids, c_ids[j]])
+                        best[b] = best_of(np.concatenate([at, i]), ids, np.concatenate([score, more]), ids, k)
+            for (q_rows, q_ids, _), (at, ids, score) in zip(asked, best):
+                if len(at):
+                    yield result(q_rows[at], q_ids[at], ids, score)
+
+        got = candidates.mapInArrow(read, found)
+    else:
+        wide = candidates.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)).cast("array<long>")))
+        asked = queries.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1)).cast("array<long>")))
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not (left.num_rows and right.num_rows):
+                return pa.Table.from_batches([result(*(np.zeros(0, np.int64),) * 4)])
+            (q_rows, q_ids, q), (c_rows, c_ids, c) = (_unpacked(*(t.column(x)[0].as_py() for x in ("rows", "ids", "values", "dim", "kind"))) for t in (left, right))
+            i, j, score = _meet(q, q_rows, c, c_rows, c_ids, k, depths, None)
+            return pa.Table.from_batches([result(q_rows[i], q_ids[i], c_ids[j], score)])
+
+        got = asked.groupBy("q", "c").cogroup(wide.groupBy("q", "c")).applyInArrow(run, found)
     rank = F.row_number().over(W.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return got.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 #: DuckDB SQL for op9 over the table embeddings.

@@ -2,6 +2,7 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -47,6 +48,30 @@ def test_few_rows_and_large_numbers(spark):
     check(spark, list(enumerate(vectors(60, 5, 40_000_000, 3))))
 
 
+def test_both_ways_to_meet(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BROADCAST_QUERIES", 0)
+    test_against_brute_force(spark)
+    test_few_rows_and_large_numbers(spark)
+
+
+def test_beyond_double_precision(spark):
+    """Scores over 2 ** 53 are exact, ones over 2 ** 63 are refused."""
+    rows = [(0, [2.0**26 + 1] * 64), (1, [2.0**27 + 2] * 64), (2, [2.0**27 + 1] * 64), (3, [2.0**27 + 2] * 63 + [2.0**27 + 1]), (6, [-(2.0**27)] * 64), (4, [1.0] * 64)]
+    check(spark, rows, k=4)
+    check(spark, rows, k=2, candidate_block=2)
+    df = spark.createDataFrame([(0, [2.0**40]), (1, [2.0**40])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.top_k(df, F.col("vec_id") == 0).collect()
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        df.select(topk.whole_numbers(F.array(F.lit(1e300)))).collect()
+
+
+def test_many_components(spark):
+    """Sums that single precision would round."""
+    check(spark, list(enumerate(vectors(80, 1024, 300, 6))), k=7)
+    check(spark, list(enumerate(vectors(40, 2048, 3_000_000, 7))), k=7, candidate_block=16)
+
+
 def test_bounds_enclose_scores():
     values = np.array(vectors(50, 6, 9, 4))
     q = np.array(vectors(10, 6, 9, 5))
