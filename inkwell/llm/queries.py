@@ -31,6 +31,7 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     texts = pages.select("page_id", line_dedup.url_host(F.col("url")).alias("host"), line_dedup.html_text(F.col("html")).alias("text"))
+    texts = materialise(texts, "texts")  # the HTML is parsed once
     return line_dedup.drop_boilerplate(texts, "text", "host")
 
 

@@ -12,11 +12,11 @@ from inkwell.llm import queries
 SCHEMA = "doc_id long, text string, source string, host string, lines_seen int"
 
 
-def brute(rows, ratio, least):
-    pages = defaultdict(set)
+def brute(rows, ratio, least, copies_as_one=True):
+    pages = defaultdict(list)
     for _, text, host in rows:
-        if text is not None:
-            pages[host].add(text)
+        if text is not None and not (copies_as_one and text in pages[host]):
+            pages[host].append(text)
     count = defaultdict(int)
     for host, own in pages.items():
         for text in own:
@@ -49,16 +49,24 @@ def test_against_brute_force(spark, monkeypatch):
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], SCHEMA)
     for bound in (ld.BROADCAST_LINES, 0):
         monkeypatch.setattr(ld, "BROADCAST_LINES", bound)
-        found = ld.drop_boilerplate(df, ratio=0.05, min_pages=4)
-        assert found.columns == [*df.columns[:-1], "lines_seen", "lines_dropped"]
-        got = [(r.doc_id, r.text, r.lines_seen, r.lines_dropped) for r in found.collect()]
-        assert sorted(got, key=str) == sorted(brute(rows, 0.05, 4), key=str)
-        assert any(r[3] for r in got)
+        for as_one in (True, False):
+            found = ld.drop_boilerplate(df, ratio=0.05, min_pages=4, copies_as_one=as_one)
+            assert found.columns == [*df.columns[:-1], "lines_seen", "lines_dropped"]
+            got = [(r.doc_id, r.text, r.lines_seen, r.lines_dropped) for r in found.collect()]
+            assert sorted(got, key=str) == sorted(brute(rows, 0.05, 4, as_one), key=str)
+            assert any(r[3] for r in got)
+
+
+def test_small_hosts(spark):
+    """Five pages with one menu, and a host of one page."""
+    rows = [(i, f"menu\npage {i}", "five") for i in range(5)] + [(9, "menu\nalone", "one")]
+    got = {r.doc_id: r.text for r in ld.drop_boilerplate(spark.createDataFrame([(*r, "", 1) for r in rows], SCHEMA), host="source").collect()}
+    assert got == {**{i: f"page {i}" for i in range(5)}, 9: "menu\nalone"}
 
 
 def test_copies_are_one_page(spark):
     rows = [(i, "one\ntwo", "h") for i in range(30)] + [(i, f"page {i}", "h") for i in range(30)]
-    got = ld.drop_boilerplate(spark.createDataFrame([(*r, "", 1) for r in rows], SCHEMA)).collect()
+    got = ld.drop_boilerplate(spark.createDataFrame([(*r, "", 1) for r in rows], SCHEMA), copies_as_one=True).collect()
     assert not any(r.lines_dropped for r in got)
 
 
