@@ -211,19 +211,19 @@ def sliced(rows: DataFrame, by: list[str], share: int, key: str, weight: Column
     of two slices, side tells them apart (1 and 2), else it is 0.
     """
     # As many rows as there are crowded groups.
-    crowded = rows.groupBy(*by).agg(F.sum(F.lit(1) if weight is None else weight).alias("weight")).where(F.col("weight") > share)
-    crowded = crowded.select(*by, F.ceil(F.col("weight") / share).cast("int").alias("slices"))
+    crowded = rows.groupBy(*by).agg(F.sum(F.lit(1) if weight is None else weight).alias("_weight")).where(F.col("_weight") > share)
+    crowded = crowded.select(*by, F.ceil(F.col("_weight") / share).cast("int").alias("_slices"))
     n = crowded.count()
     if not n:
         return rows.withColumns({"i": F.lit(0), "j": F.lit(0), "side": F.lit(0)})
-    slices = F.coalesce("slices", F.lit(1))
+    slices = F.coalesce("_slices", F.lit(1))
     return (
         rows.join(F.broadcast(crowded) if n <= BROADCAST_GROUPS else crowded, by, "left")
-        .withColumn("own", F.pmod(F.xxhash64(key), slices).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), slices - 1)))
-        .withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-        .withColumn("side", F.when(F.col("i") == F.col("j"), 0).when(F.col("own") == F.col("i"), 1).otherwise(2))
-        .drop("slices", "own", "other")
+        .withColumn("_own", F.pmod(F.xxhash64(key), slices).cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), slices - 1)))
+        .withColumns({"i": F.least("_own", "_other"), "j": F.greatest("_own", "_other")})
+        .withColumn("side", F.when(F.col("i") == F.col("j"), 0).when(F.col("_own") == F.col("i"), 1).otherwise(2))
+        .drop("_slices", "_own", "_other")
     )
 
 
