@@ -12,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 sys.path.insert(0, str(Path(__file__).parents[2]))
 import test_fertility
 import test_line_dedup
-import test_simhash
+import test_near_copies
 
 import corpus_pipeline
 from inkwell.llm import fertility, mixing
@@ -39,15 +39,17 @@ def test_stages(spark, tmp_path):
         n, _, _, _, repeated = test_fertility.brute(r.text)
         failed = n < 20 or 100 * repeated > 30 * n
         assert not (failed and r.doc_id in kept)
-    verdict = {r.doc_id: r.ok for r in fertility.measure(spark.createDataFrame(before)).select("doc_id", fertility.kept().alias("ok")).collect()}
+    found = fertility.measure(spark.createDataFrame(before))
+    ok = fertility.kept(lang_col="lang", quartiles=fertility.fences(found, "lang")).alias("ok")
+    verdict = {r.doc_id: r.ok for r in found.select("doc_id", ok).collect()}
     assert kept == {d for d, ok in verdict.items() if ok} and {tuple(r) for r in after} <= {tuple(r) for r in before}
 
     before, after = results[1]
-    want = test_line_dedup.brute([(r.doc_id, r.text, r.source) for r in before], 0.1, 10)
+    want = test_line_dedup.brute([(r.doc_id, r.text, r.source) for r in before], 0.02, 5)
     assert sorted((r.doc_id, r.text, r.n_chars) for r in after) == sorted((d, t, len(t)) for d, t, _, _ in want)
 
     before, after = results[2]
-    component = {d: c for d, _, c in test_simhash.brute([(r.doc_id, r.text) for r in before])}
+    component, _ = test_near_copies.brute([(r.doc_id, r.text) for r in before])
     assert sorted(r.doc_id for r in after) == sorted(set(component.values()))
 
     before, after = results[3]
@@ -73,6 +75,45 @@ def test_stages(spark, tmp_path):
     assert used <= 1.05 * sum(r.length for r in after) / 1024 + 1
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars long, quality string, c0 int, size int, `key` int, doc int"
+
+
+def odd_rows(rnd):
+    rows = [(i, " ".join(rnd.choice(WORDS) for _ in range(60)), "en", f"s{i % 3}") for i in range(12)]
+    rows += [rows[0], rows[0], (None, rows[1][1], None, None), (None, None, None, None), (3, None, "en", "s0"), (20, "", "de", "s1"), (21, " \n\n ", "de", "s1"), (22, "few words", "xx", "tiny")]
+    rows += [(30, "\n".join(" ".join(rnd.choice(WORDS) for _ in range(12)) for _ in range(3000)), "en", "s2")]
+    return [(*r, len(r[1] or ""), "clash", 1, 2, 3, 4) for r in rows]
+
+
+WORDS = "the committee met on tuesday to discuss a proposal and after long debate its members agreed that further study was needed before anyone could decide what should be done".split()
+
+
+def test_odd_rows(spark):
+    """Nulls, empty and long texts, repeated rows, and columns whose names the stages use themselves."""
+    import random
+
+    rows = odd_rows(random.Random(1))
+    docs = spark.createDataFrame(rows, ODD)
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, SF)
+        got = found.collect()
+        if name == "packing":
+            assert len({(r.sequence_id, r.offset) for r in got}) == len(got) and sum(r.piece == 0 for r in got) == len(rows)
+            continue
+        assert found.columns == docs.columns
+        assert all(tuple(r)[4:] == tuple(r)[4:5] + ("clash", 1, 2, 3, 4) for r in got)
+        ids = Counter(r.doc_id for r in got)
+        if name == "quality rules":
+            assert not {20, 21, 22} & set(ids) and ids[0] == 3 and ids[3] == 1 and ids[30] == 1
+        if name == "line dedup":
+            assert len(got) == len(rows) and all(r.n_chars == (None if r.text is None else len(r.text)) for r in got)
+        if name == "near dedup":
+            assert ids[0] == 1 and ids[None] == 2 and len({3, 20, 21} & set(ids)) == 1
+        if name == "mixing":
+            assert all(r.text for r in got if r.doc_id == 30)
+        assert stage(spark, docs.limit(0), SF).collect() == []
+
+
 def test_run(spark):
     found = corpus_pipeline.run(spark, SF)
     assert found.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and found.count()
