@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .common import materialise, without
 from .line_dedup import url_host
 
+#: Up to so many intervals are broadcast; each has a pattern of a host or of a host and a path segment.
+BROADCAST_INTERVALS = 200_000
 _SEGMENT = "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)"
 
 
@@ -43,8 +45,11 @@ def evaluate(captures: DataFrame, entries: DataFrame, url_col: str = "url", time
     """``captures`` with ``hit_lists`` and ``hit_patterns``, sorted and distinct, of the entries active at fetch time.
 
     ``blocked`` is true if there is any. A capture without host or fetch time
-    has none. Repeated captures all stay. The join is on the pattern, so that
-    Spark can split the captures of a frequent host; only hits are grouped.
+    has none: a null or empty URL, one without a scheme, or text that is no URL.
+    Long URLs are read whole. Repeated captures all stay, each with its hits. An
+    empty table gives no rows, an empty list blocks nothing. Intervals of a
+    checked number go to all tasks; more of them are joined on the pattern by a
+    shuffle in which Spark can split a frequent host. Only hits are grouped.
     Columns of the three new names are replaced.
     """
     captures = without(captures, ["hit_lists", "hit_patterns", "blocked"], [url_col, time_col])
@@ -54,7 +59,9 @@ def evaluate(captures: DataFrame, entries: DataFrame, url_col: str = "url", time
     # Rows get numbers that stay the same for both uses.
     sought = materialise(own.select("row", fetched.cast("timestamp").alias("fetched"), url.alias("url"), *own.columns[:-1]), "captures")
     probes = sought.where("fetched is not null").select("row", "fetched", F.explode(candidates(F.col("url"))).alias("pattern"))
-    intervals = validity(entries)
+    intervals = materialise(validity(entries), "intervals")
+    if intervals.count() <= BROADCAST_INTERVALS:
+        intervals = F.broadcast(intervals)
     hits = probes.join(intervals, "pattern").where((F.col("fetched") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to"))))
     hits = hits.groupBy("row").agg(F.array_sort(F.collect_set("list")).alias("hit_lists"), F.array_sort(F.collect_set("pattern")).alias("hit_patterns"))
     none = F.array().cast("array<string>")

@@ -51,6 +51,11 @@ def test_against_brute_force(spark):
     assert any(r[4] for r in got)
 
 
+def test_intervals_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "BROADCAST_INTERVALS", 0)
+    test_against_brute_force(spark)
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], CAPTURES)
     lists = spark.createDataFrame([], ENTRIES)
