@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 from .common import without
 from .textkit import blocks, mix, sums_between
 
-#: Largest model that is broadcast: languages times buckets, four bytes each.
-MODEL_BYTES = 256 << 20
+#: Largest model that is broadcast: languages times buckets, four bytes each. A task counts in twice as much at most,
+#: and the driver holds five times as much while it makes the model.
+MODEL_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -28,12 +30,11 @@ class Model:
 
 
 def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of a block, with other characters than letters as one space, where each text begins and ends in them, which are letters, and which begin or end nothing."""
+    """Code points of a block in lower case, where each text begins and ends in them, which are letters, and which belong to words."""
     point = (data & 0xC0) != 0x80
     at = np.append(0, np.cumsum(point))[offsets]
     codes = np.frombuffer(data.tobytes().decode().lower().encode("utf-32-le") if _same_length(data) else _lowered(data), dtype=np.uint32)
-    letter = _LETTERS[codes]
-    return codes, at, letter, point
+    return codes, at, _LETTERS[codes], _IN_WORD[codes]
 
 
 def _same_length(data: np.ndarray) -> bool:
@@ -47,23 +48,25 @@ def _lowered(data: np.ndarray) -> bytes:
 
 
 _LETTERS = np.array([chr(c).isalpha() for c in range(0x110000)])
+#: Marks such as vowel signs belong to the words that they stand in.
+_IN_WORD = _LETTERS | np.array([unicodedata.category(chr(c))[0] == "M" for c in range(0x110000)])
 
 
 def ngrams(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed n-grams of the texts of a block, those of a text together: buckets, bounds per text, letters per text.
 
-    Characters are lower-cased; a run of others than letters counts as one space.
+    Characters are lower-cased; a run of others than letters and their marks counts as one space.
     """
-    codes, at, letter, _ = _codes(data, offsets)
+    codes, at, letter, inside = _codes(data, offsets)
     letters = sums_between(letter, at)
     # One space for each run of other characters.
     lead = np.zeros(len(codes), dtype=bool)
     lead[at[:-1][at[:-1] < len(codes)]] = True
-    stay = letter.copy()
+    stay = inside.copy()
     if len(codes):
         stay[0] = True
-        stay[1:] |= letter[:-1] | lead[1:]
-    own = np.where(letter, codes, np.uint32(0x20))[stay].astype(np.uint64)
+        stay[1:] |= inside[:-1] | lead[1:]
+    own = np.where(inside, codes, np.uint32(0x20))[stay].astype(np.uint64)
     at = np.append(0, np.cumsum(stay))[at]
     doc = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
     grams, docs = [], []
@@ -86,22 +89,24 @@ def ngrams(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...], bucket
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sizes: tuple[int, ...] = (1, 2, 3), buckets: int = 1 << 15, smoothing: float = 0.5, per_language: int = 4000) -> Model | None:
     """Learn from the rows of ``labelled`` that have a language; None if there are none.
 
-    The classifier is fitted on a sample of about ``per_language`` documents of
-    each language (all of them, if fewer), drawn by a hash of the text, so every
-    run draws the same. ``buckets`` is a power of two. Counts are added up by
-    Spark per language and bucket; the driver gets languages times buckets
-    numbers, and a model over MODEL_BYTES is refused.
+    The classifier is fitted on a sample of about ``per_language`` distinct
+    texts of each language (all of them, if fewer), drawn by a hash of the text,
+    so every run draws the same; the priors count all rows. Null and empty texts
+    count for the priors alone, texts of any length are read whole. ``buckets``
+    is a power of two. Counts are added up by Spark per language and bucket; the
+    driver gets languages times buckets numbers, and a model over MODEL_BYTES is
+    refused.
     """
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("lang is not null")
-    sizes_of = rows.groupBy("lang").count()
-    n_languages = sizes_of.count()
+    n_languages = rows.select("lang").distinct().count()
     if not n_languages:
         return None
     if n_languages * buckets * 4 > MODEL_BYTES:
         raise ValueError(f"{n_languages} languages in {buckets} buckets make a model over {MODEL_BYTES} bytes; use fewer buckets")
-    total = {r["lang"]: r["count"] for r in sizes_of.collect()}
+    found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("texts")).collect()
+    total, texts = {r["lang"]: r["n"] for r in found}, {r["lang"]: r["texts"] for r in found}
     languages = sorted(total)
-    share = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / total[lang]))))
+    share = F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, per_language / max(1, texts[lang])))))
     drawn = F.pmod(F.xxhash64("text", F.lit("language")), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)
     index = {lang: i for i, lang in enumerate(languages)}
 
@@ -115,7 +120,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", siz
         if len(lang):
             yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(counts[lang, bucket])], names=["lang", "bucket", "n"])
 
-    found = rows.where(drawn).mapInArrow(run, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.where(drawn).dropDuplicates(["lang", "text"]).mapInArrow(run, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.full((buckets, len(languages)), smoothing)
     counts[found["bucket"], found["lang"]] += found["n"]
     log_probs = np.log(counts / counts.sum(axis=0)).astype(np.float32)
@@ -128,7 +133,8 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
 
     Texts that are null or have no letter are ``und`` with score 0, as is every
     text where nothing was learned. Ties go to the first language by code point.
-    Columns of these names are replaced.
+    Texts of any length are read whole; repeated rows all stay, with equal
+    results. An empty table gives no rows. Columns of these names are replaced.
     """
     docs = without(docs, ["lang_pred", "score"], [text_col])
     if model is None:

@@ -1,4 +1,5 @@
 import math
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -14,13 +15,13 @@ SMALL = "/root/testdata/sf0.01"
 
 def grams(text, sizes):
     text = (text or "").replace("İ", "i").lower()
-    own = "".join(c if c.isalpha() else " " for c in text)
+    own = "".join(c if c.isalpha() or unicodedata.category(c)[0] == "M" else " " for c in text)
     while "  " in own:
         own = own.replace("  ", " ")
     return Counter(own[i : i + n] for n in sizes for i in range(len(own) - n + 1))
 
 
-TEXTS = [None, "", "1 2", "Ab", "aB,  c", "\nx\n", "Éa É", "Straße", "İx", "日本 語", "a" * 50_000]
+TEXTS = [None, "", "1 2", "Ab", "aB,  c", "\nx\n", "Éa É", "Straße", "İx", "日本 語", "हिन्दी में", "ภาษาไทย ที่", "\u0301", "e\u0301 \u0301", "a" * 50_000]
 
 
 def test_grams_per_text():
@@ -58,6 +59,17 @@ def test_posteriors_against_brute_force(spark):
         assert abs(got[i][1] - math.exp(logs[best]) / sum(map(math.exp, logs.values()))) < 1e-3
 
 
+def test_copies_are_drawn_once(spark):
+    """One text of which most rows are copies counts for the prior, not for the sample."""
+    rows = [(i, "the cat sat on the mat", "en", 1) for i in range(400)] + [(1000 + i, f"une phrase {i} en français", "fr", 1) for i in range(100)]
+    rows += [(2000 + i, f"some other sentence {i} of english words", "en", 1) for i in range(100)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    model = li.fit(df, per_language=50)
+    assert np.exp(model.priors).round(3).tolist() == [0.833, 0.167]
+    got = li.predict(spark.createDataFrame([(1, "english words of a sentence"), (2, "phrase en français")], "doc_id long, text string"), model)
+    assert {r.doc_id: r.lang_pred for r in got.collect()} == {1: "en", 2: "fr"}
+
+
 def test_no_labels(spark):
     df = spark.createDataFrame([(1, "some text", None, 1)], SCHEMA)
     assert li.fit(df) is None
