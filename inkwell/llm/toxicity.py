@@ -35,11 +35,11 @@ class Settings:
     hidden: int = 8  # of each direction
     attention: int = 8
     window: int = 40
-    stride: int = 30
-    batch: int = 256
+    stride: int = 20
+    batch: int = 128
     warm_steps: int = 150
-    rounds: int = 3
-    round_steps: int = 120
+    rounds: int = 2
+    round_steps: int = 100
     rate: float = 0.02
     seed: int = 7
     #: Bounds of the sample that is learned from: texts of either label, and characters of one such text.
@@ -358,23 +358,32 @@ def best_shift(bad: np.ndarray, good: np.ndarray) -> float:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", s: Settings = Settings()) -> Network:
     """Train on a sample of the texts of ``docs`` that ``labels`` names, drawn by a hash of the id.
 
-    The sample has about ``per_label`` rows of either label (all, if fewer), of
-    which texts of over ``max_chars`` characters are left out. So its ids are
-    few and go to all executors, and it alone reaches the driver.
+    The sample has about ``per_label`` ids of either label (all, if fewer) and
+    one text of each, the least if there are several; only it reaches the
+    driver. An id with both labels counts for both. Of a clean text of over
+    ``max_chars`` characters a part of that length is read, at a place that
+    follows from its id; a toxic one is left out, as any part of it may be clean.
     """
-    own = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and _id is not null")
+    own = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and _id is not null").distinct()
     total = {r["label"]: r["count"] for r in own.groupBy("label").count().collect()}
     share = F.lit(0.0)
     for label, n in total.items():
         share = F.when(F.col("label") == label, min(1.0, s.per_label / n)).otherwise(share)
     drawn = own.where(F.pmod(F.xxhash64("_id", F.lit("toxicity")), F.lit(1 << 20)) < share * (1 << 20))
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.length("text") <= s.max_chars)
-    found = rows.join(F.broadcast(drawn), "_id").toPandas().sort_values(["_id", "label", "text"])
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(drawn), "_id")
+    beyond = F.length("text") - s.max_chars
+    part = F.substring(F.col("text"), (1 + F.pmod(F.xxhash64("_id"), beyond + 1)).cast("int"), F.lit(s.max_chars))
+    rows = rows.where((beyond <= 0) | (F.col("label") == 0)).withColumn("text", F.when(beyond > 0, part).otherwise(F.col("text")))
+    found = rows.groupBy("_id", "label").agg(F.min("text").alias("text")).toPandas().sort_values(["_id", "label"])
     return train(found["text"].tolist(), found["label"].to_numpy(dtype=np.int64), s)
 
 
 def score(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``toxicity``, a number from 0 to 1; null, empty and wordless texts have 0. A column of this name is replaced."""
+    """``docs`` with ``toxicity``, a number from 0 to 1; null, empty and wordless texts have 0.
+
+    Texts of any length are scored to their end. Repeated rows all stay, with
+    equal scores. An empty table gives no rows. A column of this name is replaced.
+    """
     docs = without(docs, ["toxicity"], [text_col])
     sent = docs.sparkSession.sparkContext.broadcast(net)
 

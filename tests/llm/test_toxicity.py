@@ -93,6 +93,21 @@ def test_held_out_accuracy(spark):
     assert got[2] >= 0.5 and got[2] > got[1] and got[3] == got[4] == got[5] == 0
 
 
+def test_sample(spark, monkeypatch):
+    """One text of each id; of a long clean text a part, a long toxic one not at all; repeated labels count once."""
+    taken = {}
+
+    def keep(texts, labels, s):
+        taken.update(texts=texts, labels=labels.tolist())
+
+    monkeypatch.setattr(tx, "train", keep)
+    docs = [(1, "clean"), (1, "a clean one"), (2, "toxic"), (3, "x " * 500), (4, "y " * 500), (5, None)]
+    labels = [(1, 0), (1, 0), (2, 1), (2, 1), (3, 0), (4, 1), (5, 0), (6, 1), (None, 1), (2, None), (2, 7)]
+    tx.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), s=tx.Settings(max_chars=100))
+    assert taken["labels"] == [0, 1, 0, 0] and taken["texts"][:2] == ["a clean one", "toxic"] and taken["texts"][3] == ""
+    assert len(taken["texts"][2]) == 100 and set(taken["texts"][2]) == {"x", " "}
+
+
 def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
     for own in ([], [(1, 0)], [(1, 1)]):
