@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 SCHEMA = (
     "ordinal int, name string, class string, category string, alias string, model_type string, input_type string, display_name string,"
     " supports_streaming boolean, supports_confidence boolean, supports_multilingual boolean, supports_system_prompt boolean,"
-    " default_prompt string, default_temperature double, default_max_tokens int, description string, use_cases array<string>, languages array<string>"
+    " default_prompt string, default_temperature double, default_max_tokens int, languages array<string>"
 )
 TYPES = ["text", "vision", "multimodal", "ocr", "embedding", "specialized"]
 INPUTS = ["text_only", "image_only", "text_and_image", "file", "custom"]
@@ -16,15 +16,15 @@ CATEGORIES = ["ocr", "text_general", "text_code", "vision", "specialized"]
 FALLBACK = "llama3:latest"
 
 # The models known from the start and what they can do.
-_TEXT = {"model_type": "text", "input_type": "text_only", "streaming": False, "system": True, "prompt": "You are a helpful assistant.", "temperature": 0.7, "tokens": 2048, "description": "Базовая модель", "uses": [], "languages": ["en", "ru"]}
+_TEXT = {"model_type": "text", "input_type": "text_only", "streaming": False, "system": True, "prompt": "You are a helpful assistant.", "temperature": 0.7, "tokens": 2048, "languages": ["en", "ru"]}
 MODELS = [
     {"name": "llama3:latest", "class": "Llama3TextModel", "category": "text_general", "alias": "llama3", "display": "Llama 3", **_TEXT},
     {"name": "qwen:latest", "class": "QwenTextModel", "category": "text_general", "alias": "qwen", "display": "Qwen", **_TEXT},
     {"name": "phi3:latest", "class": "Phi3TextModel", "category": "text_general", "alias": "phi3", "display": "Phi 3", **_TEXT},
     {"name": "codellama:latest", "class": "CodeLlamaModel", "category": "text_code", "alias": "codellama", "display": "CodeLlama", **_TEXT},
-    {"name": "glm-ocr:latest", "class": "GlmOcrModel", "category": "ocr", "alias": "glm-ocr", "display": "GLM-OCR", "model_type": "ocr", "input_type": "text_and_image", "streaming": False, "system": False, "prompt": "Extract all text from this image. Preserve structure and layout.", "temperature": 0.0, "tokens": 2048, "description": "Специализированная модель для распознавания текста с изображений", "uses": ["OCR", "Распознавание текста", "Извлечение данных с документов"], "languages": ["en", "ru", "zh"]},
-    {"name": "llava:latest", "class": "LlavaVisionModel", "category": "vision", "alias": "llava", "display": "LLaVA", "model_type": "vision", "input_type": "text_and_image", "streaming": True, "system": True, "prompt": "You are a helpful assistant that can analyze images. Describe what you see.", "temperature": 0.7, "tokens": 1024, "description": "Мультимодальная модель для анализа и описания изображений", "uses": ["Описание изображений", "Анализ визуального контента", "Ответы на вопросы по изображению"], "languages": ["en", "ru"]},
-    {"name": "moondream:latest", "class": "MoondreamVisionModel", "category": "vision", "alias": "moondream", "display": "Moondream", "model_type": "vision", "input_type": "text_and_image", "streaming": False, "system": True, "prompt": "Describe this image.", "temperature": 0.7, "tokens": 512, "description": "Компактная и быстрая модель для анализа изображений", "uses": ["Быстрое описание изображений", "Простой анализ"], "languages": ["en"]},
+    {"name": "glm-ocr:latest", "class": "GlmOcrModel", "category": "ocr", "alias": "glm-ocr", "display": "GLM-OCR", "model_type": "ocr", "input_type": "text_and_image", "streaming": False, "system": False, "prompt": "Extract all text from this image. Preserve structure and layout.", "temperature": 0.0, "tokens": 2048, "languages": ["en", "ru", "zh"]},
+    {"name": "llava:latest", "class": "LlavaVisionModel", "category": "vision", "alias": "llava", "display": "LLaVA", "model_type": "vision", "input_type": "text_and_image", "streaming": True, "system": True, "prompt": "You are a helpful assistant that can analyze images. Describe what you see.", "temperature": 0.7, "tokens": 1024, "languages": ["en", "ru"]},
+    {"name": "moondream:latest", "class": "MoondreamVisionModel", "category": "vision", "alias": "moondream", "display": "Moondream", "model_type": "vision", "input_type": "text_and_image", "streaming": False, "system": True, "prompt": "Describe this image.", "temperature": 0.7, "tokens": 512, "languages": ["en"]},
 ]
 CODE_STOPS = ["```", "def ", "class ", "if ", "for ", "while ", "{", "}"]
 
@@ -42,7 +42,7 @@ def registry(spark: SparkSession, more: list[dict] = ()) -> DataFrame:
         ordinal = rows[m["name"]][0] if m["name"] in rows else len(rows)
         rows[m["name"]] = (
             ordinal, m["name"], m.get("class"), m.get("category"), m.get("alias"), m["model_type"], m["input_type"], m["display"], m["streaming"], m.get("confidence", False), m.get("multilingual", True), m["system"],
-            m["prompt"], m["temperature"], m["tokens"], m["description"], m["uses"], m["languages"],
+            m["prompt"], m["temperature"], m["tokens"], m["languages"],
         )
     table = spark.createDataFrame(list(rows.values()), SCHEMA)
     return table.withColumn("category", F.coalesce("category", default_category(F.col("model_type"), F.col("display_name"))))

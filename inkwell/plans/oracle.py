@@ -130,14 +130,21 @@ held AS (
 _KINDS = "['packing_list', 'invoice', 'payment_order', 'account_protocol']"
 _BLANK = r"[^\s\p{Z}]"
 
+_COMBINED = f"""{_SCORED}, {_TOKENS},
+both_ AS (SELECT doc_id, s.confidence AS looks, token_confidence AS token, doc_id % 4 AS k FROM scored s LEFT JOIN token USING (doc_id))
+SELECT doc_id, (['deepseek-ocr', 'deepseek-ocr2', 'glm-ocr', 'paddleocr-vl-1.5'])[k + 1] AS model,
+       round(CASE WHEN doc_id % 10 = 9 THEN NULL WHEN k = 3 THEN looks WHEN token IS NOT NULL THEN 0.7::DOUBLE * token + 0.3::DOUBLE * looks WHEN k < 2 THEN looks END, 6) AS confidence FROM both_"""
+
 ORACLE_SQL = {
     "confidence_heuristic": f"{_SCORED} SELECT *, {_LEVEL} AS level FROM rounded",
     "confidence_band_summary": f"{_SCORED} SELECT {_LEVEL} AS level, count(*) AS documents, min(confidence) AS least, max(confidence) AS most FROM rounded GROUP BY 1",
     "token_confidence": f"WITH {_TOKENS} SELECT * FROM token",
-    "confidence_combined": f"""{_SCORED}, {_TOKENS},
-both_ AS (SELECT doc_id, s.confidence AS looks, token_confidence AS token, doc_id % 4 AS k FROM scored s LEFT JOIN token USING (doc_id))
-SELECT doc_id, (['deepseek-ocr', 'deepseek-ocr2', 'glm-ocr', 'paddleocr-vl-1.5'])[k + 1] AS model,
-       round(CASE WHEN doc_id % 10 = 9 THEN NULL WHEN k = 3 THEN looks WHEN token IS NOT NULL THEN 0.7::DOUBLE * token + 0.3::DOUBLE * looks WHEN k < 2 THEN looks END, 6) AS confidence FROM both_""",
+    "confidence_combined": _COMBINED,
+    "confidence_advice": f"""
+SELECT doc_id, {_LEVEL} AS level, CASE {_LEVEL} WHEN 'high' THEN 'Высокая' WHEN 'medium' THEN 'Средняя' WHEN 'low' THEN 'Низкая' END AS label,
+       CASE {_LEVEL} WHEN 'high' THEN '#28a745' WHEN 'medium' THEN '#ffc107' WHEN 'low' THEN '#dc3545' END AS color, CASE {_LEVEL} WHEN 'high' THEN '✅' WHEN 'medium' THEN '⚠️' WHEN 'low' THEN '❌' END AS sign,
+       CASE {_LEVEL} WHEN 'high' THEN 'Результат можно использовать без дополнительной проверки' WHEN 'medium' THEN 'Рекомендуется проверить критичные поля (суммы, даты, номера)'
+            WHEN 'low' THEN 'Обязательна полная ручная проверка документа' END AS advice FROM ({_COMBINED})""",
     "document_rollup": f"""{_PAGES}
 SELECT conv_id, count(*) AS total_pages, count(*) FILTER (text <> '') AS processed_pages, count(error) AS failed_pages, round(min(value), 6) AS confidence,
        string_agg(round(value * 10000)::BIGINT::VARCHAR, ',' ORDER BY n) AS confidence_per_page FROM valued GROUP BY conv_id""",

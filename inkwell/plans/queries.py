@@ -51,6 +51,13 @@ def confidence_band_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupBy("level").agg(F.count("*").alias("documents"), F.min("confidence").alias("least"), F.max("confidence").alias("most"))
 
 
+def confidence_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader is told about a document's confidence."""
+    own = confidence_combined(spark, sf_dir)
+    told = conf.band(F.col("confidence"))
+    return own.select("doc_id", *(told[c].alias(c) for c in ("level", "label", "color", "sign", "advice")))
+
+
 # Logits: a vector is one step, its label the token; eight neighbouring ids make up a document.
 def token_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 8").alias("doc_id"), conf.token_probability(F.col("embedding"), F.col("label")).alias("p"))
@@ -501,7 +508,7 @@ QUERIES = {
         confidence_heuristic, confidence_band_summary, token_confidence, confidence_combined, document_rollup, document_text_concat, pages_with_text, line_geometry,
         cer, wer, text_similarity, nested_records, file_classify_ui, file_classify_ocr, file_classify_convert, file_size_gate, file_names, param_clamp, binarize, docx_paging,
         registry_resolve, registry_by_category, chat_request, chat_response, error_categories, session_epochs, session_results, session_summary, ground_truth_upsert,
-        metric_records, round_trip_tally, image_counts, page_timing, page_selectors, file_source_kind, file_preview, file_formats, raw_previews, output_names, load_failures, error_texts,
+        confidence_advice, metric_records, round_trip_tally, image_counts, page_timing, page_selectors, file_source_kind, file_preview, file_formats, raw_previews, output_names, load_failures, error_texts,
         result_exports, registry_defaults, registry_server, registry_refused, model_inventory, binarize_unclamped, ground_truth_records,
     )
 } | {f"line_select_{p}": _line_select(p) for p in lines.PROFILES}

@@ -117,7 +117,7 @@ def test_values_of_any_kind(spark):
 
 
 def test_registry(spark):
-    extra = [{"name": "own:1", "display": "My Code", "model_type": "text", "input_type": "text_only", "streaming": False, "system": True, "prompt": "p", "temperature": 0.1, "tokens": 9, "description": "", "uses": [], "languages": []}]
+    extra = [{"name": "own:1", "display": "My Code", "model_type": "text", "input_type": "text_only", "streaming": False, "system": True, "prompt": "p", "temperature": 0.1, "tokens": 9, "languages": []}]
     models = registry.registry(spark, extra)
     asked = spark.createDataFrame([("llama3",), ("glm-ocr:latest",), ("own:1",), ("none",), (None,)], "model string")
     got = {r.model: (r.model_name, r.model_class) for r in registry.resolve(asked, models).collect()}
