@@ -48,7 +48,13 @@ def current_results(events: DataFrame) -> DataFrame:
 
 
 def summary(events: DataFrame) -> DataFrame:
-    """One row per session: epochs, events, the file at the end and the number of results held."""
-    counts = epochs(events).groupBy("session_id").agg(F.max("epoch").alias("epochs"), F.count("*").alias("events"))
-    held = current_results(events).groupBy("session_id").agg(F.count("*").alias("results"))
-    return counts.join(current_files(events), "session_id", "left").join(held, "session_id", "left").select("session_id", "epochs", "events", "file_name", F.coalesce("results", F.lit(0)).alias("results"))
+    """One row per session: epochs, events, the file at the end and the number of results held.
+
+    Sessions are sorted once; what follows are aggregates of the same partitioning.
+    """
+    shown = F.col("action").isin("result", "clear")
+    last = F.max_by(F.when(shown, F.col("action")), F.when(shown, F.struct("ts", "event_id")))
+    kinds = epochs(events).groupBy("session_id", "epoch", "kind").agg(F.count("*").alias("events"), last.alias("last"))
+    each = kinds.groupBy("session_id", "epoch").agg(F.sum("events").alias("events"), F.count_if(F.col("last") == "result").alias("held"))
+    counts = each.groupBy("session_id").agg(F.max("epoch").alias("epochs"), F.sum("events").alias("events"), F.max_by("held", "epoch").alias("results"))
+    return counts.join(current_files(events), "session_id", "left").select("session_id", "epochs", "events", "file_name", "results")
