@@ -62,3 +62,9 @@ def without(df: DataFrame, names: list[str], needed: list[str]) -> DataFrame:
 def width(spark: SparkSession) -> int:
     """Tasks of a shuffle."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than cores, dealt out for work that is heavy per row; a larger one as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, language_id, license_scan, line_dedup, mixing, packing, simhash, topk, toxicity, url_filter
-from .common import materialise
+from . import fertility, language_id, license_scan, line_dedup, mixing, packing, prefix_trie, quality_net, simhash, topk, toxicity, url_filter, whitening
+from .common import materialise, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,9 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """Columns of documents for work that is heavy per row: a scan with fewer splits than cores is dealt out."""
-    docs = table(spark, sf_dir, "documents").select(*columns)
-    cores = spark.sparkContext.defaultParallelism
-    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+    return spread(table(spark, sf_dir, "documents").select(*columns))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +97,22 @@ def op10_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    docs = texts(spark, sf_dir, "doc_id", "text")
+    net = quality_net.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    found = quality_net.score(docs.select("doc_id", held_out.alias("held_out"), "text"), net)
+    return found.select("doc_id", "held_out", F.col("quality_score").alias("score"), (F.col("quality_score") >= net.s.good).cast("int").alias("predicted"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -116,6 +130,9 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_top_k": op9_top_k,
     "op10_fertility_rules": op10_fertility_rules,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_whitening": op12_whitening,
+    "op13_quality_net": op13_quality_net,
     "pipeline": pipeline,
 }
 
@@ -124,4 +141,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": line_dedup.pages_sql(),
     "op4_url_filter": url_filter.PAGES_SQL,
     "op9_top_k": topk.SQL,
+    "op11_prefix_trie": prefix_trie.TRIE_SQL,
 }
