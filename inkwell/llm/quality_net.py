@@ -239,7 +239,7 @@ def score(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
         own: Network = sent.value
         for rows, data, offsets in blocks(batches, text_col):
             with np.errstate(over="ignore"):
-                odds = 1 / (1 + np.exp(-own.log_odds(data, offsets).astype(np.float64)))
+                odds = np.round(1 / (1 + np.exp(-own.log_odds(data, offsets).astype(np.float64))), 6)  # single precision has no more
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(odds)], names=[*rows.schema.names, "quality_score"])
 
     return docs.mapInArrow(run, f"{docs.schema.toDDL()}, quality_score double")

@@ -74,7 +74,7 @@ def test_held_out_accuracy(spark):
     long = " ".join(t for _, t, y in rows if y)
     odd = [(1, long), (2, long + rows[0][1] * 3), (3, None), (4, ""), (5, ""), (6, "é" * 3)]
     found = {r.doc_id: r.quality_score for r in qn.score(spark.createDataFrame(odd, "doc_id long, text string"), net).collect()}
-    assert found[1] >= 0.7 and found[3] == found[4] == found[5] and all(0 <= x <= 1 for x in found.values())
+    assert found[1] >= 0.7 and [found[4], found[5]] == pytest.approx([found[3]] * 2, abs=1e-5) and all(0 <= x <= 1 for x in found.values())
     assert found[2] < found[1]  # a bad end of a long text counts
 
 
