@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 
-def component_labels(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def component_labels(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of the edges ``(u, v)``; ``root`` is the smallest node reachable.
 
     Each round hangs every node below the smallest neighbour that it knows of;
-    the edges are written to the shared folder after each round. Only counts
-    reach the driver.
+    the edges are written to the shared folder after each round, of which there
+    are about as many as the logarithm of the longest chain. Only counts reach the
+    driver.
     """
     edges = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     was = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -28,6 +29,4 @@ def component_labels(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == was:
             break
         was = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

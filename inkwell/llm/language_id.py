@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .characters import LETTER, MARK, lower_codes
 from .common import without
 from .textkit import blocks, mix, sums_between
 
@@ -29,36 +29,17 @@ class Model:
     sizes: tuple[int, ...]
 
 
-def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of a block in lower case, where each text begins and ends in them, which are letters, and which belong to words."""
-    point = (data & 0xC0) != 0x80
-    at = np.append(0, np.cumsum(point))[offsets]
-    codes = np.frombuffer(data.tobytes().decode().lower().encode("utf-32-le") if _same_length(data) else _lowered(data), dtype=np.uint32)
-    return codes, at, _LETTERS[codes], _IN_WORD[codes]
-
-
-def _same_length(data: np.ndarray) -> bool:
-    """Whether lower-casing keeps every character one character: only U+0130 (C4 B0) becomes two."""
-    where = np.flatnonzero(data[:-1] == 0xC4) if len(data) > 1 else np.zeros(0, np.int64)
-    return not (data[where + 1] == 0xB0).any()
-
-
-def _lowered(data: np.ndarray) -> bytes:
-    return data.tobytes().decode().replace("İ", "i").lower().encode("utf-32-le")
-
-
-_LETTERS = np.array([chr(c).isalpha() for c in range(0x110000)])
 #: Marks such as vowel signs belong to the words that they stand in.
-_IN_WORD = _LETTERS | np.array([unicodedata.category(chr(c))[0] == "M" for c in range(0x110000)])
+_IN_WORD = LETTER | MARK
 
 
 def ngrams(data: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed n-grams of the texts of a block, those of a text together: buckets, bounds per text, letters per text.
 
-    Characters are lower-cased; a run of others than letters and their marks counts as one space.
+    Each character is lower-cased by itself; a run of others than letters and their marks counts as one space.
     """
-    codes, at, letter, inside = _codes(data, offsets)
-    letters = sums_between(letter, at)
+    codes, at = lower_codes(data), np.append(0, np.cumsum((data & 0xC0) != 0x80))[offsets]
+    letters, inside = sums_between(LETTER[codes], at), _IN_WORD[codes]
     # One space for each run of other characters.
     lead = np.zeros(len(codes), dtype=bool)
     lead[at[:-1][at[:-1] < len(codes)]] = True
@@ -94,15 +75,15 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", siz
     so every run draws the same; the priors count all rows. Null and empty texts
     count for the priors alone, texts of any length are read whole. ``buckets``
     is a power of two. Counts are added up by Spark per language and bucket; the
-    driver gets languages times buckets numbers, and a model over MODEL_BYTES is
-    refused.
+    driver gets languages times buckets numbers. So many languages that the model
+    would be over MODEL_BYTES share fewer buckets, 1,024 at least.
     """
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("lang is not null")
     n_languages = rows.select("lang").distinct().count()
     if not n_languages:
         return None
-    if n_languages * buckets * 4 > MODEL_BYTES:
-        raise ValueError(f"{n_languages} languages in {buckets} buckets make a model over {MODEL_BYTES} bytes; use fewer buckets")
+    while n_languages * buckets * 4 > MODEL_BYTES and buckets > 1024:
+        buckets //= 2
     found = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("texts")).collect()
     total, texts = {r["lang"]: r["n"] for r in found}, {r["lang"]: r["texts"] for r in found}
     languages = sorted(total)

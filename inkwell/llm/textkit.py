@@ -25,15 +25,26 @@ def byte_table(members: list[int]) -> np.ndarray:
 NOT_SPACE = ~byte_table(_SPACES)
 
 
+def _valid(texts: pa.Array) -> pa.Array:
+    """The texts, with what isn't UTF-8 replaced; Spark hands such bytes on as they are."""
+    try:
+        texts.validate(full=True)
+        return texts
+    except pa.ArrowInvalid:
+        raw = texts.view(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
+        return pa.array([x if x is None else x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with about ``limit`` bytes of text: rows, bytes, and n + 1 offsets.
 
-    A single longer text is a slice of its own. Null texts count as empty.
+    A single longer text is a slice of its own. Null texts count as empty; bytes
+    that aren't UTF-8 count as U+FFFD each.
     """
     for batch in batches:
         if not batch.num_rows:
             continue
-        column = batch.column(batch.schema.get_field_index(text)).fill_null("").cast(pa.large_string())
+        column = _valid(batch.column(batch.schema.get_field_index(text))).fill_null("").cast(pa.large_string())
         offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
         data = column.buffers()[2]
         data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)

@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .characters import LETTER_OR_DIGIT, MARK, lower_codes
 from .common import without
 from .textkit import blocks, mix, runs, span_hashes
 
-_IN_WORD = np.array([chr(c).isalnum() for c in range(0x110000)])
+_IN_WORD = LETTER_OR_DIGIT | MARK
 _MARK = 0x110000  # begins and ends every word
 
 
@@ -59,12 +60,8 @@ class Words:
 
 
 def read_words(data: np.ndarray, offsets: np.ndarray, s: Settings) -> Words:
-    """Words of a block of UTF-8 texts: runs of letters and digits, lower-cased."""
-    text = data.tobytes().decode()
-    lower = text.lower()
-    if len(lower) != len(text):  # a character that becomes two
-        lower = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    codes = np.frombuffer(lower.encode("utf-32-le"), dtype=np.uint32)
+    """Words of a block of UTF-8 texts: runs of letters, digits and their marks, each character lower-cased by itself."""
+    codes = lower_codes(data)
     at = np.append(0, np.cumsum((data & 0xC0) != 0x80))[offsets]
     starts, ends = runs(_IN_WORD[codes], at)
     bounds = np.append(np.searchsorted(starts, at[:-1]), len(starts))

@@ -14,7 +14,7 @@ SMALL = "/root/testdata/sf0.01"
 
 
 def grams(text, sizes):
-    text = (text or "").replace("İ", "i").lower()
+    text = "".join("i" if c == "İ" else "σ" if c == "ς" else c.lower() for c in text or "")
     own = "".join(c if c.isalpha() or unicodedata.category(c)[0] == "M" else " " for c in text)
     while "  " in own:
         own = own.replace("  ", " ")
@@ -82,3 +82,34 @@ def test_held_out_accuracy(spark):
     got = queries.op6_language_id(spark, SMALL).join(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
     assert len(got) > 150 and (got.lang == got.lang_pred).mean() > 0.98
     assert got.score.between(0, 1).all()
+
+
+NEIGHBOURS = ["ΟΔΟΣ", "ΒΓ", "İx", "é ́", "हिन्दी में", "ΣΑΣ ΟΣ", "", "a", "ς σ Σ"]
+
+
+def test_a_text_is_read_alone_as_among_others():
+    """Lower case doesn't depend on what stands behind, nor at the end of a block."""
+
+    def found(texts):
+        ((_, data, offsets),) = blocks([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])], "text")
+        got, at, letters = li.ngrams(data, offsets, (1, 2, 3), 1 << 30)
+        return [(sorted(got[a:b].tolist()), n) for a, b, n in zip(at[:-1], at[1:], letters.tolist())]
+
+    for one in NEIGHBOURS:
+        (alone,) = found([one])
+        for other in NEIGHBOURS:
+            assert found([one, other])[0] == alone == found([other, one])[1]
+
+
+def test_bytes_that_are_no_text(spark):
+    docs = spark.createDataFrame([(1, bytearray(b"the cat \xff\xfe sat")), (2, bytearray(b"\xc3"))], "doc_id long, text binary").selectExpr("doc_id", "cast(text as string) as text")
+    model = li.fit(spark.createDataFrame([(1, "the cat sat", "en", 1), (2, "der hund", "de", 1)], SCHEMA))
+    assert {r.doc_id: r.lang_pred for r in li.predict(docs, model).collect()} == {1: "en", 2: "und"}
+
+
+def test_many_languages_share_fewer_buckets(spark, monkeypatch):
+    monkeypatch.setattr(li, "MODEL_BYTES", 2 * 4 * 2048)
+    model = li.fit(spark.createDataFrame([(1, "the cat sat", "en", 1), (2, "der hund und", "de", 1)], SCHEMA))
+    assert model.log_probs.shape == (2048, 2)
+    got = li.predict(spark.createDataFrame([(1, "cat sat")], "doc_id long, text string"), model)
+    assert got.first().lang_pred == "en"

@@ -114,3 +114,17 @@ def test_without_labels(spark):
         net = tx.fit(docs, spark.createDataFrame(own, "doc_id long, toxic int"), s=SMALL)
         assert [r.toxicity for r in tx.score(docs, net).collect()] == [0, 0]
     assert tx.score(docs.limit(0), net).collect() == []
+
+
+def test_a_text_is_read_alone_as_among_others():
+    texts = ["ΟΔΟΣ", "ΒΓ", "İx", "é ́", "हिन्दी में", "ΣΑΣ ΟΣ", "", "a", "ς σ Σ"]
+
+    def found(own):
+        ((_, w),) = read(own, SMALL)
+        return [[(int(w.bucket[i]), w.grams[w.cut[i] : w.cut[i + 1]].tolist()) for i in w.index[a:b]] for a, b in zip(w.bounds, w.bounds[1:])]
+
+    for one in texts:
+        (alone,) = found([one])
+        for other in texts:
+            assert found([one, other])[0] == alone == found([other, one])[1]
+    assert len(found(["हिन्दी में"])[0]) == 2
