@@ -48,8 +48,8 @@ def test_few_rows_and_large_numbers(spark):
     check(spark, list(enumerate(vectors(60, 5, 40_000_000, 3))))
 
 
-def test_both_ways_to_meet(spark, monkeypatch):
-    monkeypatch.setattr(topk, "BROADCAST_QUERIES", 0)
+def test_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERIES", 37)
     test_against_brute_force(spark)
     test_few_rows_and_large_numbers(spark)
 
@@ -72,14 +72,36 @@ def test_many_components(spark):
     check(spark, list(enumerate(vectors(40, 2048, 3_000_000, 7))), k=7, candidate_block=16)
 
 
-def test_bounds_enclose_scores():
-    values = np.array(vectors(50, 6, 9, 4))
-    q = np.array(vectors(10, 6, 9, 5))
-    for a, b, c, d in topk.Lists(values, (0.02, 0.5, 0.9, 1.0)).levels:
-        plus, minus = np.maximum(q, 0), np.minimum(q, 0)
-        exact = q @ values.T
-        assert (plus @ a + minus @ c <= exact).all() and (exact <= plus @ b + minus @ d).all()
-    assert (plus @ a + minus @ c == exact).all()
+def test_gains_are_what_scores_are_made_of():
+    values, q = np.array(vectors(50, 6, 9, 4)), np.array(vectors(10, 6, 9, 5))
+    lists = topk.Lists(values)
+    weights = np.concatenate([np.maximum(q, 0), np.minimum(q, 0)], axis=1)
+    assert (lists.gain.T[:6] >= 0).all() and (lists.gain.T[6:] <= 0).all()
+    assert (weights @ lists.gain.T + (weights @ lists.worst)[:, None] == q @ values.T).all()
+    for j in range(12):  # what a list holds, in the order of reading: never better than before
+        order = np.argsort(lists.place[:, j])
+        assert (lists.gain[order, j] == lists.read_values[:, j]).all()
+        assert (np.diff(np.abs(lists.read_values[:, j])) <= 0).all()
+
+
+def test_structured_vectors_stop_early():
+    """A few strong components: the best candidates stand at the beginning of their lists."""
+    r = np.random.default_rng(8)
+    values = np.round(r.pareto(1.2, (2000, 12)) * np.array([400, 200, 50, *[1] * 9]))
+    queries = np.abs(np.round(r.standard_normal((40, 12)) * 10 + 20))
+    opened, ids = [], np.arange(2000)
+    q, c, score = topk.search_block(queries, np.full(40, -1), topk.Lists(values), ids, ids, 10, opened=opened)
+    want = np.sort(queries @ values.T, axis=1)[:, :-11:-1]
+    assert (score.reshape(40, 10) == want).all()
+    assert max(depth for depth, _, _ in opened) < 0.5
+
+
+def test_least_scores_of_other_blocks():
+    values, q, ids = np.array(vectors(60, 5, 9, 1)), np.array(vectors(7, 5, 9, 2)), np.arange(60)
+    scores = q @ values.T
+    least = np.sort(scores, axis=1)[:, -3].astype(np.int64)
+    i, j, got = topk.search_block(q, np.full(7, -1), topk.Lists(values), ids, ids, 10, least)
+    assert all(set(got[i == x]) >= set(np.sort(scores[x])[-3:]) for x in range(7))
 
 
 def test_sql(spark):
