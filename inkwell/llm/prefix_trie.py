@@ -27,7 +27,7 @@ from .common import WORD, materialise, width
 #: A base conversation is one whose id is divisible by BASE; others take so many of its first turns, fewer than TAKEN.
 BASE, TAKEN = 20, 4
 #: A node of more members than this, and than a share of all conversations, is above the shards.
-LIGHT, SHARE = 2000, 1024
+LIGHT, SHARE = 64, 1024
 #: Messages of a queue that are held in memory.
 HELD = 200_000
 #: Bytes of ids in one row at most while a node's ids are hashed.
