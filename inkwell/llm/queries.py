@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, language_id, license_scan, line_dedup, mixing, packing, prefix_trie, quality_net, simhash, topk, toxicity, url_filter, whitening
+from . import fertility, language_id, license_scan, line_dedup, mixing, packing, prefix_trie, quality_net, simhash, stages, topk, toxicity, url_filter, whitening
 from .common import materialise, spread
 
 
@@ -85,14 +85,14 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = materialise(fertility.measure(texts(spark, sf_dir, "doc_id", "lang", "text")).drop("text"), "quality")
+    found = fertility.measure(texts(spark, sf_dir, "doc_id", "lang", "text"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     more = ["chars_per_token", "byte_share", "entropy", "script"]
     return found.select(
         "doc_id",
         *(f"quality.{c}" for c in counts),
         fertility.base_failed().alias("base_failed"),
-        fertility.kept(lang_col="lang", quartiles=fertility.fences(found, "lang")).alias("kept"),
+        fertility.kept(lang_col="lang", norms=fertility.INVENTED_PROSE).alias("kept"),
         *(f"quality.{c}" for c in more),
     )
 
@@ -114,9 +114,7 @@ def op13_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 QUERIES = {

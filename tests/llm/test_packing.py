@@ -113,7 +113,7 @@ def test_queries_take_the_tokenizers_call(spark, tmp_path):
     from inkwell.llm import queries
 
     sys.path.insert(0, str(Path(__file__).parents[2]))
-    import corpus_pipeline
+    from inkwell.llm import stages
 
     own = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
     rows = [(i, t) for i, t in enumerate([*texts(60), "a <|endoftext|> b", "a <|endof", "text|> b", "x<|endoftext|>", "<|endoftext|><|endoftext|>y  z"])]
@@ -121,5 +121,5 @@ def test_queries_take_the_tokenizers_call(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = sorted((d, zlib.crc32(np.array([*own.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes())) for d, t in rows)
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    for found in (queries.op2_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.pack_sequences(spark, docs, "")):
+    for found in (queries.op2_best_fit_packing(spark, str(tmp_path)), stages.pack_sequences(spark, docs, "")):
         assert sorted((r.doc_id, r.ids_crc32) for r in found.collect()) == want
