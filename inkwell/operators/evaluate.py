@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.confidence import strip
+from ..functions.documents import json_text
 from ..functions.similarity import cer, wer
 
 
@@ -40,6 +41,13 @@ def flat_text(column: Column, kind: T.DataType) -> Column:
     return F.array_join(values(column, kind), " ")
 
 
+def evenly(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out by their keys for work that is heavy per row, which adaptive execution can't tell from small rows."""
+    session = rows.sparkSession
+    tasks = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(tasks, *keys)
+
+
 def error_rates(pairs: DataFrame, reference: str, hypothesis: str) -> DataFrame:
     """``pairs`` with cer and wer of two text columns; null texts count as empty."""
     a, b = (F.coalesce(F.col(c), F.lit("")) for c in (reference, hypothesis))
@@ -47,10 +55,20 @@ def error_rates(pairs: DataFrame, reference: str, hypothesis: str) -> DataFrame:
 
 
 def compare(truth: DataFrame, recognised: DataFrame, keys: list[str], record: str = "record") -> DataFrame:
-    """``(keys, cer, wer)`` for every truth row; a record that wasn't recognised counts as empty."""
-    kinds = [df.schema[record].dataType for df in (truth, recognised)]
-    a, b = (df.select(*keys, flat_text(F.col(record), kind).alias(name)) for df, kind, name in zip((truth, recognised), kinds, ("reference", "hypothesis")))
-    return error_rates(a.join(b, keys, "left"), "reference", "hypothesis").select(*keys, "cer", "wer")
+    """``(keys, cer, wer)`` for every truth row; a record that wasn't recognised counts as empty.
+
+    A record is a struct, or a JSON text of any shape (``documents.json_values``);
+    rows of one table may be of different shapes. Distances are computed where
+    the join has brought the rows, in as many tasks as a shuffle has.
+    """
+
+    def flat(df: DataFrame, name: str) -> DataFrame:
+        kind = df.schema[record].dataType
+        text = json_text(F.col(record)) if isinstance(kind, T.StringType) else flat_text(F.col(record), kind)
+        return evenly(df.select(*keys, text.alias(name)), *keys)
+
+    both = flat(truth, "reference").join(flat(recognised, "hypothesis"), keys, "left")
+    return error_rates(both, "reference", "hypothesis").select(*keys, "cer", "wer")
 
 
 def tally(results: DataFrame, passed: Column, keys: list[str] = ()) -> DataFrame:

@@ -81,6 +81,32 @@ FROM (SELECT *, list_filter(string_split_regex(reference, '{_WHITE}+'), lambda w
 
 _PAIRS = f"SELECT conv_id, turn, text AS reference, {_MISREAD.format('text')} AS hypothesis FROM conversations"
 
+# Records of no declared type, as JSON, and their values by walking down the tree: the path of positions gives the order.
+def _mixed(text: str) -> str:
+    turns = f"""list(json_object('n', turn, 'said', {text} || ' "' || chr(92) || chr(9), 'who', CASE WHEN turn % 3 = 1 THEN role END, 'box', json_array(json_array((turn * 0.5)::DOUBLE, NULL), json_array((turn * 1000003.25)::DOUBLE)),
+      'even', turn % 2 = 0, 'blank', '  ') ORDER BY turn)"""
+    return f"""
+SELECT conv_id, CASE conv_id % 3 WHEN 0 THEN json_object('kind', 'list', 'turns', t, 'total', total) WHEN 1 THEN json_object('out', json_object('in', json_object('deep', t, 'a:b', total)), 'id', conv_id)
+  ELSE CASE WHEN conv_id % 9 <> 8 THEN json_array(json_array(t), json_array(json_array(json_array(t)))) END END AS record
+FROM (SELECT conv_id, {turns} AS t, (conv_id % 7 * CASE WHEN conv_id % 2 = 0 THEN 1e-5 ELSE 1e15 END)::DOUBLE AS total FROM conversations GROUP BY conv_id)"""
+
+
+def _walked(rows: str, name: str) -> str:
+    return f"""
+{name}_tree(conv_id, path, node) AS (
+  SELECT conv_id, []::BIGINT[], record FROM ({rows}) WHERE record IS NOT NULL
+  UNION ALL
+  SELECT conv_id, list_append(path, -place), part FROM (
+    SELECT conv_id, path, unnest(parts) AS part, generate_subscripts(parts, 1) AS place FROM (
+      SELECT conv_id, path, CASE json_type(node) WHEN 'OBJECT' THEN list_transform(json_keys(node), lambda k: json_extract(node, '$."' || k || '"')) ELSE json_extract(node, '$[*]') END AS parts
+      FROM {name}_tree WHERE json_type(node) IN ('OBJECT', 'ARRAY')))),
+{name}_leaf AS (
+  SELECT conv_id, path, CASE json_type(node) WHEN 'VARCHAR' THEN regexp_replace(node ->> '$', '^{_WHITE}+|{_WHITE}+$', '', 'g') WHEN 'BOOLEAN' THEN CASE WHEN node::BOOLEAN THEN 'True' ELSE 'False' END
+    WHEN 'DOUBLE' THEN node::DOUBLE::VARCHAR ELSE node::VARCHAR END AS value
+  FROM {name}_tree WHERE json_type(node) NOT IN ('OBJECT', 'ARRAY', 'NULL')),
+{name} AS (SELECT conv_id, list(value ORDER BY path) FILTER (value <> '') AS found FROM {name}_leaf GROUP BY conv_id)"""
+
+
 _POSITIONAL = f"""
 SELECT conv_id, turn, CASE WHEN a = b THEN 100::DOUBLE WHEN a = '' OR b = '' THEN 0::DOUBLE ELSE len(list_filter(range(1, least(len(x), len(y)) + 1), lambda i: x[i] = y[i]))::DOUBLE / greatest(len(x), len(y)) * 100 END AS percent
 FROM (SELECT *, string_split(a, '') AS x, string_split(b, '') AS y FROM (
@@ -176,6 +202,15 @@ WITH flat AS (
   SELECT conv_id, (count(*) * 0.25)::DOUBLE::VARCHAR || ' ' || string_agg(coalesce(nullif(regexp_replace(CASE WHEN turn % 3 <> 2 THEN text END, '^{_WHITE}+|{_WHITE}+$', '', 'g'), '') || ' ', '') || role || ' ' || turn, ' ' ORDER BY turn DESC) || ' C-' || conv_id AS reference
   FROM conversations GROUP BY conv_id)
 SELECT conv_id, reference, round(rate, 6) AS cer FROM ({_CER.format(rows="SELECT *, " + _MISREAD.format("reference") + " AS hypothesis FROM flat")})""",
+    "json_values": f"""
+WITH RECURSIVE {_walked(_mixed('text'), 'own')}
+SELECT conv_id, len(found)::INTEGER AS n, array_to_string(found, '|') AS joined FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN own USING (conv_id)""",
+    "json_records": f"""
+WITH RECURSIVE {_walked(_mixed('text'), 'own')}, {_walked(_mixed(_MISREAD.format('text')), 'seen')},
+flat AS (
+  SELECT c.conv_id, coalesce(array_to_string(own.found, ' '), '') AS reference, CASE WHEN c.conv_id % 5 = 2 THEN '' ELSE coalesce(array_to_string(seen.found, ' '), '') END AS hypothesis
+  FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN own USING (conv_id) LEFT JOIN seen USING (conv_id))
+SELECT conv_id, round(rate, 6) AS cer FROM ({_CER.format(rows="SELECT * FROM flat")})""",
     "file_classify_ui": f"""{_UPLOADS}
 SELECT doc_id, ext, is_image, is_pdf, is_docx, is_image OR is_pdf OR is_docx AS is_supported, is_image OR is_pdf AS is_image_like,
        CASE WHEN is_image THEN 'image' WHEN is_pdf THEN 'pdf' WHEN is_docx THEN 'docx' WHEN ext IN ('.txt', '.csv', '.json') THEN 'text' ELSE 'other' END AS icon FROM kinds""",
@@ -236,6 +271,7 @@ SELECT event_id,
        CASE kind WHEN 'file' THEN 'other_format' WHEN 'image' THEN 'check_image' WHEN 'validation' THEN 'check_value' WHEN 'timeout' THEN 'smaller_file'
             ELSE CASE WHEN code = 404 THEN 'check_url' WHEN code = 400 THEN 'check_parameters' WHEN code >= 500 THEN 'server_failed' END END AS hint FROM b""",
     "session_epochs": f"{_EVENTS} SELECT event_id, session_id, epoch FROM epochs",
+    "session_stream": f"{_EVENTS} SELECT event_id, session_id, epoch FROM epochs",
     "session_results": f"{_EVENTS} SELECT * FROM held",
     "session_summary": f"""{_EVENTS},
 files AS (SELECT session_id, max_by(file_name, (ts, event_id)) FILTER (true) AS file_name FROM (SELECT session_id, ts, event_id, now AS file_name FROM changes WHERE now IS NOT NULL) GROUP BY session_id)

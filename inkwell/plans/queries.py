@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import confidence as conf
-from ..functions import errors, files, params, similarity
+from ..functions import documents, errors, files, params, similarity
 from ..operators import chat, evaluate, lines, pages, pixels, recognize, registry, session
-from ..sources import export, ground_truth
+from ..sources import export, ground_truth, shared
+from ..streaming import session as stream
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer splits than cores, dealt out for work that is heavy per row; a larger one as it is."""
+    """A table of fewer files than cores, dealt out for work that is heavy per row; a larger one as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
 
 
 def _six(value: Column) -> Column:
@@ -31,6 +33,27 @@ def _six(value: Column) -> Column:
     return F.round(value, 6)
 
 
+#: Files that a stream's events are dealt out to.
+STREAM_FILES = 4
+
+
+def read_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Folders of Parquet files as a stream, a file at a time."""
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def streamed(spark: SparkSession, rows: DataFrame, folder: str) -> DataFrame:
+    """What a stream gives until all files are read, written to the folder and read back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, stream.ROCKS)
+    try:
+        rows.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+    return spark.read.schema(rows.schema).parquet(f"{folder}/out")
+
+
 def pick(values: list, index: Column) -> Column:
     return F.get(F.array(*(F.lit(v) for v in values)), index.cast("int"))
 
@@ -153,7 +176,7 @@ def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nested_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of a conversation and its misread copy, compared as nested values."""
-    own = table(spark, sf_dir, "conversations")
+    own = evaluate.evenly(table(spark, sf_dir, "conversations"), "conv_id")  # the group-by takes these partitions as they are
     item = F.struct(F.col("turn").alias("line_number"), F.col("role").alias("unit"), F.when(F.col("turn") % 3 != 2, F.col("text")).alias("description"))
     truth = own.groupBy("conv_id").agg(F.struct(F.concat(F.lit("C-"), F.col("conv_id").cast("string")).alias("number"), F.array_sort(F.collect_list(item)).alias("items"), F.struct((F.count("*") * 0.25).alias("total")).alias("totals")).alias("record"))
     kind = truth.schema["record"].dataType
@@ -322,6 +345,24 @@ def session_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.epochs(session_events(spark, sf_dir)).select("event_id", "session_id", "epoch")
 
 
+def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on a stream: the first third of the time as a batch, the rest as files in which events stand up to two hours late."""
+    events = session_events(spark, sf_dir)
+    low, high = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    at, jitter = F.unix_micros("ts"), F.pmod(F.xxhash64("event_id"), F.lit(7200)) * 1_000_000
+    start = (low or 0) + ((high or 0) - (low or 0)) // 3
+    width = max(1, ((high or 0) - start + 7_200_000_000) // STREAM_FILES + 1)
+    before, rest = events.where(at < start), events.where(at >= start).withColumn("part", F.floor((at + jitter - start) / width))
+    folder = shared.new_folder(spark)
+    for i in range(STREAM_FILES):  # one after another: the source takes files by their age
+        rest.where(F.col("part") == i).drop("part").coalesce(1).write.parquet(f"{folder}/in/{i}")
+    # The clock goes on when all has come, so that nobody waits any longer: an event of no session, which is left out again.
+    last = spark.range(1).select(F.lit(-1).cast("long").alias("session_id"), F.timestamp_micros(F.lit((high or 0) + 10**11)).alias("ts"), F.lit(-1).cast("long").alias("event_id"), *(F.lit(x).cast("string").alias(c) for c, x in (("action", "end"), ("file_name", None), ("kind", None), ("payload", None))))
+    last.coalesce(1).write.parquet(f"{folder}/in/{STREAM_FILES}")
+    found = streamed(spark, stream.follow(read_stream(spark, f"{folder}/in", events.schema), "2 hours 10 minutes", session.state(before)), folder)
+    return session.epochs(before).select("event_id", "session_id", "epoch").unionByName(found.where("event_id >= 0").select("event_id", "session_id", "epoch"))
+
+
 def session_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.current_results(session_events(spark, sf_dir))
 
@@ -342,7 +383,7 @@ def ground_truth_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Records: a turn is a record, of which the recognised copy has misread texts; some copies are missing.
 def metric_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error rates of whole nested records."""
-    own = spread(table(spark, sf_dir, "conversations"))
+    own = table(spark, sf_dir, "conversations")
 
     def record(text: Column) -> Column:
         item = F.struct(F.col("turn").alias("line_number"), F.col("role").alias("unit"), text.alias("description"))
@@ -355,6 +396,36 @@ def metric_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "turn", _six(F.col("cer")).alias("cer"), _six(F.col("wer")).alias("wer"))
 
 
+# Records of no declared type: what a conversation's record holds depends on its id.
+def mixed_records(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
+    """JSON texts with lists in lists, numbers, booleans, nulls and blank strings."""
+    i, n = F.col("conv_id"), F.col("turn")
+    own = evaluate.evenly(table(spark, sf_dir, "conversations"), "conv_id")
+    turn = F.struct(n.alias("n"), F.concat(text, F.lit(' "\\\t')).alias("said"), F.when(n % 3 == 1, F.col("role")).alias("who"), F.array(F.array((n * 0.5).alias("x"), F.lit(None)), F.array(n * 1000003.25)).alias("box"), (n % 2 == 0).alias("even"), F.lit("  ").alias("blank"))
+    turns = F.array_sort(F.collect_list(turn))
+    total = (i % 7) * F.when(i % 2 == 0, 1e-5).otherwise(1e15)
+    kinds = [
+        F.to_json(F.struct(F.lit("list").alias("kind"), turns.alias("turns"), total.alias("total"))),
+        F.to_json(F.struct(F.struct(F.struct(turns.alias("deep"), total.alias("a:b")).alias("in")).alias("out"), i.alias("id"))),
+        F.concat(F.lit("[["), F.to_json(turns), F.lit("],[[["), F.to_json(turns), F.lit("]]]]")),
+    ]
+    record = F.when(i % 3 == 0, kinds[0]).when(i % 3 == 1, kinds[1]).when(i % 9 == 8, F.lit("{broken")).otherwise(kinds[2])
+    return own.groupBy("conv_id").agg(record.alias("record"))
+
+
+def json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of records of which no type is known, the last one first."""
+    found = documents.json_values(F.col("record"))
+    return mixed_records(spark, sf_dir, F.col("text")).select("conv_id", F.size(found).alias("n"), F.array_join(found, "|").alias("joined"))
+
+
+def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error rates of records of no declared type, some of which weren't recognised."""
+    truth = mixed_records(spark, sf_dir, F.col("text"))
+    seen = mixed_records(spark, sf_dir, _misread(F.col("text"))).where("conv_id % 5 <> 2")
+    return evaluate.compare(truth, seen, ["conv_id"]).select("conv_id", _six(F.col("cer")).alias("cer"))
+
+
 def round_trip_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many turns of a conversation come through a round trip."""
     a, b = F.col("reference"), F.col("hypothesis")
@@ -440,11 +511,9 @@ def result_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "documents")
     kind = pick(["pdf", "image", "docx"], F.col("doc_id") % 3)
     text = export.download_text(kind, F.concat(F.lit("all "), F.col("source")), F.when(F.col("doc_id") % 5 != 0, F.col("lang")))
-    rows = own.select("doc_id", "lang", "n_chars", F.lit(None).cast("string").alias("error"))
-    json = own.select("doc_id", text.alias("text"), export.as_base64(text.cast("binary")).alias("encoded"))
-    back = json.withColumn("decoded", export.from_base64(F.when(F.col("doc_id") % 4 == 0, F.lit("not base64!")).otherwise(F.col("encoded"))).cast("string"))
-    lines_ = export.result_json(rows).select(F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"), F.col("value").alias("json"))
-    return back.join(lines_, "doc_id")
+    json = export.json_of("doc_id", "lang", "n_chars", F.lit(None).cast("string").alias("error"))
+    found = own.select("doc_id", text.alias("text"), export.as_base64(text.cast("binary")).alias("encoded"), json.alias("json"))
+    return found.withColumn("decoded", export.from_base64(F.when(F.col("doc_id") % 4 == 0, F.lit("not base64!")).otherwise(F.col("encoded"))).cast("string"))
 
 
 def registry_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -506,8 +575,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         confidence_heuristic, confidence_band_summary, token_confidence, confidence_combined, document_rollup, document_text_concat, pages_with_text, line_geometry,
-        cer, wer, text_similarity, nested_records, file_classify_ui, file_classify_ocr, file_classify_convert, file_size_gate, file_names, param_clamp, binarize, docx_paging,
-        registry_resolve, registry_by_category, chat_request, chat_response, error_categories, session_epochs, session_results, session_summary, ground_truth_upsert,
+        cer, wer, text_similarity, nested_records, json_values, json_records, file_classify_ui, file_classify_ocr, file_classify_convert, file_size_gate, file_names, param_clamp, binarize, docx_paging,
+        registry_resolve, registry_by_category, chat_request, chat_response, error_categories, session_epochs, session_stream, session_results, session_summary, ground_truth_upsert,
         confidence_advice, metric_records, round_trip_tally, image_counts, page_timing, page_selectors, file_source_kind, file_preview, file_formats, raw_previews, output_names, load_failures, error_texts,
         result_exports, registry_defaults, registry_server, registry_refused, model_inventory, binarize_unclamped, ground_truth_records,
     )

@@ -11,9 +11,14 @@ def download_text(file_type: Column, combined_text: Column, text: Column) -> Col
     return F.coalesce(F.when(file_type == "pdf", combined_text).otherwise(text), F.lit(""))
 
 
+def json_of(*columns: Column | str) -> Column:
+    """The columns as one JSON text, nulls included."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
 def result_json(df: DataFrame) -> DataFrame:
     """Each row as one JSON text, nulls included."""
-    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    return df.select(json_of(*df.columns).alias("value"))
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -1,7 +1,9 @@
 """Sessions on a stream: what ``operators.session`` computes in batch, kept as state per session.
 
-Events count in the order of their time within a micro-batch. An event that is
-older than the last one that its session has seen is late and is left out.
+Events may come in any order within the watermark. They wait in their session's
+state until the watermark has passed them, and are then taken in the order of
+their time, so the stream gives what the batch form gives for the same events.
+Events behind the watermark are dropped by Spark, which counts them.
 """
 
 from __future__ import annotations
@@ -12,45 +14,96 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-OUTPUT = "session_id long, ts timestamp, event_id long, epoch long, file_name string, results int"
+OUTPUT = "session_id long, ts timestamp, event_id long, epoch long, file_name string, results long"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_WAITING = ["ts", "event_id", "action", "file_name", "kind", "payload"]
 
 
 class SessionProcessor(StatefulProcessor):
-    """State per session: time, epoch and file as one value, results by kind as a map."""
+    """State per session: what it holds as one value, and the events that wait as a list.
+
+    Results are few, one of a kind, and are read and written once per batch, so
+    no event asks the state store for anything. One timer per session stands at
+    its first waiting event.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.at = handle.getValueState("at", "ts timestamp, event_id long, epoch long, file_name string")
-        self.results = handle.getMapState("results", "kind string", "payload string")
+        self.handle = handle
+        self.at = handle.getValueState("at", "epoch long, file_name string, has_file boolean, results map<string, string>, timer long")
+        self.waiting = handle.getListState("waiting", "ts long, event_id long, action string, file_name string, kind string, payload string")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        for e in initialState.itertuples():
+            self.at.update((int(e.epoch), e.file_name, bool(e.has_file), {x["kind"]: x["payload"] for x in e.results}, 0))
+
+    def _value(self) -> list:
+        found = self.at.get()
+        return list(found) if found is not None else [0, None, False, {}, 0]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for batch in rows:  # one batch of a key at a time
+            times = batch["ts"].astype("datetime64[us]").astype("int64")
+            columns = [batch[c].astype(object).where(batch[c].notna(), None) for c in _WAITING[1:]]
+            self.waiting.appendList([(int(ts), int(event), *rest) for ts, event, *rest in zip(times, *columns)])
+            first = min(x for x in (first, int(times.min())) if x is not None)
+        own = self._value()
+        self._set_timer(own, -(-first // 1000))
+        self.at.update(tuple(own))
+        yield pd.DataFrame([], columns=["session_id", "ts", "event_id", "epoch", "file_name", "results"])
+
+    def _set_timer(self, own: list, at: int) -> None:
+        """Wake at this millisecond, unless an earlier timer stands."""
+        if own[4] and own[4] <= at:
+            return
+        if own[4]:
+            self.handle.deleteTimer(own[4])
+        own[4] = at
+        self.handle.registerTimer(at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         (session,) = key
-        ts, last, epoch, name = self.at.get() if self.at.exists() else (None, None, 0, None)
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        ready, left = [], []
+        for e in self.waiting.get():
+            (ready if e[0] <= passed else left).append(tuple(e))
+        ready.sort(key=lambda e: (e[0], e[1]))
+        epoch, file, has_file, results, _ = self._value()
         out = []
-        for e in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
-            if ts is not None and (e.ts, e.event_id) <= (pd.Timestamp(ts), last):
-                continue
-            ts, last = e.ts, int(e.event_id)
-            if e.action == "upload" and e.file_name != name:
-                epoch, name = epoch + 1, e.file_name
-                self.results.clear()
-            elif e.action == "remove":
-                name = None
-            elif e.action == "result":
-                self.results.updateValue((e.kind,), (e.payload,))
-            elif e.action == "clear" and self.results.containsKey((e.kind,)):
-                self.results.removeKey((e.kind,))
-            out.append((session, ts, last, epoch, name, sum(1 for _ in self.results.keys())))
-        if out:
-            self.at.update((ts.to_pydatetime(), last, epoch, name))
+        for ts, event, action, name, kind, payload in ready:
+            if action == "upload":
+                if not (has_file and name == file):
+                    epoch, results = epoch + 1, {}
+                file, has_file = name, True
+            elif action == "remove":
+                file, has_file = None, False
+            elif action == "result":
+                results[kind] = payload
+            elif action == "clear":
+                results.pop(kind, None)
+            out.append((session, pd.Timestamp(ts, unit="us"), event, epoch, file, len(results)))
+        own = [epoch, file, has_file, results, 0]
+        if left:
+            self.waiting.put(left)
+            self._set_timer(own, -(-min(e[0] for e in left) // 1000))
+        else:
+            self.waiting.clear()
+        self.at.update(tuple(own))
         yield pd.DataFrame(out, columns=["session_id", "ts", "event_id", "epoch", "file_name", "results"])
 
     def close(self) -> None:
         pass
 
 
-def follow(events: DataFrame) -> DataFrame:
-    """A row per event: the session's epoch, file and number of results after it. Needs the RocksDB state store."""
-    return events.groupBy("session_id").transformWithStateInPandas(SessionProcessor(), OUTPUT, "Append", "None")
+def follow(events: DataFrame, late: str = "10 minutes", before: DataFrame | None = None) -> DataFrame:
+    """A row per event: the session's epoch, file and number of results after it, once the watermark has passed the event.
+
+    ``late`` is how far an event may come behind the latest one; ``before`` is
+    what ``operators.session.state`` has found in earlier events. Needs the
+    RocksDB state store (``ROCKS``).
+    """
+    grouped = events.withWatermark("ts", late).groupBy("session_id")
+    return grouped.transformWithStateInPandas(SessionProcessor(), OUTPUT, "Append", "EventTime", before.groupBy("session_id") if before is not None else None)
 
 
 def active_windows(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:

@@ -188,17 +188,47 @@ def test_session_batch(spark):
     assert {r.session_id: (r.epochs, r.file_name, r.results) for r in session.summary(df).collect()} == {s: (o["epoch"], o["file"], len(o["results"])) for s, o in state.items()}
 
 
+def test_session_in_spans(spark):
+    """However a session is cut, also one that holds most of the events."""
+    rows = events(400, 5) + [(9, T0 + timedelta(seconds=i % 97), 1000 + i, r[3], r[4], r[5], r[6]) for i, r in enumerate(events(300, 6))]
+    rows += [(9, T0, 5000 + i, "result", None, "ocr", "x") for i in range(50)]
+    want = sorted(x[:3] for x in replay(rows)[1])
+    df = spark.createDataFrame(rows, EVENTS).repartition(5)
+    for chunks in (1, 2, 7, 64, 500):
+        assert sorted((r.session_id, r.event_id, r.epoch) for r in session.epochs(df, chunks).collect()) == want
+    nobody = spark.createDataFrame([(None, T0 + timedelta(seconds=i), i, "upload", x, None, None) for i, x in enumerate("aabba")] + [(None, None, 9, "upload", "a", None, None)], EVENTS)
+    assert sorted((r.event_id, r.epoch) for r in session.epochs(nobody, 3).collect()) == [(0, 1), (1, 1), (2, 2), (3, 2), (4, 3), (9, 1)]
+    assert session.epochs(df.limit(0)).collect() == []
+
+
+def test_a_hot_session_is_dealt_out(spark):
+    """No window holds more than a span of the session."""
+    rows = [(1 if i % 3 == 0 else i, T0 + timedelta(seconds=i), i, "upload", str(i % 5), None, None) for i in range(3000)]
+    df = spark.createDataFrame(rows, EVENTS)
+    chunked = df.withColumn("chunk", session._chunk(df, 64)).groupBy("session_id", "chunk").count()
+    assert chunked.agg(F.max("count")).first()[0] <= 3000 / 64 / 3 * 2
+
+
 def test_session_stream(spark, tmp_path):
-    rows = events()
-    for part in range(3):
-        spark.createDataFrame(rows[part * 40 : part * 40 + 40], EVENTS).coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
-        time.sleep(1.1)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    source = spark.readStream.schema(EVENTS).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    query = stream.follow(source).writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").option("path", f"{tmp_path}/out").trigger(availableNow=True).start()
-    query.awaitTermination()
-    got = sorted((r.session_id, r.event_id, r.epoch, r.file_name, r.results) for r in spark.read.parquet(f"{tmp_path}/out").collect())
-    assert got == sorted(replay(rows)[1])
+    """Events in any order within the watermark, after a first part that a batch has read."""
+    import random
+
+    from inkwell.plans import queries as plans
+
+    rows = events(200, 4)
+    early, late = [r for r in rows if r[1] < T0 + timedelta(seconds=40)], [r for r in rows if r[1] >= T0 + timedelta(seconds=40)]
+    rnd = random.Random(1)
+    late.sort(key=lambda r: r[1] + timedelta(seconds=rnd.random() * 8))
+    parts = [late[i : i + 40] for i in range(0, len(late), 40)] + [[(99, T0 + timedelta(days=1), -1, "end", None, None, None)]]
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, EVENTS).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        time.sleep(0.3)
+    before = session.state(spark.createDataFrame(early, EVENTS))
+    source = plans.read_stream(spark, f"{tmp_path}/in", before.sparkSession.createDataFrame([], EVENTS).schema)
+    found = plans.streamed(spark, stream.follow(source, "20 seconds", before), str(tmp_path))
+    got = sorted((r.session_id, r.event_id, r.epoch, r.file_name, r.results) for r in found.where("event_id >= 0").collect())
+    known = {x[1] for x in early}
+    assert got == sorted(x for x in replay(rows)[1] if x[1] not in {r[2] for r in early}) and known
     visits = stream.active_windows(spark.createDataFrame([(1, T0), (1, T0 + timedelta(minutes=5)), (1, T0 + timedelta(hours=2))], "session_id long, ts timestamp_ntz"))
     assert sorted(r.events for r in visits.collect()) == [1, 2]
 
