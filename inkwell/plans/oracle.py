@@ -156,6 +156,11 @@ held AS (
 _KINDS = "['packing_list', 'invoice', 'payment_order', 'account_protocol']"
 _BLANK = r"[^\s\p{Z}]"
 
+_UPSERT = f"""
+WITH store AS (SELECT ({_KINDS})[doc_id % 4 + 1] AS doc_type, 'f' || doc_id AS file_name, '{{"lang":"' || lang || '","n_chars":' || n_chars || '}}' AS record FROM documents),
+changes AS (SELECT ({_KINDS})[doc_id % 4 + 1] AS doc_type, 'f' || (doc_id - doc_id % 8 + doc_id % 4) AS file_name, '{{"quality":' || quality || ',"toxic":' || toxic || '}}' AS record, doc_id AS n FROM labels),
+last AS (SELECT doc_type, file_name, record FROM (SELECT *, row_number() OVER (PARTITION BY doc_type, file_name ORDER BY n DESC) AS r FROM changes) WHERE r = 1)
+SELECT * FROM store s WHERE NOT EXISTS (SELECT 1 FROM last l WHERE l.doc_type = s.doc_type AND l.file_name = s.file_name) UNION ALL SELECT * FROM last"""
 _COMBINED = f"""{_SCORED}, {_TOKENS},
 both_ AS (SELECT doc_id, s.confidence AS looks, token_confidence AS token, doc_id % 4 AS k FROM scored s LEFT JOIN token USING (doc_id))
 SELECT doc_id, (['deepseek-ocr', 'deepseek-ocr2', 'glm-ocr', 'paddleocr-vl-1.5'])[k + 1] AS model,
@@ -278,11 +283,10 @@ files AS (SELECT session_id, max_by(file_name, (ts, event_id)) FILTER (true) AS
 SELECT session_id, e.epochs, e.events, nullif(file_name, '-') AS file_name, coalesce(results, 0) AS results
 FROM (SELECT session_id, max(epoch) AS epochs, count(*) AS events FROM epochs GROUP BY session_id) e LEFT JOIN files USING (session_id)
 LEFT JOIN (SELECT session_id, count(*) AS results FROM held GROUP BY session_id) USING (session_id)""",
-    "ground_truth_upsert": f"""
-WITH store AS (SELECT ({_KINDS})[doc_id % 4 + 1] AS doc_type, 'f' || doc_id AS file_name, '{{"lang":"' || lang || '","n_chars":' || n_chars || '}}' AS record FROM documents),
-changes AS (SELECT ({_KINDS})[doc_id % 4 + 1] AS doc_type, 'f' || (doc_id - doc_id % 8 + doc_id % 4) AS file_name, '{{"quality":' || quality || ',"toxic":' || toxic || '}}' AS record, doc_id AS n FROM labels),
-last AS (SELECT doc_type, file_name, record FROM (SELECT *, row_number() OVER (PARTITION BY doc_type, file_name ORDER BY n DESC) AS r FROM changes) WHERE r = 1)
-SELECT * FROM store s WHERE NOT EXISTS (SELECT 1 FROM last l WHERE l.doc_type = s.doc_type AND l.file_name = s.file_name) UNION ALL SELECT * FROM last""",
+    "ground_truth_upsert": _UPSERT,
+    "ground_truth_stream": _UPSERT,
+    "ground_truth_files": """
+SELECT (['invoice', 'pay{"ment', 'protocol}'])[doc_id % 3 + 1] AS doc_type, 'f"}{' || doc_id || chr(92) AS file_name, doc_id, lang, md5(text) AS digest FROM documents""",
     "file_source_kind": f"{_UPLOADS} SELECT doc_id, CASE WHEN is_pdf THEN 'pdf' WHEN is_image THEN 'image' END AS kind FROM kinds",
     "file_preview": f"""{_UPLOADS},
 shown AS (SELECT *, mime = 'application/pdf' OR ext = '.pdf' AS pdf, starts_with(mime, 'image/') OR ext IN ('.jpg', '.jpeg', '.png', '.bmp', '.gif') AS image, ext = '.docx' AS docx FROM kinds)

@@ -371,13 +371,43 @@ def session_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.summary(session_events(spark, sf_dir))
 
 
-def ground_truth_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A store of documents after changes that follow from the labels."""
+def _store_and_changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A store of documents, and changes that follow from the labels."""
     i = F.col("doc_id")
     kind = pick(list(ground_truth.RECORDS), i % 4)
     store = table(spark, sf_dir, "documents").select(kind.alias("doc_type"), F.concat(F.lit("f"), i.cast("string")).alias("file_name"), F.to_json(F.struct("lang", "n_chars")).alias("record"))
     changes = table(spark, sf_dir, "labels").select(kind.alias("doc_type"), F.concat(F.lit("f"), (i - i % 8 + i % 4).cast("string")).alias("file_name"), F.to_json(F.struct("quality", "toxic")).alias("record"), i.alias("at"))
-    return ground_truth.upsert(store, changes, "at")
+    return store, changes
+
+
+def ground_truth_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ground_truth.upsert(*_store_and_changes(spark, sf_dir), "at")
+
+
+def ground_truth_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with changes that come as files, later ones first, into a store of which only touched parts are written."""
+    store, changes = _store_and_changes(spark, sf_dir)
+    folder = shared.new_folder(spark)
+    ground_truth.start(store, f"{folder}/store")
+    for i in range(3):
+        changes.where(F.col("at") % 3 == 2 - i).coalesce(1).write.parquet(f"{folder}/in/{i}")
+    ground_truth.follow_changes(read_stream(spark, f"{folder}/in", changes.schema), f"{folder}/store", f"{folder}/state").awaitTermination()
+    return ground_truth.current(spark, f"{folder}/store").select("doc_type", "file_name", "record")
+
+
+def ground_truth_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores of about a thousand documents as JSON files, read in byte ranges; names hold quotes and braces."""
+    i = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select(
+        F.expr("doc_id div 1000").alias("part"), pick(["invoice", 'pay{"ment', "protocol}"], i % 3).alias("doc_type"), F.concat(F.lit('f"}{'), i.cast("string"), F.lit("\\")).alias("file_name"), F.struct("doc_id", "lang", "text").alias("record")
+    )
+    types = docs.groupBy("part", "doc_type").agg(F.map_from_entries(F.collect_list(F.struct("file_name", "record"))).alias("files"))
+    texts = types.groupBy("part").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("doc_type", "files")))).alias("value"))
+    path = f"{shared.new_folder(spark)}/stores"
+    texts.write.partitionBy("part").text(path)
+    got = F.from_json("record", "doc_id long, lang string, text string")
+    found = ground_truth.read_json(spark, path).withColumn("got", got)
+    return found.select("doc_type", "file_name", "got.doc_id", "got.lang", F.md5(F.col("got.text").cast("binary")).alias("digest"))
 
 
 # Records: a turn is a record, of which the recognised copy has misread texts; some copies are missing.
@@ -576,7 +606,7 @@ QUERIES = {
     for f in (
         confidence_heuristic, confidence_band_summary, token_confidence, confidence_combined, document_rollup, document_text_concat, pages_with_text, line_geometry,
         cer, wer, text_similarity, nested_records, json_values, json_records, file_classify_ui, file_classify_ocr, file_classify_convert, file_size_gate, file_names, param_clamp, binarize, docx_paging,
-        registry_resolve, registry_by_category, chat_request, chat_response, error_categories, session_epochs, session_stream, session_results, session_summary, ground_truth_upsert,
+        registry_resolve, registry_by_category, chat_request, chat_response, error_categories, session_epochs, session_stream, session_results, session_summary, ground_truth_upsert, ground_truth_stream, ground_truth_files,
         confidence_advice, metric_records, round_trip_tally, image_counts, page_timing, page_selectors, file_source_kind, file_preview, file_formats, raw_previews, output_names, load_failures, error_texts,
         result_exports, registry_defaults, registry_server, registry_refused, model_inventory, binarize_unclamped, ground_truth_records,
     )
