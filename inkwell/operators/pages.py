@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.confidence import page_value
@@ -58,22 +59,30 @@ def page_by_number(pages: Column, number: Column) -> Column:
     return F.get(F.filter(pages, lambda p: p["page_number"] == number), F.lit(0))
 
 
-def text_pages(items: DataFrame, keys: list[str], order: str, text: str, per_page: int = 30) -> DataFrame:
+#: Positions that are numbered together.
+STRETCH = 4096
+
+
+def text_pages(items: DataFrame, keys: list[str], order: str, text: str, per_page: int = 30, stretch: int = STRETCH) -> DataFrame:
     """Paragraphs in pages of ``per_page``: page from 1, total, first and last place from 1, the paragraphs.
 
-    Blank and null paragraphs are left out before places are counted.
+    Blank and null paragraphs are left out before places are counted. ``order``
+    is a number. Places are counted in stretches of it, and go on where the
+    stretches before have ended, so a document may hold any part of all rows: no
+    group is larger than a stretch or a page. Paragraphs of one number are in the
+    order of their texts.
     """
-    worded = F.coalesce(F.col(text).rlike(r"[^\s\p{Z}]"), F.lit(False))
-    listed = items.groupBy(*keys).agg(_in_order(F.col(text), order, worded).alias("all"))
-    n, total = F.size("all"), F.ceil(F.size("all") / per_page).cast("int")
-    # Pages are cut before they become rows, so no row carries the whole document along.
-    page = F.transform(
-        F.sequence(F.lit(1), total),
-        lambda i: F.struct(
-            i.alias("page"), total.alias("total_pages"), ((i - 1) * per_page + 1).alias("first"), F.least(i * per_page, n).alias("last"), F.slice("all", (i - 1) * per_page + 1, F.lit(per_page)).alias("paragraphs")
-        ),
-    )
-    return listed.where(n > 0).select(*keys, F.explode(page).alias("_page")).select(*keys, "_page.*")
+    worded = items.where(F.coalesce(F.col(text).rlike(r"[^\s\p{Z}]"), F.lit(False))).withColumn("_key", F.struct(*keys, F.floor(F.col(order) / stretch).alias("_at")))
+    each = worded.groupBy("_key").agg(F.count("*").alias("_n"))
+    whole = W.partitionBy(*(f"_key.{k}" for k in keys))
+    before = whole.orderBy("_key._at").rowsBetween(W.unboundedPreceding, -1)
+    starts = each.select("_key", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"), F.sum("_n").over(whole).alias("_total"))
+    n = (F.col("_from") + F.row_number().over(W.partitionBy("_key").orderBy(order, text))).cast("int")
+    placed = worded.join(starts, "_key").select(*keys, F.col(text).alias("_text"), n.alias("_n"), F.col("_total").cast("int").alias("_total"))
+    page = F.floor((F.col("_n") - 1) / per_page).cast("int") + 1
+    paragraphs = F.transform(F.array_sort(F.collect_list(F.struct("_n", "_text"))), lambda x: x["_text"])
+    found = placed.groupBy(*keys, page.alias("page")).agg(F.ceil(F.max("_total") / per_page).cast("int").alias("total_pages"), F.min("_n").alias("first"), F.max("_n").alias("last"), paragraphs.alias("paragraphs"))
+    return found.select(*keys, "page", "total_pages", "first", "last", "paragraphs")
 
 
 def converted(images: DataFrame, keys: list[str], image: str = "image") -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from .lines import select_line, with_lines
 
+_BYTES = bytes(range(256)).decode("latin-1")
 IMAGE = "origin string, height int, width int, nChannels int, mode int, data binary"
 
 
@@ -34,6 +35,24 @@ def binarize_unclamped(pixels: Column, threshold: Column | int) -> Column:
     return F.transform(pixels, lambda p: F.when(p > t, 255).otherwise(0))
 
 
+def gray_bytes(pixels: Column) -> Column:
+    """Gray values from 0 to 255 as bytes."""
+    return F.unhex(F.array_join(F.transform(pixels, lambda p: F.lpad(F.hex(p), 2, "0")), ""))
+
+
+def binarize_bytes(pixels: Column, threshold: Column | int, clamped: bool = True) -> Column:
+    """``binarize`` on bytes, one a pixel, which stay bytes: a look-up in a table of 256 characters per threshold.
+
+    A byte is one character of the Latin-1 text; it becomes the hexadecimal
+    digit of 0 or 255, which twice gives the byte.
+    """
+    t = (threshold if isinstance(threshold, Column) else F.lit(threshold)).cast("int")
+    dark = F.greatest(F.least(t, F.lit(255)), F.lit(0 if clamped else -1)) + 1
+    table = F.concat(F.repeat(F.lit("0"), dark), F.repeat(F.lit("F"), 256 - dark))
+    digits = F.call_function("translate", F.decode(pixels, "ISO-8859-1"), F.lit(_BYTES), table)
+    return F.unhex(F.replace(F.replace(digits, F.lit("0"), F.lit("00")), F.lit("F"), F.lit("FF")))
+
+
 def as_array(image) -> np.ndarray | None:
     """Height x width x channels, or None for an image that could not be decoded."""
     if image is None or image["height"] is None or image["height"] <= 0:

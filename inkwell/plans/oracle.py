@@ -156,6 +156,9 @@ held AS (
 _KINDS = "['packing_list', 'invoice', 'payment_order', 'account_protocol']"
 _BLANK = r"[^\s\p{Z}]"
 
+_ROLLUP = f"""{_PAGES}
+SELECT conv_id, count(*) AS total_pages, count(*) FILTER (text <> '') AS processed_pages, count(error) AS failed_pages, round(min(value), 6) AS confidence,
+       string_agg(round(value * 10000)::BIGINT::VARCHAR, ',' ORDER BY n) AS confidence_per_page FROM valued GROUP BY conv_id"""
 _UPSERT = f"""
 WITH store AS (SELECT ({_KINDS})[doc_id % 4 + 1] AS doc_type, 'f' || doc_id AS file_name, '{{"lang":"' || lang || '","n_chars":' || n_chars || '}}' AS record FROM documents),
 changes AS (SELECT ({_KINDS})[doc_id % 4 + 1] AS doc_type, 'f' || (doc_id - doc_id % 8 + doc_id % 4) AS file_name, '{{"quality":' || quality || ',"toxic":' || toxic || '}}' AS record, doc_id AS n FROM labels),
@@ -170,15 +173,15 @@ ORACLE_SQL = {
     "confidence_heuristic": f"{_SCORED} SELECT *, {_LEVEL} AS level FROM rounded",
     "confidence_band_summary": f"{_SCORED} SELECT {_LEVEL} AS level, count(*) AS documents, min(confidence) AS least, max(confidence) AS most FROM rounded GROUP BY 1",
     "token_confidence": f"WITH {_TOKENS} SELECT * FROM token",
+    "token_confidence_long": f"WITH {_TOKENS} SELECT * FROM token",
     "confidence_combined": _COMBINED,
     "confidence_advice": f"""
 SELECT doc_id, {_LEVEL} AS level, CASE {_LEVEL} WHEN 'high' THEN 'Высокая' WHEN 'medium' THEN 'Средняя' WHEN 'low' THEN 'Низкая' END AS label,
        CASE {_LEVEL} WHEN 'high' THEN '#28a745' WHEN 'medium' THEN '#ffc107' WHEN 'low' THEN '#dc3545' END AS color, CASE {_LEVEL} WHEN 'high' THEN '✅' WHEN 'medium' THEN '⚠️' WHEN 'low' THEN '❌' END AS sign,
        CASE {_LEVEL} WHEN 'high' THEN 'Результат можно использовать без дополнительной проверки' WHEN 'medium' THEN 'Рекомендуется проверить критичные поля (суммы, даты, номера)'
             WHEN 'low' THEN 'Обязательна полная ручная проверка документа' END AS advice FROM ({_COMBINED})""",
-    "document_rollup": f"""{_PAGES}
-SELECT conv_id, count(*) AS total_pages, count(*) FILTER (text <> '') AS processed_pages, count(error) AS failed_pages, round(min(value), 6) AS confidence,
-       string_agg(round(value * 10000)::BIGINT::VARCHAR, ',' ORDER BY n) AS confidence_per_page FROM valued GROUP BY conv_id""",
+    "document_rollup": _ROLLUP,
+    "page_stream": _ROLLUP,
     "document_text_concat": f"""{_PAGES}
 SELECT conv_id, coalesce(string_agg('[Страница ' || n || ']' || chr(10) || text, chr(10) || chr(10) || '--- СТРАНИЦА РАЗДЕЛИТЕЛЬ ---' || chr(10) || chr(10) ORDER BY n) FILTER (text <> ''), '') AS combined_text
 FROM valued GROUP BY conv_id""",
@@ -240,6 +243,10 @@ SELECT doc_id, CASE WHEN k < 2 THEN 50 ELSE least(greatest(n, 10), 500) END::INT
     "binarize": """
 WITH px AS (SELECT vec_id, list_transform(embedding, lambda x: least(greatest(floor(x::DOUBLE * 256 + 128), 0), 255)::INTEGER) AS g, least(greatest(vec_id % 300 - 20, 0), 255) AS t FROM embeddings)
 SELECT vec_id, len(list_filter(g, lambda p: p > t)) AS white, array_to_string(list_transform(g, lambda p: CASE WHEN p > t THEN '1' ELSE '0' END), '') AS bits FROM px""",
+    "binarize_bytes": """
+WITH px AS (SELECT vec_id, list_transform(embedding, lambda x: least(greatest(floor(x::DOUBLE * 256 + 128), 0), 255)::INTEGER) AS g, vec_id % 300 - 20 AS t FROM embeddings)
+SELECT vec_id, array_to_string(list_transform(g, lambda p: CASE WHEN p > least(greatest(t, 0), 255) THEN '1' ELSE '0' END), '') AS bits,
+       array_to_string(list_transform(g, lambda p: CASE WHEN p > t THEN '1' ELSE '0' END), '') AS unclamped FROM px""",
     "docx_paging": f"""
 WITH lines AS (SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
 placed AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n, count(*) OVER (PARTITION BY doc_id) AS total FROM lines WHERE regexp_matches(line, '{_BLANK}'))

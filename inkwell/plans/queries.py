@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 
 from ..functions import confidence as conf
 from ..functions import documents, errors, files, params, similarity
-from ..operators import chat, evaluate, lines, pages, pixels, recognize, registry, session
+from ..operators import chat, evaluate, lines, pages, pixels, recognize, registry, session, tokens
 from ..sources import export, ground_truth, shared
+from ..streaming import pages as page_stream_
 from ..streaming import session as stream
 
 
@@ -87,6 +88,12 @@ def token_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.groupBy("doc_id").agg(F.count("p").alias("steps"), _six(conf.mean_confidence(F.col("p"))).alias("token_confidence"))
 
 
+def token_confidence_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a row per logit."""
+    own = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 8").alias("doc_id"), F.col("vec_id").alias("step"), F.col("label").alias("made"), F.posexplode("embedding").alias("token", "logit"))
+    return tokens.confidence(own, ["doc_id"]).select("doc_id", "steps", _six(F.col("confidence")).alias("token_confidence"))
+
+
 def confidence_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     token = token_confidence(spark, sf_dir)
     own = scored_documents(spark, sf_dir).join(token, "doc_id", "left")
@@ -109,11 +116,32 @@ def recognised_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pages.rollup(recognised_pages(spark, sf_dir), ["conv_id"])
+    return _rolled_up(pages.rollup(recognised_pages(spark, sf_dir), ["conv_id"]))
+
+
+def _rolled_up(found: DataFrame) -> DataFrame:
     per_page = F.array_join(F.transform("confidence_per_page", lambda x: F.round(x * 10000).cast("long").cast("string")), ",")
     return found.select("conv_id", "total_pages", "processed_pages", "failed_pages", _six(F.col("confidence")).alias("confidence"), per_page.alias("confidence_per_page"))
 
 
+def page_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from pages that come one by one, some twice; of a third of the documents nobody knows how many pages they have."""
+    own = recognised_pages(spark, sf_dir)
+    n = own.groupBy("conv_id").agg(F.count("*").alias("n"))
+    i, k = F.col("conv_id"), F.col("page_number")
+    ts = F.timestamp_seconds(1_700_000_000 + i % 1000 + F.coalesce(k, F.lit(0)) * 7 % 60)
+    rows = own.join(n, "conv_id").select(i.alias("document"), k.cast("long").alias("page_number"), F.when(i % 3 != 0, F.col("n")).alias("pages"), "text", "confidence", "error", ts.alias("ts"))
+    folder = shared.new_folder(spark)
+    part = F.pmod(F.xxhash64("document", "page_number"), F.lit(3))
+    for j in range(3):  # every fourth page comes once more, in the file after its own
+        again = F.pmod(F.xxhash64("page_number", "document"), F.lit(4)) == 0
+        rows.where((part == j) | (again & (part == (j + 2) % 3) & F.lit(j > 0))).coalesce(1).write.parquet(f"{folder}/in/{j}")
+    last = rows.limit(0).unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("document"), F.lit(0).cast("long").alias("page_number"), F.timestamp_seconds(F.lit(1_800_000_000)).alias("ts")), allowMissingColumns=True)
+    last.coalesce(1).write.parquet(f"{folder}/in/3")
+    gathered = streamed(spark, page_stream_.gather(read_stream(spark, f"{folder}/in", rows.schema), "1 hour"), folder)
+    return _rolled_up(page_stream_.rolled_up(gathered.where("document >= 0")).withColumnRenamed("document", "conv_id"))
+
+
 def document_text_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.rollup(recognised_pages(spark, sf_dir), ["conv_id"]).select("conv_id", "combined_text")
 
@@ -253,6 +281,18 @@ def binarize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", F.aggregate("b", F.lit(0).cast("long"), lambda a, x: a + F.when(x == 255, 1).otherwise(0)).alias("white"), F.array_join(F.transform("b", lambda x: F.when(x == 255, "1").otherwise("0")), "").alias("bits"))
 
 
+def binarize_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on bytes, with thresholds moved into range and as they are."""
+    gray = F.transform("embedding", lambda x: F.least(F.greatest(F.floor(x.cast("double") * 256 + 128), F.lit(0)), F.lit(255)).cast("int"))
+    t = F.col("vec_id") % 300 - 20
+
+    def bits(found: Column) -> Column:
+        return F.replace(F.replace(F.hex(found), F.lit("FF"), F.lit("1")), F.lit("00"), F.lit("0"))
+
+    own = table(spark, sf_dir, "embeddings").select("vec_id", pixels.gray_bytes(gray).alias("pixels"))
+    return own.select("vec_id", bits(pixels.binarize_bytes(F.col("pixels"), t)).alias("bits"), bits(pixels.binarize_bytes(F.col("pixels"), t, clamped=False)).alias("unclamped"))
+
+
 def docx_paging(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a source's documents as the paragraphs of one file each."""
     own = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
@@ -604,8 +644,8 @@ def ground_truth_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        confidence_heuristic, confidence_band_summary, token_confidence, confidence_combined, document_rollup, document_text_concat, pages_with_text, line_geometry,
-        cer, wer, text_similarity, nested_records, json_values, json_records, file_classify_ui, file_classify_ocr, file_classify_convert, file_size_gate, file_names, param_clamp, binarize, docx_paging,
+        confidence_heuristic, confidence_band_summary, token_confidence, token_confidence_long, confidence_combined, document_rollup, page_stream, document_text_concat, pages_with_text, line_geometry,
+        cer, wer, text_similarity, nested_records, json_values, json_records, file_classify_ui, file_classify_ocr, file_classify_convert, file_size_gate, file_names, param_clamp, binarize, binarize_bytes, docx_paging,
         registry_resolve, registry_by_category, chat_request, chat_response, error_categories, session_epochs, session_stream, session_results, session_summary, ground_truth_upsert, ground_truth_stream, ground_truth_files,
         confidence_advice, metric_records, round_trip_tally, image_counts, page_timing, page_selectors, file_source_kind, file_preview, file_formats, raw_previews, output_names, load_failures, error_texts,
         result_exports, registry_defaults, registry_server, registry_refused, model_inventory, binarize_unclamped, ground_truth_records,

@@ -2,6 +2,7 @@
 
 import io
 import json
+import math
 import time
 import zipfile
 from datetime import datetime, timedelta
@@ -18,6 +19,72 @@ from inkwell.streaming import session as stream
 PAGES = "doc string, page_number int, text string, confidence double, error string"
 
 
+def test_pages_of_a_giant_document(spark):
+    """However places are cut into stretches, and whatever is blank."""
+    rows = [("a", i, None if i % 11 == 0 else " " if i % 7 == 0 else f"p{i}") for i in range(500)] + [("b", 3, "x"), ("b", 1, "y"), ("b", 1, "x"), ("c", 1, None), (None, 5, "z")]
+    df = spark.createDataFrame(rows, "doc string, at long, text string").repartition(6)
+    want = {}
+    for doc in ("a", "b", None):
+        own = [t for _, t in sorted((at, t) for d, at, t in rows if d == doc and (t or "").strip())]
+        for i in range(0, len(own), 30):
+            want[doc, i // 30 + 1] = (-(-len(own) // 30), i + 1, min(i + 30, len(own)), own[i : i + 30])
+    for stretch in (1, 7, 64, 4096):
+        got = {(r.doc, r.page): (r.total_pages, r.first, r.last, r.paragraphs) for r in pages.text_pages(df, ["doc"], "at", "text", stretch=stretch).collect()}
+        assert got == want
+
+
+def test_pages_on_a_stream(spark, tmp_path):
+    """Complete documents come out at once, others when nobody waits any longer; repeated pages count once."""
+    from inkwell.plans import queries as plans
+    from inkwell.streaming import pages as page_stream
+
+    schema = "document long, page_number long, pages long, text string, confidence double, error string, ts timestamp"
+    at = [T0 + timedelta(minutes=i) for i in range(60)]
+    parts = [
+        [(1, 1, 2, "one", 0.9, None, at[0]), (2, 1, None, "a", 0.8, None, at[1]), (2, 1, None, "again", 0.1, None, at[1]), (3, 5, 3, None, None, "bad", at[2])],
+        [(1, 2, 2, "two", 0.7, None, at[0]), (1, 2, 2, "two", 0.2, None, at[1]), (2, 3, None, None, None, "bad", at[0]), (None, 1, 1, "x", 0.5, None, at[1])],
+        [(1, 1, 2, "late", 0.1, None, at[2]), (9, 1, 1, "end", 1.0, None, T0 + timedelta(days=1))],
+    ]
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        time.sleep(0.3)
+    source = plans.read_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema)
+    got = {r.document: r for r in page_stream.rolled_up(plans.streamed(spark, page_stream.gather(source), str(tmp_path))).collect()}
+    assert set(got) == {1, 2, 3, 9}
+    assert (got[1].total_pages, got[1].confidence, got[1].confidence_per_page) == (2, 0.7, [0.9, 0.7]) and "late" not in got[1].combined_text
+    assert (got[2].total_pages, got[2].failed_pages, got[2].confidence_per_page) == (2, 1, [0.8, 0.1])
+    assert (got[3].total_pages, got[3].processed_pages, got[3].combined_text) == (1, 0, "")
+
+
+def test_long_logits(spark):
+    """Steps over many tasks, logits far from zero, and tokens that the vocabulary lacks."""
+    from inkwell.operators import tokens
+
+    rng = np.random.default_rng(1)
+    rows, want = [], {}
+    for doc in range(6):
+        logs = []
+        for step in range(5):
+            x = rng.standard_normal(40) * [1, 30, 300][doc % 3] + [0, 700, -5000][step % 3]
+            made = int(rng.integers(0, 40)) if (doc, step) != (5, 2) else 99
+            rows += [(doc, step, made, t, float(v)) for t, v in enumerate(x)]
+            if made < 40:
+                logs.append(math.log(max(0.01, float(np.exp(x[made] - x.max()) / np.exp(x - x.max()).sum()))))
+        want[doc] = (len(logs), math.exp(np.mean(logs)) if doc < 5 else 0.5)
+    rows += [(7, 0, 5, 0, 1.0), (7, 0, 5, 1, None), (8, 0, 1, 0, None)]
+    got = {r.doc: (r.steps, r.confidence) for r in tokens.confidence(spark.createDataFrame(rows, "doc int, step int, made int, token int, logit double").repartition(7), ["doc"]).collect()}
+    assert got.pop(7) == (0, 0.5) and got == {k: (n, pytest.approx(c)) for k, (n, c) in want.items()}
+
+
+def test_threshold_on_bytes(spark):
+    rows = [(t, bytearray(range(256))) for t in (-30, -1, 0, 1, 48, 69, 70, 127, 254, 255, 256, 400)] + [(5, bytearray()), (5, None)]
+    df = spark.createDataFrame(rows, "t int, b binary").select("t", "b", pixels.binarize_bytes(F.col("b"), F.col("t")).alias("c"), pixels.binarize_bytes(F.col("b"), F.col("t"), clamped=False).alias("u"))
+    assert "Python" not in df._jdf.queryExecution().toString() and "Arrow" not in df._jdf.queryExecution().toString()
+    for r in df.collect():
+        for got, t in ((r.c, min(max(r.t, 0), 255)), (r.u, r.t)):
+            assert got == (None if r.b is None else bytearray(255 if x > t else 0 for x in r.b))
+
+
 def echo_recognizer():
     """A stand-in whose text is the image's origin. It recognises nothing."""
 
