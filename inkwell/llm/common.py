@@ -1,55 +1,15 @@
-"""Shared pieces: the folder that every executor sees, and tables written there to cut lineage."""
+"""Shared pieces of the operators."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-#: White space between words in all of these operators: space and U+0009..U+000D.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-_written: list[str] = []
-_own: dict[str, str] = {}  # folders of sessions that name none
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``.
+from ..sources.shared import materialise, release, shared_dir
 
-    Where that is unset, a session on one machine gets a local one of its own
-    (tests); any other is refused, as its machines would not see each other's files.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
-        path = _own.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="spark-")
-        _own[spark.sparkContext.applicationId] = path
-    return path.rstrip("/")
+__all__ = ["WORD", "materialise", "release", "shared_dir", "spread", "width", "without"]
 
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
-
-    Later jobs read the files instead of computing ``df`` again, whichever
-    executors are lost meanwhile. The files stay until ``release``.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/inkwell-{uuid.uuid4().hex}"
-    _written.append(path)
-    df.write.parquet(f"{path}/{tag}")
-    return spark.read.schema(df.schema).parquet(f"{path}/{tag}")
-
-
-def release(spark: SparkSession) -> None:
-    """Delete the folders of all tables that this process has written; DataFrames that read them can't be used any more."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(hadoop).delete(path, True)
+#: White space between words in all of these operators: space and U+0009..U+000D.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def without(df: DataFrame, names: list[str], needed: list[str]) -> DataFrame:

@@ -154,8 +154,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ``size`` and ``taken`` count words; a null text has none. A null source is a
     source. Weights repeat over the sources by code point, null last. A source's
     ``taken`` add up to its target, rounded. The order is a hash of id and text,
-    so reruns agree; rows that are equal in both are interchangeable. Without
-    rows there is no result.
+    so reruns agree; rows that are equal in both are interchangeable. Texts of any
+    length are counted whole; other columns, whatever their names, are left out.
+    Without rows there is no result.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
     rows = materialise(keyed(slim, "doc_id", "text", "source", seed).drop("c1", "c2"), "sizes")

@@ -88,7 +88,9 @@ def pack(
 
     A null text counts as empty, so it is one piece with ``end_id`` alone. Only
     documents of more than ``capacity`` tokens are cut; all their pieces but the
-    first are full. Repeated rows are packed as often as they occur. Groups have
+    first are full. Repeated rows are packed as often as they occur, texts of any
+    length whole, an empty table gives no rows; other columns, whatever their
+    names, are left out. Groups have
     about ``group_pieces`` pieces whatever the input's size, so that a task's
     memory is bounded. ``ranks`` names the tokenizer's vocabulary as a rank
     file, or is None. With ``added``, as in the queries, an added token that

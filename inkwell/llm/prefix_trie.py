@@ -28,6 +28,8 @@ from .common import WORD, materialise, width
 BASE, TAKEN = 20, 4
 #: A node of more members than this, and than a share of all conversations, is above the shards.
 LIGHT, SHARE = 64, 1024
+#: Levels of a subtree that one shard holds.
+LEVELS = 1024
 #: Messages of a queue that are held in memory.
 HELD = 200_000
 #: Bytes of ids in one row at most while a node's ids are hashed.
@@ -119,7 +121,7 @@ def pass_up(nodes: DataFrame, held: int = HELD) -> DataFrame:
                     for child in queue.pop((-depth, k1, k2)):
                         children, leaves, saved = children + 1, leaves + child[9], saved + child[10]
                         out.append((*child[:6], conv, *child[7:]))
-                    row = (k1, k2, p1, p2, conv, depth, None, n, children, leaves or 1, saved, top)
+                    row = (k1, k2, p1, p2, conv, depth, None, n, children, leaves or int(not children), saved, top)
                     if top:
                         out.append(row)
                     else:
@@ -264,7 +266,38 @@ def _digests(members: DataFrame) -> DataFrame:
     return pieces.where("sha is not null").select(*keys, F.col("sha").alias("ends_sha256")).unionByName(long)
 
 
-def trie(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", light: int = LIGHT, held: int = HELD) -> DataFrame:
+def _to_parents(tops: DataFrame, *sums: Column) -> DataFrame:
+    """What the roots of shards send to their parents, by the parent's key."""
+    return tops.groupBy(F.col("p1").alias("k1"), F.col("p2").alias("k2"), (F.col("depth") - 1).alias("depth")).agg(F.count("*").alias("c"), *sums)
+
+
+def _with_blocks_below(sharded: DataFrame, members: DataFrame, levels: int, n: int, held: int) -> DataFrame:
+    """The nodes of subtrees of many levels, with what comes to each block of levels from the blocks below.
+
+    Totals inside blocks go from block root to block root, a tree with a
+    ``levels``-th of the nodes, and from each root to its parent in the block above.
+    """
+    keys = [*_KEY, "depth"]
+    below = sharded.where("top and block > 0")
+    order = [F.desc("depth"), "k1", "k2"]
+    known = sharded.join(_to_parents(below), keys, "left").withColumn("more_children", F.coalesce("c", F.lit(0))).drop("c")
+    inside = pass_up(known.repartition(n, "s1", "s2", "block").sortWithinPartitions(*order), held).where("top")
+    tops = inside.drop("top", "p1", "p2").join(sharded.where("top").select(*keys, "s1", "s2", "block"), keys)
+    # The root of the block above is where the same conversation was so many levels before.
+    above = members.select("conv_id", (F.col("depth") + levels).alias("depth"), F.col("k1").alias("p1"), F.col("k2").alias("p2"))
+    tops = tops.join(above, ["conv_id", "depth"], "left")
+    zero = F.lit(0).cast("long")
+    vertices = tops.select(
+        *_KEY, "s1", "s2", F.col("block").alias("depth"), *(F.coalesce(c, zero).alias(c) for c in _UP), "conv_id", F.lit(1).cast("long").alias("n_convs"), zero.alias("words"),
+        (F.col("block") == 0).alias("top"), F.col("n_children").alias("more_children"), F.col("n_leaves").alias("more_leaves"), F.col("saved_tokens").alias("more_saved"),
+    )
+    totals = pass_up(vertices.repartition(n, "s1", "s2").sortWithinPartitions(*order), held).where("depth > 0").select(*_KEY, "n_leaves", "saved_tokens")
+    sent = _to_parents(below.join(totals, _KEY), F.sum("n_leaves").alias("l"), F.sum("saved_tokens").alias("s"))
+    more = {m: F.coalesce(c, F.lit(0)) for m, c in (("more_children", "c"), ("more_leaves", "l"), ("more_saved", "s"))}
+    return sharded.join(sent, keys, "left").withColumns(more).drop("c", "l", "s")
+
+
+def trie(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", light: int = LIGHT, levels: int = LEVELS, held: int = HELD) -> DataFrame:
     """One row per node of the trie of the rebuilt conversations.
 
     Columns: conv_id (the smallest member), depth, parent_conv_id, n_convs,
@@ -276,32 +309,38 @@ def trie(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
     their names, are left out. An empty table gives no rows.
 
     ``light`` is the number of members up to which a node belongs to a shard; of
-    larger nodes there are ``SHARE`` per level at most. A shard is read as a
-    stream in reverse level order, its queue holds ``held`` messages and writes
-    the rest to files; a subtree of at most ``light`` conversations is one
-    task's stream, however many turns these have.
+    larger nodes there are ``SHARE`` per level at most. A shard holds ``levels``
+    levels of a subtree and is read as a stream in reverse level order; its queue
+    holds ``held`` messages and writes the rest to files. So neither one
+    conversation nor one beginning that holds a third of all rows is one task's.
     """
     members = materialise(_members(materialise(_rebuilt(_slim(rows, conv_col, turn_col, role_col, text_col)), "turns")), "members")
     # One row per conversation and node; nodes of many members are added up before the shuffle.
     grouped = members.groupBy("k1", "k2", "depth").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"), F.min("p1").alias("p1"), F.min("p2").alias("p2"), F.min("words").alias("words"))
     nodes = materialise(grouped, "nodes")
-    total = nodes.where("depth = 0").agg(F.max("n_convs")).first()[0] or 0
+    total, deepest = nodes.agg(F.max("n_convs"), F.max("depth")).first()
+    total, deep = total or 0, (deepest or 0) >= levels
     limit = max(light, total // SHARE)
     none = {c: F.lit(0).cast("long") for c in ("more_children", "more_leaves", "more_saved")}
     is_heavy = (F.col("n_convs") > limit) | (F.col("depth") == 0)
     heavy, below = nodes.where(is_heavy), nodes.where(~is_heavy)
-    above = heavy.select(*_KEY, (F.col("depth") + 1).alias("below"), F.col("conv_id").alias("heavy_conv_id"))
+    above = heavy.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), (F.col("depth") + 1).alias("depth"))
     # The subtree that a conversation leaves the heavy nodes by: its node there is the shard's root.
-    hung = members.where("depth > 0").join(above.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("below").alias("depth")), ["p1", "p2", "depth"], "left_semi")
+    hung = members.where("depth > 0").join(above, ["p1", "p2", "depth"], "left_semi")
     hung = hung.join(heavy.select(*_KEY, "depth"), [*_KEY, "depth"], "left_anti").select("conv_id", F.col("k1").alias("s1"), F.col("k2").alias("s2"), F.col("depth").alias("top_depth"))
-    sharded = below.join(hung, "conv_id").withColumns({"top": F.col("depth") == F.col("top_depth"), **none})
+    inside = F.col("depth") - F.col("top_depth")
+    sharded = below.join(hung, "conv_id").withColumns({"block": F.floor(inside / levels), "top": inside % levels == 0, **none})
     order = [F.desc("depth"), "k1", "k2"]
-    done = materialise(pass_up(sharded.repartition(width(rows.sparkSession), "s1", "s2").sortWithinPartitions(*order), held), "shards")
+    n = width(rows.sparkSession)
+    if deep:
+        sharded = _with_blocks_below(materialise(sharded, "sharded"), members, levels, n, held)
+    done = materialise(pass_up(sharded.repartition(n, "s1", "s2", "block").sortWithinPartitions(*order), held), "shards")
     roots = done.where("top")
-    sent = roots.groupBy(F.col("p1").alias("k1"), F.col("p2").alias("k2"), (F.col("depth") - 1).alias("depth")).agg(F.count("*").alias("c"), F.sum("n_leaves").alias("l"), F.sum("saved_tokens").alias("s"))
+    sent = _to_parents(roots, F.sum("n_leaves").alias("l"), F.sum("saved_tokens").alias("s"))
     upper = heavy.join(sent, [*_KEY, "depth"], "left").withColumns({"top": F.col("depth") == 0, **{m: F.coalesce(c, F.lit(0)) for m, c in zip(none, ("c", "l", "s"))}})
     upper = pass_up(upper.repartition(1).sortWithinPartitions(*order), held)
-    named = roots.drop("parent_conv_id").join(above.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("below").alias("depth"), F.col("heavy_conv_id").alias("parent_conv_id")), ["p1", "p2", "depth"])
+    parents = (nodes if deep else heavy).select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), (F.col("depth") + 1).alias("depth"), F.col("conv_id").alias("parent_conv_id"))
+    named = roots.drop("parent_conv_id").join(parents, ["p1", "p2", "depth"])
     found = done.where("not top").unionByName(named).unionByName(upper)
     found = found.join(_digests(members), [*_KEY, "depth"], "left")
     return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(_NO_ENDS)).alias("ends_sha256"))

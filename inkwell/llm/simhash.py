@@ -277,7 +277,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents with one fingerprint are in one component, also the wordless ones
     (fingerprint 0). Repeated rows stay. A component whose ids are all null has
-    a null id. An empty table gives an empty result.
+    a null id. Texts of any length are read whole; other columns, whatever their
+    names, are left out. An empty table gives an empty result.
     """
     fps = materialise(fingerprints(docs, id_col, text_col, words, seed), "fingerprints")
     distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")

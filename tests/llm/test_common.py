@@ -3,6 +3,7 @@ from types import SimpleNamespace
 import pytest
 
 from inkwell.llm import common
+from inkwell.sources import shared
 
 
 def test_refusal_without_a_shared_folder():
@@ -19,7 +20,7 @@ def test_local_session_without_a_folder():
 
 
 def test_nothing_stays_behind(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}/shared")
+    monkeypatch.setattr(shared, "shared_dir", lambda _: f"file://{tmp_path}/shared")
     assert common.materialise(spark.range(5), "five").count() == 5
     assert list((tmp_path / "shared").iterdir())
     common.release(spark)

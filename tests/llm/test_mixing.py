@@ -100,3 +100,16 @@ def test_equal_rows_at_a_cut(spark):
     got = Counter(r.source for r in mixing.mixed(frame(spark, rows)).collect())
     target = fill({"a": 280, "b": 500})
     assert abs(got["a"] * 7 - target["a"]) <= 3.5 and abs(got["b"] * 5 - target["b"]) <= 2.5
+
+
+def test_many_sources_with_different_limits(spark):
+    """Sources of all sizes, most of which are full at another share."""
+    rows = [(1000 * i + j, "w " * (1 + i % 5), f"s{i:03}") for i in range(120) for j in range(1 + i * i % 37)]
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    target, taken = fill(sizes), Counter()
+    for r in mixing.mix(frame(spark, rows)).collect():
+        assert r.target == pytest.approx(target[r.source])
+        taken[r.source] += r.taken
+    assert taken == {s: round(t) for s, t in target.items()}

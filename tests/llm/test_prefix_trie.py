@@ -67,6 +67,8 @@ def test_against_brute_force(spark):
     check(spark, rows)
     check(spark, rows, light=3, held=2)
     check(spark, rows, light=1, held=1)
+    check(spark, rows, light=5, levels=2)
+    check(spark, conversations(5, 60, depth=14), light=9, levels=3, held=2)
 
 
 def test_odd_rows(spark):
@@ -83,6 +85,7 @@ def test_conversation_of_a_third_of_all_turns(spark):
     """It is cut into parts that are numbered one after another."""
     rows = [(7, t, "user", f"w{t % 3}") for t in range(300)] + conversations(2, 100) + [(27, t, "user", f"w{t % 3}") for t in range(200)]
     check(spark, rows)
+    check(spark, rows, levels=32)
 
 
 def test_many_ends_of_one_node(spark, monkeypatch):
