@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -97,10 +96,3 @@ def with_lines(images: DataFrame, selected: DataFrame, keys: list[str]) -> DataF
     """All images; those without segments have angle 0, no line and counts of 0."""
     found = images.join(selected, keys, "left")
     return found.fillna({"total_lines": 0, "level_lines": 0, "rotation_angle": 0.0, "warning": False})
-
-
-def longest_by_window(segments: DataFrame, keys: list[str], index: str = "line_index", profile: str = "server") -> DataFrame:
-    """The chosen segment's own row, with all its columns, by a ranking window."""
-    order = W.partitionBy(*keys).orderBy(F.col("is_level").desc(), F.col("length").desc(), index)
-    best = geometry(segments, profile).withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
-    return best if PROFILES[profile].fallback else best.where("is_level")

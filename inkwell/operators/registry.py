@@ -74,6 +74,20 @@ def default_model(models: DataFrame, model_type: str = "text") -> DataFrame:
     return available(models, model_type).agg(F.coalesce(F.min_by("name", "ordinal"), F.lit(FALLBACK)).alias("name"))
 
 
+def with_defaults(requests: DataFrame, models: DataFrame) -> DataFrame:
+    """``requests`` with ``default_model``: the first registered model of their ``model_type``, or the fallback."""
+    first = models.groupBy("model_type").agg(F.min_by("name", "ordinal").alias("default_model"))
+    found = requests.join(F.broadcast(first), "model_type", "left")  # a row per type
+    return found.withColumn("default_model", F.coalesce("default_model", F.lit(FALLBACK)))
+
+
+def with_offers(requests: DataFrame, models: DataFrame) -> DataFrame:
+    """``requests`` with ``offered``: how many models their ``category`` has."""
+    counts = models.groupBy("category").agg(F.count("*").alias("offered"))
+    found = requests.join(F.broadcast(counts), "category", "left")  # a row per category
+    return found.withColumn("offered", F.coalesce("offered", F.lit(0)))
+
+
 def by_category(models: DataFrame) -> DataFrame:
     """``(category, models)`` for every category, also the empty ones, in order of registration."""
     all_ = models.sparkSession.createDataFrame([(c,) for c in CATEGORIES], "category string")

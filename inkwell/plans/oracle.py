@@ -308,6 +308,8 @@ lists(profile, formats, image_like) AS (VALUES
 each AS (SELECT profile, (generate_subscripts(formats, 1) - 1)::INTEGER AS place, unnest(formats) AS format, image_like AS likes FROM lists),
 used AS (SELECT ext AS format, count(*) AS uploads FROM kinds GROUP BY ext)
 SELECT profile, place, format, list_contains(likes, format) AS image_like, coalesce(uploads, 0) AS uploads FROM each LEFT JOIN used USING (format)""",
+    "file_scan": """
+SELECT coalesce(source, '') AS source, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS "read", '.txt' AS ext FROM documents GROUP BY 1""",
     "raw_previews": """
 SELECT doc_id, CASE WHEN shown THEN md5(text) END AS digest, CASE WHEN shown THEN length(text) END::INTEGER AS characters FROM (SELECT *, doc_id % 7 <> 0 AND strlen(text) < 10000 AS shown FROM documents)""",
     "output_names": f"""{_UPLOADS}

@@ -15,6 +15,7 @@ from ..functions import confidence as conf
 from ..functions import documents, errors, files, params, similarity
 from ..operators import chat, evaluate, lines, pages, pixels, recognize, registry, session, tokens
 from ..sources import export, ground_truth, shared
+from ..sources import files as file_sources
 from ..streaming import pages as page_stream_
 from ..streaming import session as stream
 
@@ -576,6 +577,16 @@ def error_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(errors.encodable(broken).cast("binary")).alias("digest"), errors.shortened(F.col("text"), 100).alias("short"))
 
 
+def file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as files in a folder per source, found again by a scan of files; empty files don't reach it."""
+    own = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("source"), F.col("text").alias("value")).withColumn("folder", F.md5(F.col("source").cast("binary")))
+    path = f"{shared.new_folder(spark)}/texts"
+    own.select("folder", F.coalesce("value", F.lit("")).alias("value")).write.partitionBy("folder").text(path)
+    found = file_sources.read_files(spark, path, "part-*").where("size > 0")
+    each = found.groupBy(F.regexp_extract("path", "folder=([0-9a-f]+)", 1).alias("folder")).agg(F.sum("size").alias("bytes"), F.sum(F.length("content")).alias("read"), F.max("ext").alias("ext"))
+    return own.select("folder", "source").distinct().join(each, "folder").select("source", "bytes", "read", "ext")
+
+
 def result_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results as they are downloaded: text, JSON with nulls, base64 and back."""
     own = table(spark, sf_dir, "documents")
@@ -588,17 +599,10 @@ def result_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model that a document gets by type when it names none, and how many models its category offers."""
-    models = registry.registry(spark)
     types = registry.TYPES
-    defaults, offers = None, None
-    for t in types:
-        one = registry.default_model(models, t).select(F.lit(t).alias("model_type"), F.col("name").alias("default_name"))
-        defaults = one if defaults is None else defaults.unionByName(one)
-    for c in registry.CATEGORIES:
-        one = registry.available(models, category=c).agg(F.count("*").alias("offered")).select(F.lit(c).alias("category"), "offered")
-        offers = one if offers is None else offers.unionByName(one)
     own = table(spark, sf_dir, "documents").select("doc_id", pick(types, F.col("doc_id") % len(types)).alias("model_type"), pick(registry.CATEGORIES, F.col("doc_id") % len(registry.CATEGORIES)).alias("category"))
-    return own.join(F.broadcast(defaults), "model_type").join(F.broadcast(offers), "category").select("doc_id", "model_type", "default_name", "category", "offered")
+    models = registry.registry(spark)
+    return registry.with_offers(registry.with_defaults(own, models), models).select("doc_id", "model_type", F.col("default_model").alias("default_name"), "category", "offered")
 
 
 def registry_server(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -647,7 +651,7 @@ QUERIES = {
         confidence_heuristic, confidence_band_summary, token_confidence, token_confidence_long, confidence_combined, document_rollup, page_stream, document_text_concat, pages_with_text, line_geometry,
         cer, wer, text_similarity, nested_records, json_values, json_records, file_classify_ui, file_classify_ocr, file_classify_convert, file_size_gate, file_names, param_clamp, binarize, binarize_bytes, docx_paging,
         registry_resolve, registry_by_category, chat_request, chat_response, error_categories, session_epochs, session_stream, session_results, session_summary, ground_truth_upsert, ground_truth_stream, ground_truth_files,
-        confidence_advice, metric_records, round_trip_tally, image_counts, page_timing, page_selectors, file_source_kind, file_preview, file_formats, raw_previews, output_names, load_failures, error_texts,
+        confidence_advice, metric_records, round_trip_tally, image_counts, page_timing, page_selectors, file_source_kind, file_preview, file_formats, file_scan, raw_previews, output_names, load_failures, error_texts,
         result_exports, registry_defaults, registry_server, registry_refused, model_inventory, binarize_unclamped, ground_truth_records,
     )
 } | {f"line_select_{p}": _line_select(p) for p in lines.PROFILES}

@@ -22,4 +22,7 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from inkwell.sources import shared
+
+    shared.release(session)
     session.stop()

@@ -9,6 +9,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -119,6 +120,13 @@ def test_text_pages(spark):
 SEGMENTS = "image string, line_index int, x1 int, y1 int, x2 int, y2 int"
 
 
+def longest_by_window(segments, keys, profile):
+    """The chosen segment's own row by a ranking window."""
+    order = Window.partitionBy(*keys).orderBy(F.col("is_level").desc(), F.col("length").desc(), "line_index")
+    best = lines.geometry(segments, profile).withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
+    return best if lines.PROFILES[profile].fallback else best.where("is_level")
+
+
 def test_lines(spark):
     rows = [
         ("level", 0, 0, 0, 100, 0), ("tie", 5, 0, 9, 50, 9), ("tie", 2, 0, 1, 50, 1), ("tie", 3, 0, 0, 0, 80), ("left", 0, 100, 10, 0, 0), ("steep", 0, 0, 0, 0, 50), ("steep", 1, 5, 0, 5, 90), ("point", 0, 3, 3, 3, 3),
@@ -134,7 +142,7 @@ def test_lines(spark):
     local = {r.image: r for r in lines.select_line(df, ["image"], profile="local").collect()}
     assert local["left"].detected_angle == pytest.approx(-180 + np.degrees(np.arctan2(10, 100))) and local["left"].rotation_angle == pytest.approx(-np.degrees(np.arctan2(10, 100)))
     for p in lines.PROFILES:
-        chosen = {r.image: r.line_index for r in lines.longest_by_window(df, ["image"], profile=p).collect()}
+        chosen = {r.image: r.line_index for r in longest_by_window(df, ["image"], profile=p).collect()}
         assert {k: r.line_index for k, r in {"server": got, "util": util, "local": local}[p].items() if r.line_index is not None} == chosen
     images = spark.createDataFrame([("level",), ("none",)], "image string")
     all_ = {r.image: r for r in lines.with_lines(images, lines.select_line(df, ["image"]), ["image"]).collect()}
