@@ -36,7 +36,7 @@ def _six(value: Column) -> Column:
 
 
 #: Files that a stream's events are dealt out to.
-STREAM_FILES = 4
+STREAM_FILES = 3
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -133,12 +133,14 @@ def page_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = F.timestamp_seconds(1_700_000_000 + i % 1000 + F.coalesce(k, F.lit(0)) * 7 % 60)
     rows = own.join(n, "conv_id").select(i.alias("document"), k.cast("long").alias("page_number"), F.when(i % 3 != 0, F.col("n")).alias("pages"), "text", "confidence", "error", ts.alias("ts"))
     folder = shared.new_folder(spark)
-    part = F.pmod(F.xxhash64("document", "page_number"), F.lit(3))
-    for j in range(3):  # every fourth page comes once more, in the file after its own
+    end = {"document": F.lit(-1).cast("long"), "page_number": F.lit(0).cast("long"), "ts": F.timestamp_seconds(F.lit(1_800_000_000))}
+    last = spark.range(1).select(*(c.alias(name) for name, c in end.items()))  # the clock goes on when all has come
+    part = F.pmod(F.xxhash64("document", "page_number"), F.lit(STREAM_FILES))
+    for j in range(STREAM_FILES):  # every fourth page comes once more, in the file after its own
         again = F.pmod(F.xxhash64("page_number", "document"), F.lit(4)) == 0
-        rows.where((part == j) | (again & (part == (j + 2) % 3) & F.lit(j > 0))).coalesce(1).write.parquet(f"{folder}/in/{j}")
-    last = rows.limit(0).unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("document"), F.lit(0).cast("long").alias("page_number"), F.timestamp_seconds(F.lit(1_800_000_000)).alias("ts")), allowMissingColumns=True)
-    last.coalesce(1).write.parquet(f"{folder}/in/3")
+        own = rows.where((part == j) | (again & (part == j - 1)))
+        own = own.unionByName(last, allowMissingColumns=True) if j == STREAM_FILES - 1 else own
+        own.coalesce(1).write.parquet(f"{folder}/in/{j}")
     gathered = streamed(spark, page_stream_.gather(read_stream(spark, f"{folder}/in", rows.schema), "1 hour"), folder)
     return _rolled_up(page_stream_.rolled_up(gathered.where("document >= 0")).withColumnRenamed("document", "conv_id"))
 
@@ -395,11 +397,11 @@ def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     width = max(1, ((high or 0) - start + 7_200_000_000) // STREAM_FILES + 1)
     before, rest = events.where(at < start), events.where(at >= start).withColumn("part", F.floor((at + jitter - start) / width))
     folder = shared.new_folder(spark)
+    # The clock goes on when all has come, so that nobody waits any longer: an event of no session, which is left out again.
+    end = {"session_id": F.lit(-1).cast("long"), "ts": F.timestamp_micros(F.lit((high or 0) + 10**11)), "event_id": F.lit(-1).cast("long"), "action": F.lit("end"), "part": F.lit(STREAM_FILES - 1).cast("long")}
+    rest = rest.unionByName(spark.range(1).select(*(c.alias(n) for n, c in end.items())), allowMissingColumns=True)
     for i in range(STREAM_FILES):  # one after another: the source takes files by their age
         rest.where(F.col("part") == i).drop("part").coalesce(1).write.parquet(f"{folder}/in/{i}")
-    # The clock goes on when all has come, so that nobody waits any longer: an event of no session, which is left out again.
-    last = spark.range(1).select(F.lit(-1).cast("long").alias("session_id"), F.timestamp_micros(F.lit((high or 0) + 10**11)).alias("ts"), F.lit(-1).cast("long").alias("event_id"), *(F.lit(x).cast("string").alias(c) for c, x in (("action", "end"), ("file_name", None), ("kind", None), ("payload", None))))
-    last.coalesce(1).write.parquet(f"{folder}/in/{STREAM_FILES}")
     found = streamed(spark, stream.follow(read_stream(spark, f"{folder}/in", events.schema), "2 hours 10 minutes", session.state(before)), folder)
     return session.epochs(before).select("event_id", "session_id", "epoch").unionByName(found.where("event_id >= 0").select("event_id", "session_id", "epoch"))
 
