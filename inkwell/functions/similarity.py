@@ -78,7 +78,7 @@ def cer(reference: Column, hypothesis: Column) -> Column:
     """Edit distance in characters, by the reference's length; an empty reference gives 0 or 1. It may be over 1.
 
     The distance is computed in Arrow batches: the built-in one takes a step per cell (62 core seconds where this one
-    takes 2.4, for 1,000 pairs of 2,000 characters).
+    takes 4.5, for 1,000 pairs of 2,000 characters).
     """
     return _rate(_characters(reference, hypothesis), F.length(reference), hypothesis == "")
 
