@@ -76,6 +76,22 @@ def test_crowded_groups_are_sliced(spark, monkeypatch):
         assert {r.doc_id: r.component_id for r in near_copies.near_copies(df).collect()} == want
 
 
+def test_group_without_a_large_part(spark, monkeypatch):
+    """Sets that hang together by false candidates alone, in many small families over all slices."""
+    monkeypatch.setattr(near_copies, "SLICE", 16)
+    rng, rows = np.random.default_rng(4), []
+    for family in range(50):
+        base = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
+        for i in range(3):
+            own = base.copy()
+            own[i] = rng.integers(0, 1 << 63, dtype=np.uint64)
+            rows.append((7, 1000 * family + i, bytearray(np.unique(own).astype("<u8").tobytes())))
+    rows.append((8, 5, rows[0][2]))  # another group: not compared with this one
+    links = near_copies.grouped_links(spark.createDataFrame(rows, "root long, key long, shingles binary"), 80)
+    label = {r.node: r.root for r in near_copies.component_labels(links).collect()}
+    assert label == {k: k - k % 1000 for _, k, _ in rows[:-1]}
+
+
 def test_first_shingles_lose_no_pair():
     """Sets of similarity 0.8 meet in a trie, whatever part of them is common."""
     rnd = np.random.default_rng(3)
