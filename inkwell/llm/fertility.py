@@ -9,9 +9,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import materialise, without
 from .textkit import NOT_SPACE, blocks, byte_table, distinct_spans, runs, sums_between
 from .tokens import PieceCounts, byte_level, piece_counts, vocabulary
 
@@ -67,8 +68,8 @@ class Norm:
     off: tuple[float, float]  # of the entropy's distances from that
 
 
-#: Norms of the invented prose of the tables that this repository is tested on, fitted by ``fit_norms`` on the whole
-#: sf0.1. They hold at any size of table. Other prose needs norms of its own.
+#: Norms of the invented prose of the tables that this repository is tested on, fitted on the whole
+#: sf0.1, for callers that want a fixed set; the queries fit norms to all rows of the table that they read.
 INVENTED_PROSE = {
     ("de", "latin"): Norm((2.3526, 2.4113), (-0.0340, 0.8240, 1.7825), (-0.0569, 0.0366)),
     ("en", "latin"): Norm((2.6239, 2.6872), (-0.0403, 0.9869, 0.9898), (-0.0611, 0.0415)),
@@ -259,8 +260,18 @@ def _distance(norms: dict, lang: Column, q: str) -> Column:
     return found
 
 
+def _quartiles(rows: DataFrame, keys: list[str], value: Column) -> dict[tuple[str | None, str], tuple[float, float]]:
+    """The quartiles of a measure over all rows of each language and script, to four decimals: rows are counted by its value."""
+    each = rows.groupBy(*keys, F.round(value * 10_000).cast("long").alias("at")).agg(F.count("*").alias("n"))
+    own = W.partitionBy(*(F.col(k.split(".")[-1]) for k in keys))
+    each = each.where("at is not null").select("*", F.sum("n").over(own.orderBy("at")).alias("upto"), F.sum("n").over(own).alias("of"))
+    names = [k.split(".")[-1] for k in keys]
+    found = each.groupBy(*names).agg(*(F.min(F.when(F.col("upto") * 4 >= F.col("of") * q, F.col("at"))) for q in (1, 3)))
+    return {(r[0], r[1]): (r[2] / 10_000, r[3] / 10_000) for r in found.collect()}
+
+
 def fit_norms(measured: DataFrame, lang_col: str | None = None, q: str = "quality", rounds: int = 4) -> dict[tuple[str | None, str], Norm]:
-    """Norms of each language and script of a corpus, over all rows that the base rules keep; to be kept and used on other tables.
+    """Norms of each language and script of a corpus, over all rows that the base rules keep.
 
     The curve is fitted by least squares from sums that Spark adds up, a few
     times over, each time without what was far off the one before. The driver
@@ -279,12 +290,12 @@ def fit_norms(measured: DataFrame, lang_col: str | None = None, q: str = "qualit
             normal = np.array([[r[f"s{i + j}"] for j in (2, 1, 0)] for i in (2, 1, 0)])
             curves[r[0], r[1]] = tuple(np.linalg.lstsq(normal, np.array([r["b2"], r["b1"], r["b0"]]), rcond=1e-12)[0].tolist())
         far = _distance(curves, lang, "q")
-        off = {(r[0], r[1]): r[2] for r in rows.groupBy(*keys).agg(F.percentile_approx(far, [0.25, 0.75], 10_000)).collect()}
+        off = _quartiles(rows, keys, far)
         near = F.lit(False)
         for key, (low, high) in off.items():
             near = F.when(_own(lang, key, "q"), far.between(low - 2 * (high - low), high + 2 * (high - low))).otherwise(near)
         kept_rows = rows.where(near)
-    chars = {(r[0], r[1]): r[2] for r in rows.groupBy(*keys).agg(F.percentile_approx("q.chars_per_token", [0.25, 0.75], 10_000)).collect()}
+    chars = _quartiles(rows, keys, F.col("q.chars_per_token"))
 
     def wide(low: float, high: float, least: float) -> tuple[float, float]:
         more = max(0.0, least - (high - low)) / 2
@@ -317,11 +328,13 @@ def kept(q: str = "quality", lang_col: str | None = None, norms: dict | None = N
     return ~base_failed(q) & ~rejected(q, lang_col, **bands) & ~strayed(norms or {}, q, lang_col)
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str | None = None, norms: dict | None = None, **options) -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str | None = None, norms: dict | None = None, own_norms: bool = False, **options) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their own columns, whatever their names.
 
     Each text is measured once, whole. Null and empty texts have too few words
-    and go; repeated rows are judged alike, and no row by the rest of the table.
+    and go; repeated rows are judged alike, and no row by the rest of the table,
+    unless with ``own_norms``: then the norms are fitted to all rows of
+    ``docs``, whose measures are written to the shared folder for it.
     An empty table gives no rows. Languages without a norm have the bands of
     their script.
     """
@@ -329,4 +342,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str | None = No
     own = docs.toDF(*(f"c{i}" for i in range(len(names))))  # any names, also one called quality
     lang = lang_col and f"c{names.index(lang_col)}"
     found = measure(own, f"c{names.index(text_col)}", **options)
+    if own_norms:
+        found = materialise(found, "measured")
+        norms = fit_norms(found, lang)
     return found.where(kept(lang_col=lang, norms=norms)).drop("quality").toDF(*names)

@@ -85,14 +85,15 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fertility.measure(texts(spark, sf_dir, "doc_id", "lang", "text"))
+    found = materialise(fertility.measure(texts(spark, sf_dir, "doc_id", "lang", "text")).drop("text"), "measures")
+    norms = fertility.fit_norms(found, "lang")
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     more = ["chars_per_token", "byte_share", "entropy", "script"]
     return found.select(
         "doc_id",
         *(f"quality.{c}" for c in counts),
         fertility.base_failed().alias("base_failed"),
-        fertility.kept(lang_col="lang", norms=fertility.INVENTED_PROSE).alias("kept"),
+        fertility.kept(lang_col="lang", norms=norms).alias("kept"),
         *(f"quality.{c}" for c in more),
     )
 

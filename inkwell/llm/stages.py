@@ -18,10 +18,10 @@ from .common import materialise
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; null and empty texts, having under 20 words, go.
 
-    Repeated rows are judged alike, each by itself; texts of any length are read
-    whole, other columns stay. An empty table gives no rows.
+    Repeated rows are judged alike, by norms of all documents; texts of any length
+    are read whole, other columns stay. An empty table gives no rows.
     """
-    return fertility.keep_good(docs, lang_col="lang", norms=fertility.INVENTED_PROSE)
+    return fertility.keep_good(docs, lang_col="lang", own_norms=True)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

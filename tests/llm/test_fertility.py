@@ -177,3 +177,16 @@ def test_norms_of_the_tables(spark):
         shares[sf] = 1 - got.kept.mean()
         assert got[got.label == 1].kept.mean() > 0.995 and got[got.label == 0].kept.mean() < 0.25
     assert 2 / 3 < shares["sf0.01"] / shares["sf0.1"] < 3 / 2
+
+
+def test_norms_of_the_query_are_its_tables(spark, tmp_path):
+    """A language of which nothing is known before: thresholds come from all rows of the table, and don't hang on its partitions."""
+    rnd = random.Random(8)
+    own = [" ".join("".join(rnd.choice("the of and in to is that for".split()) for _ in range(rnd.randint(1, 3))) for _ in range(rnd.choice([25, 60, 300]))) for _ in range(400)]
+    own += ["".join(f"{w}{rnd.choice(['***', '&&&', '%%%'])} " for w in t.split()) for t in own if len(t.split()) == 300][:10]
+    docs = spark.createDataFrame([(i, t, "xx") for i, t in enumerate(own)], "doc_id long, text string, lang string")
+    verdicts = []
+    for n in (1, 7):
+        docs.repartition(n).write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        verdicts.append({r.doc_id: r.kept for r in queries.op10_fertility_rules(spark, f"{tmp_path}/{n}").collect()})
+    assert verdicts[0] == verdicts[1] == {i: i < 400 for i in range(410)}
