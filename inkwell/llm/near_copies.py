@@ -30,9 +30,11 @@ from .components import component_labels
 from .simhash import BROADCAST_GROUPS, BROADCAST_IDS, keep_least, simhash_of_hashes, sliced, text_hashes, trie_links
 from .textkit import blocks
 
-#: Texts in the sample for the order of shingles, the least count there of those that come last, and how many they are.
-#: None of them changes which pairs are similar.
-SAMPLE, COMMON, RANKED = 20_000, 8, 200_000
+#: Shingles that come last in the order: those that one of so many texts hold, and so many texts at least; the most frequent
+#: RANKED of them. None of these changes which pairs are similar.
+SHARE, COMMON, RANKED = 2500, 8, 200_000
+#: Bytes of text whose shingles are counted in one task.
+COUNTED = 4 << 20
 #: Bits in which fingerprints of similar texts may differ: the mean is 10, and 28 six deviations above it.
 BUDGET = 28
 #: Minus the logarithm of the chance to lose a pair by the choice of tries.
@@ -41,6 +43,8 @@ SURE = 20.7
 HEAD, AGREE = 16, 3
 #: Sets in one exact comparison, per side, and rows of a trie that a task holds whole.
 SLICE, CROWD = 1024, 4096
+#: Rows of tries in one task, and shingles that one set is compared with at a time.
+DEALT, COMPARED = 100_000, 1 << 17
 
 
 def _set(text: bytes, words: int, seed: int) -> np.ndarray:
@@ -52,18 +56,35 @@ def _key(own: np.ndarray) -> int:
 
 
 def common_shingles(docs: DataFrame, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and counts of the shingles that many texts of a sample hold."""
-    share = min(1.0, SAMPLE / max(1, docs.count()))
+    """Hashes, sorted, and counts of the shingles that many texts hold; every shingle of every text is counted.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Hashes are dealt out by their values, packed by block, so a task counts all of its own.
+    """
+    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(width(docs.sparkSession), -(-size // COUNTED))
+    least = max(COMMON, rows // SHARE)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in blocks(batches, "text"):
             raw = data.tobytes()
-            own = [_set(raw[a:b], words, seed) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64))], names=["h"])
-
-    found = docs.select("text").sample(share, 7).mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON)
-    found = found.orderBy(F.desc("count"), "h").limit(RANKED).toPandas()
-    hashes, counts = found["h"].to_numpy(np.int64).view(np.uint64), found["count"].to_numpy(np.int64)
+            own = np.concatenate([_set(raw[a:b], words, seed) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
+            to = (own % np.uint64(parts)).astype(np.int64)
+            own = own[np.argsort(to, kind="stable")].astype("<u8")
+            stop = np.cumsum(np.bincount(to, minlength=parts))
+            some = np.flatnonzero(np.diff(stop, prepend=0))
+            packed = [own[stop[k - 1] if k else 0 : stop[k]].tobytes() for k in some.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(packed, pa.binary())], names=["part", "hashes"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [np.frombuffer(x, "<u8") for batch in batches for x in batch.column(1).to_pylist()]
+        if own:
+            h, n = np.unique(np.concatenate(own), return_counts=True)
+            often = n >= least
+            yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["h", "n"])
+
+    found = docs.select("text").mapInArrow(deal, "part long, hashes binary").repartition(parts, "part").mapInArrow(count, "h long, n long")
+    found = found.orderBy(F.desc("n"), "h").limit(RANKED).toPandas()
+    hashes, counts = found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
     order = np.argsort(hashes)
     return hashes[order], counts[order]
 
@@ -138,7 +159,7 @@ def _batch(ids, key: np.ndarray, *rest) -> pa.RecordBatch:
 def candidate_links(sets: DataFrame, percent: int, budget: int = BUDGET) -> DataFrame:
     """Edges ``(u, v)`` among sets: all similar ones hang together by them, and few others do."""
     total = sets.count()
-    parts = max(width(sets.sparkSession), -(-total // 500_000))
+    parts = max(width(sets.sparkSession), -(-total // DEALT))
     share = max(CROWD, 2 * total // parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,6 +168,7 @@ def candidate_links(sets: DataFrame, percent: int, budget: int = BUDGET) -> Data
             return
         h, key, fp, n, place, i, j, side = (np.concatenate([x.column(c).to_numpy() for x in table]) for c in (0, 1, 2, 3, 4, 6, 7, 8))
         head = np.concatenate([np.frombuffer(b"".join(x.column(5).to_pylist()), np.uint16) for x in table]).reshape(-1, HEAD)
+        table.clear()
         fp = fp.view(np.uint64)
         order = np.lexsort((key, fp, side, j, i, h))
         h, key, fp, n, place, i, j, side, head = (x[order] for x in (h, key, fp, n, place, i, j, side, head))
@@ -197,8 +219,15 @@ def exact_links(keys: np.ndarray, sides: np.ndarray, parts: np.ndarray, sets: li
         mine = flat[start[i] : start[i] + size[i]]
         mark[mine] = True
         stop = np.cumsum(size[other])
-        held = mark[flat[np.repeat(start[other] - (stop - size[other]), size[other]) + np.arange(int(stop[-1]))]]
-        both = np.add.reduceat(held.astype(np.int64), stop - size[other])
+        both = np.empty(len(other), np.int64)
+        at = 0
+        while at < len(other):  # some hundred thousand shingles at a time
+            before = int(stop[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(stop, before + COMPARED, side="right")))
+            own, last = size[other[at:to]], stop[at:to] - before
+            held = mark[flat[np.repeat(start[other[at:to]] - (last - own), own) + np.arange(int(last[-1]))]]
+            both[at:to] = np.add.reduceat(held.astype(np.int64), last - own)
+            at = to
         mark[mine] = False
         for k in other[100 * both >= percent * (size[i] + size[other] - both)].tolist():
             if label[k] != label[i]:

@@ -121,3 +121,21 @@ def test_empty_table_and_ids(spark):
     assert near_copies.keep_first(spark.createDataFrame([], SCHEMA)).collect() == []
     rows = [(None, "a b c", ""), (4, "a b c", ""), (4, "a b c", ""), (None, "q", "")]
     assert sorted(r.doc_id or -1 for r in near_copies.keep_first(spark.createDataFrame(rows, SCHEMA)).collect()) == [-1, -1, 4]
+
+
+def test_all_shingles_are_counted(spark):
+    """Counts are those of all texts, in a table of more than a sample would hold."""
+    rows = [(i, f"a b c d e{' u' + str(i) if i % 3 else ''}") for i in range(24_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes, counts = near_copies.common_shingles(df, 5, 42)
+    assert hashes.tolist() == near_copies._set(b"a b c d e", 5, 42).tolist() and counts.tolist() == [24_000]
+
+
+def test_comparisons_in_steps(monkeypatch):
+    rng = np.random.default_rng(2)
+    base = np.unique(rng.integers(0, 1 << 63, 60, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([base[rng.integers(0, 9) :], rng.integers(0, 1 << 63, 3, dtype=np.uint64)])) for _ in range(40)]
+    keys, sides = np.arange(40), np.zeros(40, np.int64)
+    want = near_copies.exact_links(keys, sides, keys, sets, 80)
+    monkeypatch.setattr(near_copies, "COMPARED", 100)
+    assert want and near_copies.exact_links(keys, sides, keys, sets, 80) == want
