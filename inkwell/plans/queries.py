@@ -444,6 +444,7 @@ def ground_truth_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         F.expr("doc_id div 1000").alias("part"), pick(["invoice", 'pay{"ment', "protocol}"], i % 3).alias("doc_type"), F.concat(F.lit('f"}{'), i.cast("string"), F.lit("\\")).alias("file_name"), F.struct("doc_id", "lang", "text").alias("record")
     )
+    docs = docs.repartition("part")  # once for both groupings
     types = docs.groupBy("part", "doc_type").agg(F.map_from_entries(F.collect_list(F.struct("file_name", "record"))).alias("files"))
     texts = types.groupBy("part").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("doc_type", "files")))).alias("value"))
     path = f"{shared.new_folder(spark)}/stores"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,34 +30,42 @@ def read_json(spark: SparkSession, path: str, doc_type: str | None = None) -> Da
     A file is read in byte ranges, cut at closing braces, wherever it has or
     lacks line ends. Whether a brace stands in a text follows from the number of
     quotes before it, and how deep it stands from the braces and brackets before it; both are
-    added up per range, from range to range, and within each. A record that ends
+    added up per range, from range to range, and within each, without the texts. A record that ends
     closes a piece, which is put together by itself: no task holds more than a
     range and its longest record. With ``doc_type`` only records of that type are
     parsed. Of a name that a type has twice both records come.
     """
     place = {"file": F.col("_metadata.file_path"), "block": F.col("_metadata.file_block_start"), "at": F.monotonically_increasing_id()}
-    raw = materialise(spark.read.option("lineSep", "}").text(path).select("value", *(c.alias(n) for n, c in place.items())), "pieces")
-    ends = raw.groupBy("file").agg(F.max(F.struct("block", "at")).alias("end"))
-    # A file's last piece has no brace behind it.
-    closed = F.struct("block", "at") != F.col("end")
-    raw = raw.join(ends, "file")
     bare = F.regexp_replace("value", r"\\.", "")  # no escapes
-    rows = raw.withColumns({"closed": closed, "quotes": F.length(F.regexp_replace(bare, '[^"]', ""))})
+
+    def net(before: str) -> Column:
+        """Opened less closed, outside of texts; braces that end pieces come on top."""
+        outside = F.regexp_replace(F.concat(F.lit(before), bare), '"[^"]*+("|$)', "")
+        down, back = (F.length(F.regexp_replace(outside, other, "")) for other in (r"[^{\[]", r"[^\]]"))
+        return down - back
+
+    # Whether a piece begins within a text shows later, so both cases are counted while its text is at hand.
+    counts = {"quotes": F.length(F.regexp_replace(bare, '[^"]', "")), "net_out": net(""), "net_in": net('"')}
+    raw = spark.read.option("lineSep", "}").text(path).select("value", *(c.alias(n) for n, c in place.items()))
+    raw = materialise(raw.withColumns(counts), "pieces")
+    rows = raw.drop("value")  # what is added up goes without the texts
+    ends = rows.groupBy("file").agg(F.max(F.struct("block", "at")).alias("end"))
+    # A file's last piece has no brace behind it.
+    rows = rows.join(ends, "file").withColumn("closed", F.struct("block", "at") != F.col("end")).drop("end")
     rows = _running(rows, {"quotes": "before"})
     open_ = (F.col("before") % 2) == 1  # begins within a text
-    outside = F.regexp_replace(F.concat(F.when(open_, F.lit('"')).otherwise(""), bare), '"[^"]*+("|$)', "")
     still = (F.col("before") + F.col("quotes")) % 2 == 1  # ends within one
-    down, back = (F.length(F.regexp_replace(outside, other, "")) for other in (r"[^{\[]", r"[^\]]"))
     rows = rows.withColumn("up", F.when(F.col("closed") & ~still, 1).otherwise(0))
-    rows = _running(rows.withColumn("net", down - back - F.col("up")), {"net": "depth"})
+    rows = _running(rows.withColumn("net", F.when(open_, F.col("net_in")).otherwise(F.col("net_out")) - F.col("up")), {"net": "depth"})
     # A record stands three deep; its end, and that of its type, close a piece.
-    after = F.col("depth") + F.col("net")
-    rows = rows.withColumn("ends", F.when((F.col("up") == 1) & (after <= 2), 1).otherwise(0))
-    rows = _running(rows, {"ends": "piece"})
+    rows = rows.withColumn("after", F.col("depth") + F.col("net"))
+    rows = rows.withColumn("ends", F.when((F.col("up") == 1) & (F.col("after") <= 2), 1).otherwise(0))
+    rows = _running(rows, {"ends": "piece"}).select("at", "closed", "depth", "after", "piece")
     text = F.concat("value", F.when(F.col("closed"), F.lit("}")).otherwise(""))
-    order = F.struct("block", "at")
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "at", text.alias("t")))), lambda x: x["t"]), "")
-    pieces = rows.groupBy("file", "piece").agg(whole.alias("text"), F.min_by("depth", order).alias("from"), F.max_by(after, order).alias("to"))
+    # One aggregate, so that names and entries read the same shuffle.
+    own = raw.select("value", *place).join(rows, "at").groupBy("file", "piece").agg(F.array_sort(F.collect_list(F.struct("block", "at", text.alias("t"), "depth", "after"))).alias("own"))
+    whole = F.array_join(F.transform("own", lambda x: x["t"]), "")
+    pieces = own.select("file", "piece", whole.alias("text"), F.element_at("own", 1)["depth"].alias("from"), F.element_at("own", -1)["after"].alias("to"))
     head = F.when(F.col("from") <= 1, F.regexp_extract("text", _HEAD, 1))
     pieces = pieces.withColumns({"name": F.when(head != "", head), "text": F.when(F.col("from") <= 1, F.regexp_replace("text", _HEAD, "")).otherwise(F.col("text"))})
     # A piece is of the last type that was named before it; types are few, and so are the rows that name them.
@@ -65,7 +73,7 @@ def read_json(spark: SparkSession, path: str, doc_type: str | None = None) -> Da
     names = names.withColumn("until", F.coalesce(F.lead("since").over(W.partitionBy("file").orderBy("since")), F.lit(1 << 62)))
     if doc_type is not None:
         names = names.where(F.col("doc_type") == doc_type)
-    own = pieces.drop("name").join(names, (pieces["file"] == names["file"]) & (F.col("piece") >= F.col("since")) & (F.col("piece") < F.col("until")))
+    own = pieces.drop("name").join(F.broadcast(names), (pieces["file"] == names["file"]) & (F.col("piece") >= F.col("since")) & (F.col("piece") < F.col("until")))
     # The brace that ends a type belongs to no entry.
     entries = F.when((F.col("to") <= 1), F.regexp_replace("text", r"\}\s*$", "")).otherwise(F.col("text"))
     entries = F.concat(F.lit("{"), F.regexp_replace(entries, r"^\s*,", ""), F.lit("}"))

@@ -97,3 +97,22 @@ def test_tables_in_the_shared_folder(spark):
     df = spark.range(5).withColumn("x", F.lit("a"))
     kept = shared.materialise(df, "t")
     assert kept.schema["id"].dataType == df.schema["id"].dataType and kept.count() == 5
+
+
+def test_texts_are_shuffled_twice_at_most(spark, tmp_path):
+    """What is added up over a file's pieces goes without their texts."""
+    rnd = random.Random(4)
+    store = {t: {f"f{i}": {"text": "".join(chr(rnd.randrange(97, 123)) for _ in range(4000))} for i in range(300)} for t in "ab"}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(json.dumps(store))
+    size = (tmp_path / "in" / "a.json").stat().st_size
+    stages = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        java = spark.sparkContext._jvm
+        found = stages.stageList(None, False, False, spark.sparkContext._gateway.new_array(java.double, 0), java.java.util.ArrayList())
+        return sum(found.apply(i).shuffleWriteBytes() for i in range(found.size()))
+
+    before = shuffled()
+    assert ground_truth.read_json(spark, str(tmp_path / "in")).agg(F.sum(F.length("record"))).first()[0] > 600 * 4000
+    assert shuffled() - before < 2.5 * size
