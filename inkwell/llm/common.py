@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.shared import materialise, release, shared_dir
+from ..sources.shared import materialise, release, shared_dir, small_batches
 
-__all__ = ["WORD", "materialise", "release", "shared_dir", "spread", "width", "without"]
+__all__ = ["WORD", "materialise", "release", "shared_dir", "small_batches", "spread", "width", "without"]
 
 #: White space between words in all of these operators: space and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"

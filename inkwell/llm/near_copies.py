@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, width
+from .common import materialise, small_batches, width
 from .components import component_labels
 from .simhash import BROADCAST_GROUPS, BROADCAST_IDS, keep_least, simhash_of_hashes, sliced, text_hashes, trie_links
 from .textkit import blocks
@@ -83,7 +83,8 @@ def common_shingles(docs: DataFrame, words: int, seed: int) -> tuple[np.ndarray,
             yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["h", "n"])
 
     found = docs.select("text").mapInArrow(deal, "part long, hashes binary").repartition(parts, "part").mapInArrow(count, "h long, n long")
-    found = found.orderBy(F.desc("n"), "h").limit(RANKED).toPandas()
+    with small_batches(docs.sparkSession):
+        found = found.orderBy(F.desc("n"), "h").limit(RANKED).toPandas()
     hashes, counts = found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
     order = np.argsort(hashes)
     return hashes[order], counts[order]
@@ -122,7 +123,7 @@ def dealt_sets(docs: DataFrame, words: int, seed: int, percent: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranked, counts = shared.value
         seen: set[int] = set()
-        for rows, data, offsets in blocks(batches, "text"):
+        for rows, data, offsets in blocks(batches, "text", limit=1 << 18):
             raw = data.tobytes()
             sets = [_set(raw[a:b], words, seed) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             keys = [_key(own) for own in sets]
@@ -246,7 +247,7 @@ def similar_links(docs: DataFrame, rows: DataFrame, labels: DataFrame, words: in
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for _, data, offsets in blocks(batches, "text"):
+        for _, data, offsets in blocks(batches, "text", limit=1 << 18):
             raw, keys, sets = data.tobytes(), [], []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
                 one = _set(raw[a:b], words, seed)

@@ -5,9 +5,14 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows, and bytes of them, that go to a Python worker at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
 _written: list[str] = []
 _own: dict[str, str] = {}  # folders of sessions that name none
 
@@ -34,6 +39,24 @@ def new_folder(spark: SparkSession) -> str:
     return path
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows that go to Python meanwhile go in Arrow batches of BATCH_ROWS and about BATCH_BYTES at most.
+
+    A batch stands in the executor and in its worker at once, several times over
+    where it grows; ten thousand texts, as many as Spark sends, are of any size.
+    """
+    most = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    was = {name: spark.conf.get(name, None) for name in most}
+    for name, value in most.items():
+        spark.conf.set(name, str(value))
+    try:
+        yield
+    finally:
+        for name, value in was.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -41,7 +64,8 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     executors are lost meanwhile. The files stay until ``release``.
     """
     path = f"{new_folder(df.sparkSession)}/{tag}"
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -25,3 +25,21 @@ def test_nothing_stays_behind(spark, tmp_path, monkeypatch):
     assert list((tmp_path / "shared").iterdir())
     common.release(spark)
     assert not list((tmp_path / "shared").iterdir())
+
+
+def test_batches_for_python_are_bounded(spark):
+    """Texts of any size go to Python in small batches while a table is written; afterwards all is as it was."""
+    import pyarrow as pa
+
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    was = [spark.conf.get(n) for n in names]
+    df = spark.range(3000, numPartitions=1).selectExpr("id", "repeat('x', IF(id < 1000, 50000, 10)) AS text")
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "size": [sum(map(len, b.column(1).to_pylist()))]})
+
+    found = common.materialise(df.mapInArrow(run, "rows long, size long"), "sizes").collect()
+    assert sum(r.rows for r in found) == 3000 and sum(r.size for r in found) == 50_020_000
+    assert max(r.rows for r in found) <= 1000 and max(r.size for r in found) <= 5 << 20
+    assert [spark.conf.get(n) for n in names] == was
