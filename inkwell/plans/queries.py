@@ -35,8 +35,8 @@ def _six(value: Column) -> Column:
     return F.round(value, 6)
 
 
-#: Files that a stream's events are dealt out to.
-STREAM_FILES = 3
+#: Files that a stream's events are dealt out to, and events of all files in one bucket of sessions, about.
+STREAM_FILES, BUCKET_EVENTS = 3, 200_000
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -391,7 +391,7 @@ def session_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same on a stream: the first third of the time as a batch, the rest as files in which events stand up to two hours late."""
     events = session_events(spark, sf_dir)
-    low, high = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    low, high, n = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts")), F.count("*")).first()
     at, jitter = F.unix_micros("ts"), F.pmod(F.xxhash64("event_id"), F.lit(7200)) * 1_000_000
     start = (low or 0) + ((high or 0) - (low or 0)) // 3
     width = max(1, ((high or 0) - start + 7_200_000_000) // STREAM_FILES + 1)
@@ -402,7 +402,8 @@ def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = rest.unionByName(spark.range(1).select(*(c.alias(n) for n, c in end.items())), allowMissingColumns=True)
     for i in range(STREAM_FILES):  # one after another: the source takes files by their age
         rest.where(F.col("part") == i).drop("part").coalesce(1).write.parquet(f"{folder}/in/{i}")
-    found = streamed(spark, stream.follow(read_stream(spark, f"{folder}/in", events.schema), "2 hours 10 minutes", session.state(before)), folder)
+    state = shared.materialise(session.state(before), "before")
+    found = streamed(spark, stream.follow(read_stream(spark, f"{folder}/in", events.schema), "2 hours 10 minutes", state, max(32, n // BUCKET_EVENTS)), folder)
     return session.epochs(before).select("event_id", "session_id", "epoch").unionByName(found.where("event_id >= 0").select("event_id", "session_id", "epoch"))
 
 

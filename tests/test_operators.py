@@ -453,3 +453,30 @@ def test_counts_and_tally(spark):
     assert sorted(map(tuple, pages.converted(df, ["f"]).collect())) == [("a", 1), ("b", 0)]
     assert [tuple(r) for r in evaluate.tally(df, F.col("ok")).collect()] == [(1, 3, 1 / 3)]
     assert [tuple(r) for r in evaluate.tally(df.limit(0), F.col("ok")).collect()] == [(0, 0, None)]
+
+
+def test_sessions_of_a_bucket_are_taken_at_once():
+    """However events come in parts, all sessions of a bucket hold what each would by itself; also one that is null."""
+    import pandas as pd
+
+    rows = [(None if r[0] == 3 else r[0], *r[1:]) for r in events(400, 9)]
+    want = {(s, i): rest for s, i, *rest in replay(rows)[1]}
+    frame = pd.DataFrame([(s or 0, s is None, int(ts.timestamp()) * 1_000_000, i, *rest) for s, ts, i, *rest in rows], columns=stream._WAITING.names)
+    for size in (400, 37, 1):
+        sessions, results, got = stream._unpacked([], stream._SESSIONS), stream._unpacked([], stream._RESULTS), {}
+        for at in range(0, len(rows), size):
+            out, sessions, results = stream.taken(sessions, results, frame[at : at + size].sample(frac=1, random_state=1))
+            got |= {(None if x.nobody else x.session_id, x.event_id): [x.epoch, x.file_name, x.results] for x in out.itertuples()}
+        assert got == want
+        assert {(None if x.nobody else x.session_id, x.kind): x.payload for x in results.itertuples()} == {(s, k): p for s, o in replay(rows)[0].items() for k, p in o["results"].items()}
+
+
+def test_a_stream_keeps_state_by_buckets(spark, tmp_path):
+    """Keys of state are buckets, however many sessions there are."""
+    from inkwell.plans import queries as plans
+
+    spark.range(500).selectExpr("id AS session_id", "timestamp'2024-01-01' AS ts", "id AS event_id", "'upload' AS action", "'x' AS file_name", "'ocr' AS kind", "'' AS payload").coalesce(1).write.parquet(f"{tmp_path}/in/0")
+    source = plans.read_stream(spark, f"{tmp_path}/in", spark.createDataFrame([], EVENTS).schema)
+    plans.streamed(spark, stream.follow(source, "1 second", buckets=5), str(tmp_path))
+    kept = spark.read.format("statestore").option("stateVarName", "waiting").load(f"{tmp_path}/state")
+    assert kept.select("key.bucket").distinct().count() == 5
