@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.shared import materialise, release, shared_dir, small_batches
 
-__all__ = ["WORD", "materialise", "release", "shared_dir", "small_batches", "spread", "width", "without"]
+__all__ = ["WORD", "lean", "materialise", "release", "shared_dir", "small_batches", "spread", "width", "without"]
 
 #: White space between words in all of these operators: space and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,6 +25,25 @@ def without(df: DataFrame, names: list[str], needed: list[str]) -> DataFrame:
     return df.drop(*names)
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, at whose end the worker returns the memory that it keeps unused.
+
+    Workers live on for later tasks, also while others or the executor itself
+    need the memory.
+    """
+
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 def width(spark: SparkSession) -> int:
     """Tasks of a shuffle."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, without
+from .common import lean, materialise, without
 from .textkit import NOT_SPACE, blocks, byte_table, distinct_spans, runs, sums_between
 from .tokens import PieceCounts, byte_level, piece_counts, vocabulary
 
@@ -195,7 +195,7 @@ def measure(docs: DataFrame, text_col: str = "text", tokenizer: str = "byte_bpe_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, pieces = byte_level(vocabulary(tokenizer), ranks and vocabulary(ranks)), piece_counts(vocabulary(piece_model))
-        for rows, data, offsets in blocks(batches, text_col, limit=1 << 19):
+        for rows, data, offsets in blocks(batches, text_col, limit=1 << 18):
             got = _per_text(data, offsets, pieces)
             ids = model.encode(data, offsets)
             tokens = np.array([len(x) for x in ids], dtype=np.int64)
@@ -217,7 +217,7 @@ def measure(docs: DataFrame, text_col: str = "text", tokenizer: str = "byte_bpe_
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.StructArray.from_arrays(arrays, names=list(_FIELDS))], names=[*rows.schema.names, "quality"])
 
     schema = f"{docs.schema.toDDL()}, quality struct<{', '.join(f'{k}: {t}' for k, t in _FIELDS.items())}>"
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def base_failed(q: str = "quality", min_words: int = 20, max_repeat_percent: int = 30) -> Column:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, width
+from .common import lean, materialise, small_batches, width
 from .components import component_labels
 from .simhash import BROADCAST_GROUPS, BROADCAST_IDS, keep_least, simhash_of_hashes, sliced, text_hashes, trie_links
 from .textkit import blocks
@@ -82,7 +82,7 @@ def common_shingles(docs: DataFrame, words: int, seed: int) -> tuple[np.ndarray,
             often = n >= least
             yield pa.RecordBatch.from_arrays([pa.array(h[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["h", "n"])
 
-    found = docs.select("text").mapInArrow(deal, "part long, hashes binary").repartition(parts, "part").mapInArrow(count, "h long, n long")
+    found = docs.select("text").mapInArrow(lean(deal), "part long, hashes binary").repartition(parts, "part").mapInArrow(lean(count), "h long, n long")
     with small_batches(docs.sparkSession):
         found = found.orderBy(F.desc("n"), "h").limit(RANKED).toPandas()
     hashes, counts = found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
@@ -146,7 +146,7 @@ def dealt_sets(docs: DataFrame, words: int, seed: int, percent: int) -> DataFram
             head = pa.array(heads, pa.binary()).take(pa.array(np.repeat(np.arange(len(of)), size)))
             yield _batch(None, np.array(keys, np.uint64).view(np.int64)[own], np.concatenate(first).view(np.int64), fps[own], n[own], place.astype(np.int32), head)
 
-    return docs.mapInArrow(run, _ROW)
+    return docs.mapInArrow(lean(run), _ROW)
 
 
 def _batch(ids, key: np.ndarray, *rest) -> pa.RecordBatch:
@@ -197,7 +197,7 @@ def candidate_links(sets: DataFrame, percent: int, budget: int = BUDGET) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(key[to]), pa.array(key[label[to]])], names=["u", "v"])
 
     own = sliced(sets.select("h", "key", "fp", "n", "place", "head"), ["h"], share, "key")
-    return own.repartition(parts, "h", "i", "j").mapInArrow(run, "u long, v long").distinct()
+    return own.repartition(parts, "h", "i", "j").mapInArrow(lean(run), "u long, v long").distinct()
 
 
 def exact_links(keys: np.ndarray, sides: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -257,7 +257,7 @@ def similar_links(docs: DataFrame, rows: DataFrame, labels: DataFrame, words: in
                     sets.append(one.astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sets, pa.binary())], names=["key", "shingles"])
 
-    sets = texts.mapInArrow(keyed, "key long, shingles binary").join(own, F.col("key") == F.col("node")).select("root", "key", "shingles")
+    sets = texts.mapInArrow(lean(keyed), "key long, shingles binary").join(own, F.col("key") == F.col("node")).select("root", "key", "shingles")
     return grouped_links(materialise(sets, "sets"), percent)
 
 
@@ -344,7 +344,7 @@ def compared(dealt: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     parts = width(dealt.sparkSession)
-    return dealt.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(compare, "u long, v long")
+    return dealt.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(lean(compare), "u long, v long")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, seed: int = 42) -> DataFrame:

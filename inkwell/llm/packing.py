@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import lean, materialise
 from .textkit import blocks
 from .tokens import byte_level, vocabulary
 
@@ -56,7 +56,7 @@ def pieces_of(docs: DataFrame, id_col: str, text_col: str, capacity: int, end_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = byte_level(vocabulary(tokenizer), ranks and vocabulary(ranks), added)
-        for rows, data, offsets in blocks(batches, "text", limit=1 << 19):
+        for rows, data, offsets in blocks(batches, "text", limit=1 << 18):
             out: list[tuple[int, int, int, int, int]] = []
             for i, own in enumerate(model.encode(data, offsets)):
                 raw = np.append(own, np.uint32(end_id)).astype("<u4").tobytes()
@@ -70,7 +70,7 @@ def pieces_of(docs: DataFrame, id_col: str, text_col: str, capacity: int, end_id
             yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(of)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), schema)
 
 
 def pack(

@@ -28,10 +28,13 @@ def vocabulary(name: str) -> str:
 
 
 class WordTable:
-    """Ids of words. A word is found by its hash and compared with the one remembered; ``limit`` bounds words, ``room`` bytes."""
+    """Ids of words. A word is found by its hash and compared with the one remembered.
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 1_000_000, room: int = 48 << 20):
-        self.encode, self.limit, self.room = encode, limit, room
+    A table of more than ``room`` bytes begins anew, so it holds those and the words of one block at most.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], room: int = 24 << 20):
+        self.encode, self.room = encode, room
         self._empty()
 
     def _empty(self) -> None:
@@ -42,9 +45,13 @@ class WordTable:
         self.bare = np.zeros(0, bool)
         self.ids, self.text = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
 
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.keys, self.at, self.size, self.begin, self.length, self.bare, self.ids, self.text))
+
     def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bare: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``ids`` and lengths for distinct words: spans of ``data``, after a space unless ``bare``."""
-        if len(self.keys) > self.limit or len(self.text) + 4 * len(self.ids) > self.room:
+        if self.nbytes > self.room:
             self._empty()
         n, size = len(hashes), ends - starts
         at, count = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -118,6 +125,12 @@ def _by_ranks(path: str) -> Callable[[list[str]], list[list[int]]]:
     return lambda words: [one(w) for w in words]
 
 
+@cache
+def ranked_words(path: str) -> WordTable:
+    """A rank file's words, remembered once for all uses in a worker: added tokens make no difference to single words."""
+    return WordTable(_by_ranks(path))
+
+
 class ByteLevelIds:
     """Ids of whole texts.
 
@@ -135,9 +148,8 @@ class ByteLevelIds:
         by default; texts with one are encoded whole. Else it is ordinary text.
         """
         self.path, self.added = path, added
-        words = _by_ranks(ranks) if ranks else self.whole
-        self.table = WordTable(words)
-        self.feed = words(["\n"])[0][0]
+        self.table = ranked_words(ranks) if ranks else WordTable(self.whole)
+        self.feed = self.table.encode(["\n"])[0][0]
 
     @cached_property
     def tokenizer(self):

@@ -123,3 +123,16 @@ def test_queries_take_the_tokenizers_call(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for found in (queries.op2_best_fit_packing(spark, str(tmp_path)), stages.pack_sequences(spark, docs, "")):
         assert sorted((r.doc_id, r.ids_crc32) for r in found.collect()) == want
+
+
+def test_a_workers_words_are_bounded_and_held_once():
+    """Over two million distinct words: the table's whole size is bounded, and queries of one vocabulary share it."""
+    names = vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken")
+    model = byte_level(*names, True)
+    assert model.table is byte_level(*names, False).table
+    most = 0
+    for i in range(0, 2_000_000, 20_000):
+        text = " ".join(f"{k:x}" for k in range(i, i + 20_000)).encode()
+        model.encode(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        most = max(most, model.table.nbytes)
+    assert 10 << 20 < most < 28 << 20
